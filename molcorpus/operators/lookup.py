@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -13,8 +15,10 @@ LITERAL_ROWS = 256
 BROADCAST_ROWS = 2_000_000
 
 
-def _literal_map(rows: list, default) -> Column:
+def _literal_map(rows: list, default) -> Callable[[Column], Column]:
     entries = F.create_map(*[F.lit(x) for row in rows for x in row])
+    if default is None:
+        return lambda item: F.element_at(entries, item)
     return lambda item: F.coalesce(F.element_at(entries, item), F.lit(default))
 
 
@@ -28,7 +32,9 @@ def _arrow_lookup(spark, rows: list, key_type: pa.DataType, value_type: pa.DataT
         keys, values = table.value
         flat = batch.flatten()
         hits = pc.index_in(flat.cast(keys.type), value_set=keys)
-        found = pc.fill_null(values.take(hits), pa.scalar(default, values.type))
+        found = values.take(hits)
+        if default is not None:
+            found = pc.fill_null(found, pa.scalar(default, values.type))
         lengths = pc.fill_null(pc.list_value_length(batch), 0)
         ends = pc.cumulative_sum(lengths.cast(pa.int32()))
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
@@ -49,7 +55,7 @@ def replace_entries(
     df: DataFrame, col: str, table: DataFrame, default, row_keys: list[str], out: str | None = None
 ) -> DataFrame:
     """Map every array entry through ``table`` (first column unique key, second
-    value), unknown entries to ``default``. Entries keep their order.
+    value), unknown entries to ``default`` (None gives null). Entries keep their order.
 
     Up to two million table rows this is a projection: a literal map for tiny
     tables, else one Arrow lookup per batch. A larger table is joined to the
@@ -74,8 +80,9 @@ def replace_entries(
 def _joined(df: DataFrame, col: str, table: DataFrame, default, row_keys: list[str], out: str) -> DataFrame:
     key, value = table.columns
     entries = df.select(*row_keys, F.posexplode(col).alias("_pos", key))
+    found = F.col(value) if default is None else F.coalesce(value, F.lit(default))
     valued = entries.join(table, key, "left").select(
-        *row_keys, F.struct("_pos", F.coalesce(value, F.lit(default)).alias("_value")).alias("_e")
+        *row_keys, F.struct("_pos", found.alias("_value")).alias("_e")
     )
     lists = valued.groupBy(*row_keys).agg(
         F.transform(F.sort_array(F.collect_list("_e")), lambda e: e["_value"]).alias("_list")
