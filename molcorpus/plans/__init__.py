@@ -1,4 +1,4 @@
 """All registered queries; importing a module registers its queries."""
 
-from molcorpus.plans import detection, tokenization, vocabulary, encoding, mixing  # noqa: F401
+from molcorpus.plans import detection, tokenization, vocabulary, encoding, mixing, instruction, evaluation, embedding  # noqa: F401
 from molcorpus.plans.registry import ORACLES, QUERIES  # noqa: F401
