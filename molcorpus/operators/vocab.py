@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from molcorpus.functions import patterns as P
 from molcorpus.operators.lookup import replace_entries
 from molcorpus.operators.ranking import number_rows
+from molcorpus.session import small_table
 
 UNK = P.SPECIAL_TOKENS[0]
 
 
 def special_vocab(spark) -> DataFrame:
     rows = [(token, i) for i, token in enumerate(P.SPECIAL_TOKENS)]
-    return spark.createDataFrame(rows, "token string, id bigint")
+    return small_table(spark, "token string, id bigint", rows)
 
 
 def token_rows(df: DataFrame, keys: list[str], col: str) -> DataFrame:
@@ -61,7 +62,7 @@ def normalise_vocab(vocab: DataFrame) -> DataFrame:
     ).first()
     shift = int(unk_id != 0) if unk_id is not None else int(bool(zero_taken))
     others = vocab.filter(F.col("token") != UNK).select("token", (F.col("id") + shift).alias("id"))
-    unk = vocab.sparkSession.createDataFrame([(UNK, 0)], "token string, id bigint")
+    unk = small_table(vocab.sparkSession, "token string, id bigint", [(UNK, 0)])
     return unk.unionByName(others)
 
 

@@ -20,7 +20,7 @@ from molcorpus.plans.tokenization import SIMPLE_SQL
 from molcorpus.plans.vocabulary import (
     ELEMENT_TOKENS, KEYS, chem_vocab, first_seen_cte, segment_tokens, tokens_cte,
 )
-from molcorpus.sources.samples import ANNOTATED_SQL, POOL, pooled, table
+from molcorpus.sources.samples import ANNOTATED_SQL, POOL, pooled, prose, table
 
 DIM = 64
 PAD = 5
@@ -52,7 +52,7 @@ def new_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def letter_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of the prose as a base vocabulary with several ids per word."""
-    letters = table(spark, sf_dir, "documents").select(
+    letters = prose(spark, sf_dir).select(
         "doc_id", F.posexplode(tok_character(F.col("text"))).alias("pos", "token")
     )
     return V.first_seen_vocab(letters, ["doc_id", "pos"])

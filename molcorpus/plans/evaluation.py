@@ -13,6 +13,7 @@ from molcorpus.operators.annotate import annotate
 from molcorpus.plans.detection import TAGGED_WORDS_CTE, words_cte
 from molcorpus.plans.mixing import draw_sql
 from molcorpus.plans.registry import query
+from molcorpus.session import small_table
 from molcorpus.sources.samples import ANNOTATED_SQL, annotated, table
 
 MODELS = ["run/checkpoint-100", "run/checkpoint-200", "run/checkpoint-300"]
@@ -149,7 +150,7 @@ def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = spark.createDataFrame([(m,) for m in MODELS], "model string")
+    models = small_table(spark, "model string", [(m,) for m in MODELS])
     return E.topic_accuracy(picked(spark, sf_dir), models)
 
 

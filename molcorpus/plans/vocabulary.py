@@ -14,9 +14,9 @@ from molcorpus.operators.annotate import split_words
 from molcorpus.plans.detection import SEGMENTS_CTE, segments, words_cte
 from molcorpus.plans.registry import literal, query
 from molcorpus.plans.tokenization import SIMPLE_SQL
-from molcorpus.session import scratch_folder
+from molcorpus.session import scratch_folder, small_table
 from molcorpus.sources.files import load_vocab, save_vocab
-from molcorpus.sources.samples import ANNOTATED_SQL, annotated, table
+from molcorpus.sources.samples import ANNOTATED_SQL, annotated, prose, table
 
 BASE_SIZE = 2000
 KMER_SIZE = 300
@@ -94,13 +94,13 @@ def small_vocab(spark: SparkSession, sf_dir: str, tokenizer: str = "element") ->
 
 
 def base_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(
+    words = prose(spark, sf_dir).select(
         "doc_id", F.posexplode(tok_whitespace(F.col("text"))).alias("pos", "token")
     )
     plain = V.topk_vocab(words, ["doc_id", "pos"], BASE_SIZE)
     size = plain.agg(F.max("id")).first()[0]
     tags = [(P.START_TAG, size + 1), (P.END_TAG, size + 2)]
-    return plain.unionByName(spark.createDataFrame(tags, "token string, id bigint"))
+    return plain.unionByName(small_table(spark, "token string, id bigint", tags))
 
 
 @query(f"{ELEMENT_TOKENS}, {_CHEM} SELECT token, id FROM chem")
@@ -225,7 +225,7 @@ counted AS (SELECT token, count(*) AS n FROM every GROUP BY token)"""
 
 def _all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = split_words(annotated(spark, sf_dir), "doc_id", "text_tags")
-    marks = spark.createDataFrame([(P.START_TAG,), (P.END_TAG,), (V.UNK,)], "token string")
+    marks = small_table(spark, "token string", [(P.START_TAG,), (P.END_TAG,), (V.UNK,)])
     every = (
         words.select(F.col("word").alias("token"))
         .unionByName(token_rows(spark, sf_dir, "element").select("token"))

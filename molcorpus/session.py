@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,3 +46,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores, such as one small
+    file. A large input has more splits than that and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A table of a few driver-side rows, held in the plan itself."""
+    names, types = zip(*(field.split() for field in schema.split(", ")))
+    arrow = {"string": pa.string(), "bigint": pa.int64()}
+    columns = [pa.array([row[i] for row in rows], arrow[t]) for i, t in enumerate(types)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=list(names)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
+from molcorpus.session import spread
 
 POOL = [
     "CCO", "c1ccccc1", "CC(=O)O", "CSc1ccccc1", "Cn1cnc2c1c(=O)n(C)c(=O)n2C",
@@ -23,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, read by all cores: what is done to their text is long work
+    on few bytes."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def pooled(index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in POOL]), (index % 20 + 1).cast("int"))
 
@@ -42,7 +49,7 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
         pad, end, F.lit(" then "), start, third, end,
     )
     raw = F.concat("text", F.lit(" "), first, F.lit(" and "), second, F.lit(" then "), third)
-    return table(spark, sf_dir, "documents").select(
+    return prose(spark, sf_dir).select(
         "doc_id",
         "source",
         F.when(i % 10 == 9, F.col("text")).otherwise(tagged).alias("text_tags"),
