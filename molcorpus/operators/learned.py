@@ -19,6 +19,7 @@ from molcorpus.functions import patterns as P
 from molcorpus.functions.text import find_all
 from molcorpus.functions.tokenizers import tok_atomwise, tok_whitespace
 from molcorpus.operators.lookup import BROADCAST_ROWS, replace_entries
+from molcorpus.operators.ranking import place
 from molcorpus.session import materialize, small_table
 
 CONTINUES = "##"
@@ -60,26 +61,29 @@ def _private(i: int) -> str:
 
 
 def word_counts(df: DataFrame, col: str, pretokens: Callable[[Column], Column] | None, order: list[str]) -> DataFrame:
-    """Distinct words with their count and first place. This is the only pass over
-    the corpus, and it is combined before the shuffle."""
-    if pretokens is None:
-        rows = df.select(F.col(col).alias("word"), *order, F.lit(0).alias("pos"))
-    else:
-        rows = df.select(*order, F.posexplode(pretokens(F.col(col))).alias("pos", "word"))
-    return rows.groupBy("word").agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct(*order, "pos")).alias("first")
-    )
+    """Distinct words with their count and, for whole strings, their first place in
+    ``order`` (a key and at most one counter). This is the only pass over the
+    corpus, and it is combined before the shuffle."""
+    count = F.count(F.lit(1)).alias("c")
+    if pretokens is not None:
+        return df.select(F.explode(pretokens(F.col(col))).alias("word")).groupBy("word").agg(count)
+    first = F.min(place(df, order)).alias("first")
+    return df.withColumnRenamed(col, "word").groupBy("word").agg(count, first)
+
+
+def _met(at: Column) -> Column:
+    """Place of a symbol or pair: that of its word, and its position there."""
+    return F.min(F.col("first") + at).alias("met")
 
 
 def _pairs(words: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(1), F.length("w") - 1)
-    found = F.transform(places, lambda i: F.struct(F.substr("w", i, F.lit(2)).alias("pair"), i.alias("at")))
-    return (
-        words.filter(F.length("w") > 1)
-        .select("c", "first", F.explode(found).alias("p"))
-        .groupBy(F.col("p.pair").alias("pair"))
-        .agg(F.sum("c").alias("n"), F.min(F.struct("first", "p.at")).alias("met"))
+    pairs = F.transform(places, lambda i: F.substr("w", i, F.lit(2)))
+    found = words.filter(F.length("w") > 1).select(
+        *[c for c in words.columns if c != "w"], F.posexplode(pairs).alias("at", "pair")
     )
+    met = [_met(F.col("at"))] if "first" in words.columns else []
+    return found.groupBy("pair").agg(F.sum("c").alias("n"), *met)
 
 
 def _admissible(pairs: list, complete: bool, multipliers: tuple[float, float]) -> list:
@@ -129,21 +133,27 @@ def train_merges(
     no pair is frequent enough.
 
     ``words`` comes from ``word_counts``. Ties go to the smaller ids (``id``; the
-    alphabet is sorted) or to the pair met first in the corpus (``first``; so is
-    the alphabet). With ``multiplier`` the ranking is by count times multiplier of
+    alphabet is sorted) or, for whole strings, to the pair met first in the corpus
+    (``first``; so is the alphabet). With ``multiplier`` the ranking is by count times multiplier of
     the merged token (between the two ``multipliers``), while the frequency limit
     stays on the count. Several merges
     are made per job where that is exactly what single merges would do. With
     ``as_run`` the vocabulary may exceed its size by one token.
     """
     spark = words.sparkSession
-    spelled = materialize(words.select(spell(F.col("word")).alias("symbols"), "c", "first"))
-    by = "symbol" if ties == "id" else "met"
+    kept = ["c", "first"] if ties == "first" else ["c"]
+    # Few bytes but much work per row: spread over all cores.
+    spelled = materialize(
+        words.select(spell(F.col("word")).alias("symbols"), *kept).repartition(
+            spark.sparkContext.defaultParallelism
+        )
+    )
+    met = [_met(F.col("at"))] if ties == "first" else []
     alphabet = (
-        spelled.select("c", "first", F.posexplode("symbols").alias("at", "symbol"))
+        spelled.select(*kept, F.posexplode("symbols").alias("at", "symbol"))
         .groupBy("symbol")
-        .agg(F.sum("c").alias("freq"), F.min(F.struct("first", "at")).alias("met"))
-        .orderBy(by)
+        .agg(F.sum("c").alias("freq"), *met)
+        .orderBy("met" if met else "symbol")
         .limit(BROADCAST_ROWS + 1)
         .collect()
     )
@@ -161,12 +171,9 @@ def train_merges(
     private = small_table(
         spark, "symbol string, ch string", [(t, _private(i)) for t, i in ids.items()]
     )
-    coded = replace_entries(spelled, "symbols", private, None, ["first"])
-    # Few bytes but much work per row: spread over all cores.
-    spread = coded.select(F.array_join("symbols", "").alias("w"), "c", "first").repartition(
-        spark.sparkContext.defaultParallelism
-    )
-    current, pending, merges = materialize(spread), 0, []
+    # The table is small enough to be shipped, so rows need no key to be joined by.
+    coded = replace_entries(spelled, "symbols", private, None, [])
+    current, pending, merges = materialize(coded.select(F.array_join("symbols", "").alias("w"), *kept)), 0, []
     extra = len(specials) if count_specials else 0
 
     def full() -> bool:
@@ -217,7 +224,7 @@ def _place(ch: str) -> int:
 
 def _ranked(pairs: DataFrame, tokens: list[str], ties: str, multiplier) -> DataFrame:
     if multiplier is None:
-        scored = pairs.withColumn("score", F.col("n").cast("double"))
+        scored = pairs.withColumn("score", F.col("n"))
     else:
         # One row per vocabulary entry.
         names = small_table(
@@ -230,7 +237,7 @@ def _ranked(pairs: DataFrame, tokens: list[str], ties: str, multiplier) -> DataF
             .withColumn("score", F.col("n") * multiplier(F.concat("l", "r")))
         )
     tie = "pair" if ties == "id" else "met"
-    return scored.select("pair", "n", "score", "met").orderBy(F.desc("score"), tie)
+    return scored.select("pair", "n", "score", tie).orderBy(F.desc("score"), tie)
 
 
 def train_bpe(df, col, order, max_size=20_000, min_freq=2, pretokens=tok_whitespace, max_merges=None) -> Trained:

@@ -14,6 +14,20 @@ from molcorpus.session import materialize
 ONE_TASK_ROWS = 1_000_000
 
 
+def place(df: DataFrame, order: list[str]) -> Column:
+    """One sortable value for a place in the corpus. Up to three whole-number
+    columns (a 64-bit key, then counters below a billion) are packed into a
+    decimal, whose minimum is taken by hash aggregation; a struct would be sorted."""
+    types = dict(df.dtypes)
+    if len(order) > 3 or any(types[c] not in ("tinyint", "smallint", "int", "bigint") for c in order):
+        return F.struct(*order)
+    digits = F.lit(0).cast("decimal(38,0)")
+    for i, col in enumerate(order):
+        shift = F.lit(str(10 ** (9 * (2 - i)))).cast("decimal(19,0)")
+        digits = digits + F.col(col).cast("decimal(19,0)") * shift
+    return digits.cast("decimal(38,0)")
+
+
 def rank_rows(df: DataFrame, order: list, within: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Number rows from 0 in the given order, per value of ``within``.
 
