@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
@@ -38,3 +38,10 @@ def draw(key: Column, seed: int) -> Column:
     """Reproducible uniform number in [0, 1) per (seed, key)."""
     head = F.conv(F.substring(draw_hash(key, seed), 1, 8), 16, 10)
     return head.cast("bigint") / F.lit(4294967296.0)
+
+
+def entries(df: DataFrame, keep: list[str], col: str, pos: str, name: str) -> DataFrame:
+    """One row per array entry. Rows without entries are dropped after the explode:
+    before it, the optimizer would compute the array once more to test it."""
+    exploded = df.select(*keep, F.posexplode_outer(col).alias(pos, name))
+    return exploded.filter(F.col(pos).isNotNull())

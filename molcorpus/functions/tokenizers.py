@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
-from molcorpus.functions.text import find_all
+from molcorpus.functions.text import bind, find_all
 
 # Marks the start of each token when a token list is handled as one string.
 MARK = "\u0001"
@@ -40,11 +40,14 @@ def tok_whitespace(text: Column) -> Column:
 def tok_kmer(smi: Column, k: int = 4, stride: int = 1) -> Column:
     """Full windows of k atoms; single atoms when too short; one empty token
     when there are no atoms."""
-    atoms = tok_atomwise(smi)
-    n = F.size(atoms)
-    starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1), F.lit(stride)))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(atoms, i, k), ""))
-    return F.when(n >= k, windows).when(n > 0, atoms).otherwise(F.array(F.lit("")))
+
+    def windows(atoms: Column) -> Column:
+        n = F.size(atoms)
+        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1), F.lit(stride)))
+        full = F.transform(starts, lambda i: F.array_join(F.slice(atoms, i, k), ""))
+        return F.when(n >= k, full).when(n > 0, atoms).otherwise(F.array(F.lit("")))
+
+    return bind(tok_atomwise(smi), windows)
 
 
 def _marked(tokens: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
 from molcorpus.functions import smiles as S
-from molcorpus.functions.text import bind, words
+from molcorpus.functions.text import bind, entries, words
 from molcorpus.operators.extract import segment_set
 
 _TAGS_LENGTH = len(P.START_TAG) + len(P.END_TAG)
@@ -34,9 +34,7 @@ def with_context(df: DataFrame, key: str, col: str, before: int = 7, after: int
     """Each word with the word before it and the words around it. The window is
     cut from the word array of the row, so nothing is shuffled."""
     split = df.select(key, words(F.col(col)).alias("_words"))
-    return split.select(
-        key, "_words", F.posexplode("_words").alias("pos", "word")
-    ).select(
+    return entries(split, [key, "_words"], "_words", "pos", "word").select(
         key,
         "pos",
         "word",

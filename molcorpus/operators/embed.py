@@ -20,10 +20,13 @@ RANDOM_SCALE = 0.02
 STRATEGIES = ("default", "average", "elementwise")
 
 
+def _doubles(vectors: str) -> Column:
+    return F.transform(vectors, lambda x: x.cast("double"))
+
+
 def _mean(vectors: str) -> Column:
     """Mean of an array column, dimension by dimension, combined before the shuffle."""
-    doubles = F.transform(vectors, lambda x: x.cast("double"))
-    return vector_to_array(Summarizer.mean(array_to_vector(doubles)))
+    return vector_to_array(Summarizer.mean(array_to_vector(_doubles(vectors))))
 
 
 def init_average(base: DataFrame, new_ids: DataFrame) -> DataFrame:
@@ -93,13 +96,21 @@ def mean_pool(df: DataFrame, keys: list[str], ids: str, mask: str, base: DataFra
     """Mean vector of the unmasked ids of each row, zeros where there are none.
     Vectors of a row are summed where its ids were read, so the shuffle carries
     about one vector per row."""
-    pairs = df.select(*keys, F.explode(F.arrays_zip(F.col(ids).alias("id"), F.col(mask).alias("m"))).alias("p"))
-    present = pairs.filter(F.col("p.m") == 1).select(*keys, F.col("p.id").alias("token_id"))
-    pooled = present.join(base, "token_id").groupBy(*keys).agg(_mean("embedding").alias("embedding"))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    return df.select(*keys).join(pooled, keys, "left").withColumn(
-        "embedding", F.coalesce("embedding", zeros)
+    pairs = F.arrays_zip(F.col(ids).alias("id"), F.col(mask).alias("m"))
+    present = df.select(*keys, F.explode_outer(pairs).alias("p")).select(
+        *keys, F.when(F.col("p.m") == 1, F.col("p.id")).alias("token_id")
+    )
+    vector = F.coalesce(_doubles("embedding"), F.array_repeat(F.lit(0.0), dim))
+    sums = (
+        present.join(base, "token_id", "left")
+        .groupBy(*keys)
+        .agg(
+            vector_to_array(Summarizer.sum(array_to_vector(vector))).alias("_sum"),
+            F.count("token_id").alias("_n"),
+        )
     )
+    count = F.greatest(F.col("_n").cast("double"), F.lit(1e-9))
+    return sums.select(*keys, F.transform("_sum", lambda x: x / count).alias("embedding"))
 
 
 def top_classes(df: DataFrame, label: str, k: int = 10) -> DataFrame:
@@ -116,8 +127,7 @@ def top_classes(df: DataFrame, label: str, k: int = 10) -> DataFrame:
 def project_2d(df: DataFrame, key: str, col: str = "embedding") -> DataFrame:
     """Two principal components, each with its largest loading positive. Linear,
     unlike the neighbour embedding often used for such plots."""
-    doubles = F.transform(col, lambda x: x.cast("double"))
-    vectors = df.withColumn("_v", array_to_vector(doubles))
+    vectors = df.withColumn("_v", array_to_vector(_doubles(col)))
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(vectors)
     loadings = model.pc.toArray()
     signs = [1.0 if max(c, key=abs) >= 0 else -1.0 for c in loadings.T]

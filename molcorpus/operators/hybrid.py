@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
-from molcorpus.functions.text import find_all
+from molcorpus.functions.text import bind, find_all
 from molcorpus.functions.tokenizers import TOKENIZERS, tok_whitespace
 from molcorpus.operators import vocab as V
 from molcorpus.operators.lookup import replace_entries
@@ -19,12 +19,16 @@ MODES = ("base", "base_special", "chem_only", "hybrid")
 def pieces_of(text: Column) -> Column:
     """Text split at segments whose tags stand on one line; the segments stay as
     pieces of their own, empty pieces are dropped."""
-    tagged = find_all(text, P.TAGGED_SPLIT)
-    between = F.split(text, P.TAGGED_SPLIT, -1)
-    alternating = F.flatten(
-        F.transform(between, lambda b, i: F.array(b, F.get(tagged, i)))
+    found = F.struct(
+        find_all(text, P.TAGGED_SPLIT).alias("tagged"),
+        F.split(text, P.TAGGED_SPLIT, -1).alias("between"),
     )
-    return F.filter(alternating, lambda p: F.coalesce(p != "", F.lit(False)))
+
+    def alternating(f: Column) -> Column:
+        pairs = F.transform(f["between"], lambda b, i: F.array(b, F.get(f["tagged"], i)))
+        return F.filter(F.flatten(pairs), lambda p: F.coalesce(p != "", F.lit(False)))
+
+    return bind(found, alternating)
 
 
 def hybrid_segments(df: DataFrame, key: str, col: str) -> DataFrame:

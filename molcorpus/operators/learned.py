@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
-from molcorpus.functions.text import find_all
+from molcorpus.functions.text import bind, find_all
 from molcorpus.functions.tokenizers import tok_atomwise, tok_whitespace
 from molcorpus.operators.lookup import BROADCAST_ROWS, replace_entries
 from molcorpus.operators.ranking import place
@@ -354,9 +354,11 @@ def wordpiece(words: Column, tokens: list[str], longest_word: int = 100) -> Colu
 
     def pieces(word: Column) -> Column:
         head = F.regexp_extract(word, f"^(?:{first})", 0)
-        rest = F.substr(word, F.length(head) + 1)
-        tail = find_all(rest, going_on)
-        fits = (F.length(word) <= longest_word) & (head != "") & (F.array_join(tail, "") == rest)
+        return bind(head, lambda h: bind(find_all(F.substr(word, F.length(h) + 1), going_on), lambda t: split(word, h, t)))
+
+    def split(word: Column, head: Column, tail: Column) -> Column:
+        whole = F.concat(head, F.array_join(tail, "")) == word
+        fits = (F.length(word) <= longest_word) & (head != "") & whole
         marked = F.transform(tail, lambda t: F.concat(F.lit(CONTINUES), t))
         return F.when(fits, F.concat(F.array(head), marked)).otherwise(F.array(F.lit(P.SPECIAL_TOKENS[0])))
 

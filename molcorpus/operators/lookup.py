@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from molcorpus.functions.text import entries
+
 # A literal map is searched entry by entry, so it is used for small tables only.
 LITERAL_ROWS = 256
 # Largest table shipped to the executors; larger ones are joined.
@@ -16,10 +18,10 @@ BROADCAST_ROWS = 2_000_000
 
 
 def _literal_map(rows: list, default) -> Callable[[Column], Column]:
-    entries = F.create_map(*[F.lit(x) for row in rows for x in row])
+    known = F.create_map(*[F.lit(x) for row in rows for x in row])
     if default is None:
-        return lambda item: F.element_at(entries, item)
-    return lambda item: F.coalesce(F.element_at(entries, item), F.lit(default))
+        return lambda item: F.element_at(known, item)
+    return lambda item: F.coalesce(F.element_at(known, item), F.lit(default))
 
 
 def _arrow_lookup(spark, rows: list, key_type: pa.DataType, value_type: pa.DataType, default):
@@ -79,9 +81,9 @@ def replace_entries(
 
 def _joined(df: DataFrame, col: str, table: DataFrame, default, row_keys: list[str], out: str) -> DataFrame:
     key, value = table.columns
-    entries = df.select(*row_keys, F.posexplode(col).alias("_pos", key))
+    exploded = entries(df, row_keys, col, "_pos", key)
     found = F.col(value) if default is None else F.coalesce(value, F.lit(default))
-    valued = entries.join(table, key, "left").select(
+    valued = exploded.join(table, key, "left").select(
         *row_keys, F.struct("_pos", found.alias("_value")).alias("_e")
     )
     lists = valued.groupBy(*row_keys).agg(

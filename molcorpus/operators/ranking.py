@@ -94,16 +94,18 @@ def first_rows(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     and, together, unique."""
     if n <= 0:
         return df.filter(F.lit(False))
-    rest, keep, same = df, F.lit(False), F.lit(True)
+    rest, keep, same, reach = df, F.lit(False), F.lit(True), F.lit(True)
     for i, key in enumerate(keys):
         cut = nth_smallest(rest, key, n)
+        if i == 0:
+            reach = F.col(key) <= cut  # implied, but the scan can use it
         last = i == len(keys) - 1
         keep |= same & ((F.col(key) <= cut) if last else (F.col(key) < cut))
         same &= F.col(key) == cut
         if not last:
             n -= rest.filter(F.col(key) < cut).count()
             rest = rest.filter(F.col(key) == cut)
-    return df.filter(keep)
+    return df.filter(reach & keep)
 
 
 def portion(df: DataFrame, keys: list[str], share: float) -> DataFrame:

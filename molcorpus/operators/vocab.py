@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
+from molcorpus.functions.text import entries
 from molcorpus.operators.lookup import replace_entries
 from molcorpus.operators.ranking import number_rows, place
 from molcorpus.session import small_table
@@ -20,7 +21,7 @@ def special_vocab(spark) -> DataFrame:
 
 def token_rows(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """One row per token: the keys, ``pos`` and ``token``."""
-    return df.select(*keys, F.posexplode(col).alias("pos", "token"))
+    return entries(df, keys, col, "pos", "token")
 
 
 def _first_seen(tokens: DataFrame, order: list[str]) -> DataFrame:

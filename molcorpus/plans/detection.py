@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
 from molcorpus.functions import smiles as S
+from molcorpus.functions.text import entries
 from molcorpus.functions.text import words as split_text
 from molcorpus.operators import annotate as A
 from molcorpus.operators import extract as X
@@ -173,7 +174,7 @@ def is_smiles_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule on its own for each distinct (word, previous word)."""
     split = annotated(spark, sf_dir).select(split_text(F.col("text_raw")).alias("w"))
     pairs = (
-        split.select("w", F.posexplode("w").alias("pos", "token"))
+        entries(split, ["w"], "w", "pos", "token")
         .select("token", F.get("w", F.col("pos") - 1).alias("prev"))
         .groupBy("token", "prev")
         .agg(F.count(F.lit(1)).alias("n"))
