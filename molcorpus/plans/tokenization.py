@@ -161,7 +161,7 @@ def tok_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Fertility -------------------------------------------------------------------
 
 
-def _stats_sql(group: str = "") -> str:
+def stats_sql(group: str = "") -> str:
     by = f"{group}, " if group else ""
     quantile = "list_sort(list(n))[floor({} * count(*))::BIGINT + 1]::BIGINT"
     return f"""SELECT {by}count(*) AS total_smiles, sum(n)::BIGINT AS total_tokens,
@@ -172,7 +172,7 @@ def _stats_sql(group: str = "") -> str:
     FROM counts {f'GROUP BY {group}' if group else ''}"""
 
 
-@query(f"{_SEGMENTS}, counts AS (SELECT len({SIMPLE_SQL['element']}) AS n FROM segments) {_stats_sql()}")
+@query(f"{_SEGMENTS}, counts AS (SELECT len({SIMPLE_SQL['element']}) AS n FROM segments) {stats_sql()}")
 def fertility_element(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = TOKENIZERS["element"](F.col("smi"))
     return E.fertility(segments(spark, sf_dir), {"element": F.size(tokens)}).drop("tokenizer")
@@ -189,7 +189,7 @@ _ALL_COUNTS = " UNION ALL ".join(
 
 @query(
     f"{_SEGMENTS}, {RINGS_CTE}, {AROMATIC_CTE}, {PAREN_CTE}, counts AS ({_ALL_COUNTS}) "
-    + _stats_sql("tokenizer")
+    + stats_sql("tokenizer")
 )
 def fertility_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rule tokenizers in one pass over the segments."""

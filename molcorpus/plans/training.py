@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molcorpus.functions.tokenizers import tok_whitespace
+from molcorpus.functions import patterns as P
+from molcorpus.functions.text import entries
+from molcorpus.functions.tokenizers import tok_atomwise, tok_whitespace
 from molcorpus.operators import evaluate as E
 from molcorpus.operators import learned as L
-from molcorpus.plans.detection import segments
+from molcorpus.plans import training_sql as Q
+from molcorpus.plans.detection import SEGMENTS_CTE, segments
 from molcorpus.plans.registry import query
-from molcorpus.sources.samples import prose
+from molcorpus.plans.tokenization import stats_sql
+from molcorpus.sources.samples import ANNOTATED_SQL, prose
 
 WORD_MERGES = 32
 SMILES_SIZE = 120
@@ -19,6 +23,36 @@ MIN_FREQ = 2
 BASE, PATTERN, VALID = 1.0, 1.2, 1.5
 ORDER = ["doc_id", "seg"]
 
+# --- SQL side ------------------------------------------------------------------
+
+_WORD_SPECIALS = [*P.SPECIAL_TOKENS, P.START_TAG, P.END_TAG]
+_WORDS = f"WITH RECURSIVE {Q.DOCUMENT_WORDS}"
+_SMILES = f"WITH RECURSIVE {ANNOTATED_SQL}, {SEGMENTS_CTE}, {Q.SEGMENT_WORDS}"
+_BPE = Q.training_cte("bpe", "characters", 20_000, MIN_FREQ, _WORD_SPECIALS, max_merges=WORD_MERGES)
+_PIECES = Q.training_cte("wp", "continued", 20_000, MIN_FREQ, _WORD_SPECIALS, max_merges=WORD_MERGES)
+_SPE = Q.training_cte("spe", "characters", SMILES_SIZE, MIN_FREQ)
+_SWP = Q.training_cte("swp", "continued", SMILES_SIZE, MIN_FREQ)
+_ATOMS = Q.training_cte(
+    "atoms", "atoms", SMILES_SIZE, MIN_FREQ, count_specials=False, first_ties=True
+)
+_SCORED = Q.training_cte(
+    "scored", "atoms", SMILES_SIZE, MIN_FREQ, count_specials=False, first_ties=True,
+    multiplier=Q.multiplier_sql("tok", BASE, PATTERN, VALID),
+)
+
+
+def _merges_sql(name: str) -> str:
+    return f'SELECT rank, "left", "right", token, freq FROM {name}_merges'
+
+
+def _texts_sql(pieces: str) -> str:
+    return f"""SELECT d.doc_id, coalesce(tokens, '') AS tokens FROM documents d LEFT JOIN (
+      SELECT doc_id, string_agg(p.token, ' ' ORDER BY t.pos, p.pos) AS tokens
+      FROM document_tokens t JOIN {pieces} p USING (word) GROUP BY doc_id) USING (doc_id)"""
+
+
+# --- Spark side ------------------------------------------------------------------
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose(spark, sf_dir).select("doc_id", "text")
@@ -55,12 +89,12 @@ def _multiplier(token: Column) -> Column:
     return L.structural_multiplier(token, BASE, PATTERN, VALID)
 
 
-@query()
+@query(f"{_WORDS}, {_BPE} {_merges_sql('bpe')}")
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe(spark, sf_dir).merges
 
 
-@query()
+@query(f"{_WORDS}, {_BPE}, {Q.merged_cte('bpe')} {_texts_sql('bpe_pieces')}")
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     trained = word_bpe(spark, sf_dir)
     letters = [t for t in L.vocabulary_list(trained.vocab) if len(t) == 1]
@@ -70,12 +104,12 @@ def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"{_WORDS}, {_PIECES} SELECT token, id FROM wp_vocab")
 def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_pieces(spark, sf_dir).vocab
 
 
-@query()
+@query(f"{_WORDS}, {_PIECES}, {Q.wordpiece_cte('cut', 'wp_vocab')} {_texts_sql('cut_pieces')}")
 def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = L.vocabulary_list(word_pieces(spark, sf_dir).vocab)
     return _documents(spark, sf_dir).select(
@@ -84,32 +118,36 @@ def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"{_SMILES}, {_SPE} {_merges_sql('spe')}")
 def spe_char_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smiles_bpe(spark, sf_dir).merges
 
 
-@query()
+@query(f"{_SMILES}, {_SWP} SELECT token, id FROM swp_vocab")
 def swp_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smiles_pieces(spark, sf_dir).vocab
 
 
-@query()
+@query(f"{_SMILES}, {_ATOMS} {_merges_sql('atoms')}")
 def spe_atom_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atom_pairs(spark, sf_dir).merges
 
 
-@query()
+@query(f"{_SMILES}, {_SCORED} {_merges_sql('scored')}")
 def spe_scored_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_pairs(spark, sf_dir).merges
 
 
-@query()
+@query(f"{_SMILES}, {_ATOMS} SELECT token, freq FROM atoms_frequencies")
 def spe_token_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atom_pairs(spark, sf_dir).frequencies
 
 
-@query()
+@query(
+    f"""{_SMILES}, {_ATOMS}, {Q.longest_match_cte('cut', 'atoms_vocab')}
+    SELECT doc_id, segments.seg, string_agg(token, ' ' ORDER BY pos) AS tokens
+    FROM segments JOIN cut_pieces ON word = smi GROUP BY doc_id, segments.seg"""
+)
 def tok_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments through the learned atom-pair vocabulary."""
     tokens = L.vocabulary_list(atom_pairs(spark, sf_dir).vocab)
@@ -120,7 +158,17 @@ def tok_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    f"""{_SMILES}, {_SPE}, {_SWP}, {_ATOMS}, {_SCORED}, {Q.merged_cte('spe')},
+    {Q.wordpiece_cte('swp_cut', 'swp_vocab')}, {Q.longest_match_cte('atoms_cut', 'atoms_vocab')},
+    {Q.longest_match_cte('scored_cut', 'scored_vocab')},
+    sizes AS (
+      SELECT 'spe' AS tokenizer, word, count(*) AS n FROM spe_pieces GROUP BY word
+      UNION ALL SELECT 'swp', word, count(*) FROM swp_cut_pieces GROUP BY word
+      UNION ALL SELECT 'manual_spe', word, count(*) FROM atoms_cut_pieces GROUP BY word
+      UNION ALL SELECT 'scored_spe', word, count(*) FROM scored_cut_pieces GROUP BY word),
+    counts AS (SELECT tokenizer, n FROM segments JOIN sizes ON word = smi) {stats_sql('tokenizer')}"""
+)
 def fertility_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All learned tokenizers on the SMILES they were trained on."""
     smi = F.col("smi")
@@ -138,3 +186,24 @@ def fertility_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
             "scored_spe": F.size(L.longest_match(smi, scored)),
         },
     )
+
+
+_MULTIPLIER = Q.multiplier_sql("tok", BASE, PATTERN, VALID)
+
+
+@query(
+    f"""WITH {ANNOTATED_SQL}, {SEGMENTS_CTE},
+    atoms AS (SELECT smi, {Q.SPELLINGS['atoms'].replace('word', 'smi')} AS a FROM segments),
+    toks AS (SELECT smi AS tok FROM segments
+      UNION ALL SELECT unnest(list_transform(range(1, len(a)), lambda i: concat(a[i], a[i + 1]))) FROM atoms)
+    SELECT tok AS token, count(*) AS n, any_value({_MULTIPLIER}) AS multiplier FROM toks GROUP BY tok"""
+)
+def merge_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural bonus of every SMILES and of every pair of neighbouring atoms."""
+    rows = segments(spark, sf_dir).withColumn("a", tok_atomwise(F.col("smi")))
+    placed = entries(rows, ["a"], "a", "pos", "atom")
+    following = F.get("a", F.col("pos") + 1)
+    pairs = placed.select(F.concat("atom", following).alias("token")).filter("token IS NOT NULL")
+    tokens = rows.select(F.col("smi").alias("token")).unionByName(pairs)
+    distinct = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return distinct.withColumn("multiplier", _multiplier(F.col("token")))
