@@ -8,6 +8,7 @@ of length two.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -76,6 +77,17 @@ def _met(at: Column) -> Column:
     return F.min(F.col("first") + at).alias("met")
 
 
+def _merged(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """Words after some merges. The merges are one constant, so that every round
+    runs the same compiled code."""
+    if not merges:
+        return words
+    steps = F.from_json(F.lit(json.dumps(merges)), "array<array<string>>")
+    return words.withColumn(
+        "w", F.aggregate(steps, F.col("w"), lambda w, m: F.replace(w, F.get(m, F.lit(0)), F.get(m, F.lit(1))))
+    )
+
+
 def _pairs(words: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(1), F.length("w") - 1)
     pairs = F.transform(places, lambda i: F.substr("w", i, F.lit(2)))
@@ -173,7 +185,9 @@ def train_merges(
     )
     # The table is small enough to be shipped, so rows need no key to be joined by.
     coded = replace_entries(spelled, "symbols", private, None, [])
-    current, pending, merges = materialize(coded.select(F.array_join("symbols", "").alias("w"), *kept)), 0, []
+    stored = materialize(coded.select(F.array_join("symbols", "").alias("w"), *kept))
+    merges: list[tuple] = []
+    pending: list[tuple[str, str]] = []
     extra = len(specials) if count_specials else 0
 
     def full() -> bool:
@@ -181,10 +195,9 @@ def train_merges(
         return size > max_size if as_run else size >= max_size
 
     while not full() and (max_merges is None or len(merges) < max_merges):
-        top = _ranked(_pairs(current), tokens, ties, multiplier).limit(PAIRS_PER_ROUND).collect()
+        top = _ranked(_pairs(_merged(stored, pending)), tokens, ties, multiplier).limit(PAIRS_PER_ROUND).collect()
         admitted = _admissible(top, len(top) < PAIRS_PER_ROUND, multipliers)
         stop = not admitted
-        w = F.col("w")
         for pair in admitted:
             if full() or len(merges) == max_merges:
                 break
@@ -199,15 +212,14 @@ def train_merges(
                 tokens.append(token)
             merges.append((len(merges), left, right, token, pair["n"]))
             freq[token] = freq.get(token, 0) + pair["n"]
-            w = F.replace(w, F.lit(pair["pair"]), F.lit(_private(ids[token])))
-            pending += 1
+            pending.append((pair["pair"], _private(ids[token])))
             if known:
                 break  # its pairs gain from elsewhere: count again first
         if stop:
             break
-        current = current.withColumn("w", w)
-        if pending >= MERGES_PER_STORE:
-            current, pending = materialize(current.filter(F.length("w") > 1)), 0
+        if len(pending) >= MERGES_PER_STORE:
+            merged = _merged(stored, pending).filter(F.length("w") > 1)
+            stored, pending = materialize(merged), []
 
     vocab = [(t, i) for i, t in enumerate([*specials, *(t for t in tokens if t not in specials)])]
     return Trained(

@@ -109,8 +109,8 @@ def _set_sql(col: str) -> str:
     )
 
 
-_ANNOTATED_WORDS = f"WITH {ANNOTATED_SQL}, {words_cte('annotated', 'text_raw')}, {TAGGED_WORDS_CTE}"
-_CONFUSION = f"""{_ANNOTATED_WORDS},
+ANNOTATED_WORDS = f"WITH {ANNOTATED_SQL}, {words_cte('annotated', 'text_raw')}, {TAGGED_WORDS_CTE}"
+_CONFUSION = f"""{ANNOTATED_WORDS},
 pairs AS (SELECT a.doc_id, {_set_sql('r.text_reannotated')} AS p, {_set_sql('a.text_tags')} AS t
           FROM annotated a JOIN reannotated r USING (doc_id)),
 sets AS (SELECT doc_id, list_filter(p, lambda x: list_contains(t, x)) AS tp_set,
@@ -190,7 +190,7 @@ def is_smiles_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{_ANNOTATED_WORDS} SELECT * FROM reannotated")
+@query(f"{ANNOTATED_WORDS} SELECT * FROM reannotated")
 def annotate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reannotated(spark, sf_dir).select(
         "doc_id", "text_reannotated", "reannotated_smiles_count"
@@ -198,7 +198,7 @@ def annotate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{_ANNOTATED_WORDS} SELECT a.*, r.text_reannotated, r.reannotated_smiles_count "
+    f"{ANNOTATED_WORDS} SELECT a.*, r.text_reannotated, r.reannotated_smiles_count "
     "FROM annotated a JOIN reannotated r USING (doc_id)"
 )
 def reannotate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +274,7 @@ def top_false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_ANNOTATED_WORDS} SELECT a.doc_id,
+    f"""{ANNOTATED_WORDS} SELECT a.doc_id,
       len(regexp_extract_all(a.text_tags, {literal(P.TAGGED)}))::BIGINT AS stored,
       r.reannotated_smiles_count AS recomputed,
       (r.reannotated_smiles_count - len(regexp_extract_all(a.text_tags, {literal(P.TAGGED)})))::BIGINT

@@ -74,29 +74,29 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POOL_SQL = "[" + ", ".join(literal(s) for s in POOL) + "]"
-_LABELLED = f"""labelled AS (SELECT p_partkey, {_POOL_SQL}[p_partkey % 20 + 1] AS smiles,
+LABELLED = f"""labelled AS (SELECT p_partkey, {_POOL_SQL}[p_partkey % 20 + 1] AS smiles,
   CASE WHEN p_partkey % 13 <> 0 THEN concat_ws(' ', p_type, (p_partkey % 4)::VARCHAR) END AS label FROM part)"""
 
 
-@query(f"WITH {_LABELLED} SELECT p_partkey, concat('[START_SMILES]', smiles, '[END_SMILES]') AS smiles FROM labelled")
+@query(f"WITH {LABELLED} SELECT p_partkey, concat('[START_SMILES]', smiles, '[END_SMILES]') AS smiles FROM labelled")
 def wrap_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("p_partkey", X.wrap_tags(F.col("smiles")).alias("smiles"))
 
 
-@query(f"WITH {_LABELLED} SELECT p_partkey, smiles, label FROM labelled WHERE label IS NOT NULL")
+@query(f"WITH {LABELLED} SELECT p_partkey, smiles, label FROM labelled WHERE label IS NOT NULL")
 def drop_null_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.drop_null_labels(labelled(spark, sf_dir), "label")
 
 
 @query(
-    f"WITH {_LABELLED} SELECT count(*) FILTER (WHERE label IS NULL) AS n_dropped, count(label) AS n_kept FROM labelled"
+    f"WITH {LABELLED} SELECT count(*) FILTER (WHERE label IS NULL) AS n_dropped, count(label) AS n_kept FROM labelled"
 )
 def null_label_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.null_label_count(labelled(spark, sf_dir), "label")
 
 
 @query(
-    f"""WITH {_LABELLED}, top AS (SELECT label FROM labelled WHERE label IS NOT NULL
+    f"""WITH {LABELLED}, top AS (SELECT label FROM labelled WHERE label IS NOT NULL
       GROUP BY label ORDER BY count(*) DESC, label LIMIT 10)
     SELECT p_partkey, smiles, label FROM labelled WHERE label IN (SELECT label FROM top)"""
 )

@@ -179,3 +179,19 @@ def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = W.pack_blocks(cut, ["doc_id", "win"], "ids", BLOCK)
     blocks = W.assemble_blocks(cut, placed, ["doc_id", "win"], "ids")
     return blocks.select("block_part", "block", F.size("ids").cast("bigint").alias("n_ids"), _ids())
+
+
+@query(
+    f"""{_WINDOWED} SELECT count(*) FILTER (WHERE len(ids) > 0) AS n_windows,
+      sum(len(ids))::BIGINT AS n_ids, 0::BIGINT AS n_overfull FROM windows"""
+)
+def pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing keeps every window and every id and overfills no block."""
+    cut = materialize(windows(spark, sf_dir))
+    placed = materialize(W.pack_blocks(cut, ["doc_id", "win"], "ids", BLOCK))
+    blocks = W.assemble_blocks(cut, placed, ["doc_id", "win"], "ids")
+    return blocks.agg(
+        placed.agg(F.count(F.lit(1))).scalar().alias("n_windows"),
+        F.sum(F.size("ids")).alias("n_ids"),
+        F.count_if(F.size("ids") > BLOCK).alias("n_overfull"),
+    )

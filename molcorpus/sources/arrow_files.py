@@ -1,14 +1,22 @@
-"""Reading corpora kept as Arrow IPC files, as a Spark data source."""
+"""Corpora kept as Arrow IPC files, as a Spark data source to read and write."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fnmatch import fnmatch
 
 import pyarrow as pa
 from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    InputPartition,
+    WriterCommitMessage,
+)
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -69,6 +77,46 @@ class ArrowReader(DataSourceReader):
                     yield batch.select(self.columns)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """A finished file under its working name; none for a task without rows."""
+
+    path: str | None
+
+
+class ArrowWriter(DataSourceArrowWriter):
+    """One file per task. Files get their ``.arrow`` name, which readers look for,
+    when all tasks are done."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, folder = fs.FileSystem.from_uri(self.folder)
+        system.create_dir(folder)
+        path = f"{folder}/{uuid.uuid4().hex}.writing"
+        first = next(iterator, None)
+        if first is None:
+            return Written(None)
+        with system.open_output_stream(path) as file, ipc.new_stream(file, first.schema) as sink:
+            sink.write_batch(first)
+            for batch in iterator:
+                sink.write_batch(batch)
+        return Written(path)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, _ = fs.FileSystem.from_uri(self.folder)
+        for message in messages:
+            if message and message.path:
+                system.move(message.path, message.path.removesuffix("writing") + "arrow")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, _ = fs.FileSystem.from_uri(self.folder)
+        for message in messages:
+            if message and message.path:
+                system.delete_file(message.path)
+
+
 class ArrowFiles(DataSource):
     """Options: ``path`` (a folder), ``pattern`` and ``columns`` (comma-separated;
     only these are decoded)."""
@@ -99,6 +147,11 @@ class ArrowFiles(DataSource):
     def reader(self, schema: StructType) -> ArrowReader:
         return ArrowReader(self._files(), schema.names)
 
+    def writer(self, schema: StructType, overwrite: bool) -> ArrowWriter:
+        if overwrite:
+            raise ValueError("Arrow files are only added; choose an empty folder")
+        return ArrowWriter(self.options["path"])
+
 
 def scan_arrow(
     spark: SparkSession, folder: str, pattern: str = "**/*.arrow", columns: list[str] | None = None
@@ -109,3 +162,9 @@ def scan_arrow(
     if columns:
         reader = reader.option("columns", ",".join(columns))
     return reader.load()
+
+
+def write_arrow(df: DataFrame, folder: str) -> None:
+    """Add the rows to a folder of Arrow files."""
+    df.sparkSession.dataSource.register(ArrowFiles)
+    df.write.format(FORMAT).option("path", folder).mode("append").save()
