@@ -28,6 +28,9 @@ CONTINUES = "##"
 PAIRS_PER_ROUND = 1024
 # Merges replayed on the stored words before they are stored again.
 MERGES_PER_STORE = 48
+# While merges between two stores touch less than this share of all symbols, pair
+# counts are kept and only the words that changed are counted again.
+SMALL_CHANGE = 0.1
 
 
 @dataclass
@@ -98,6 +101,16 @@ def _pairs(words: DataFrame) -> DataFrame:
     return found.groupBy("pair").agg(F.sum("c").alias("n"), *met)
 
 
+def _recounted(counts: DataFrame, words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """Pair counts after some merges: the stored ones, less the pairs of the words
+    that changed as they were, plus those as they are."""
+    after = _merged(words.withColumn("before", F.col("w")), merges).filter("w <> before")
+    gone = F.struct(F.col("before").alias("w"), (-F.col("c")).alias("c"))
+    both = after.select(F.explode(F.array(gone, F.struct("w", "c"))).alias("x")).select("x.w", "x.c")
+    rows = counts.unionByName(_pairs(both))
+    return rows.groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def _admissible(pairs: list, complete: bool, multipliers: tuple[float, float]) -> list:
     """The pairs at the head of the ranking that one-at-a-time merging would take
     next in the same order.
@@ -188,6 +201,7 @@ def train_merges(
     stored = materialize(coded.select(F.array_join("symbols", "").alias("w"), *kept))
     merges: list[tuple] = []
     pending: list[tuple[str, str]] = []
+    counts, symbols = None, sum(freq.values())
     extra = len(specials) if count_specials else 0
 
     def full() -> bool:
@@ -195,7 +209,11 @@ def train_merges(
         return size > max_size if as_run else size >= max_size
 
     while not full() and (max_merges is None or len(merges) < max_merges):
-        top = _ranked(_pairs(_merged(stored, pending)), tokens, ties, multiplier).limit(PAIRS_PER_ROUND).collect()
+        if counts is not None and pending:
+            pairs = _recounted(counts, stored, pending)
+        else:
+            pairs = _pairs(_merged(stored, pending))
+        top = _ranked(pairs, tokens, ties, multiplier).limit(PAIRS_PER_ROUND).collect()
         admitted = _admissible(top, len(top) < PAIRS_PER_ROUND, multipliers)
         stop = not admitted
         for pair in admitted:
@@ -218,8 +236,10 @@ def train_merges(
         if stop:
             break
         if len(pending) >= MERGES_PER_STORE:
-            merged = _merged(stored, pending).filter(F.length("w") > 1)
-            stored, pending = materialize(merged), []
+            changed = sum(m[-1] for m in merges[-len(pending):])
+            stored, pending = materialize(_merged(stored, pending).filter(F.length("w") > 1)), []
+            keep = ties == "id" and changed < SMALL_CHANGE * symbols
+            counts = materialize(_pairs(stored)) if keep else None
 
     vocab = [(t, i) for i, t in enumerate([*specials, *(t for t in tokens if t not in specials)])]
     return Trained(

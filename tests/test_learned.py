@@ -95,9 +95,13 @@ def test_scored_pairs(spark, seed):
     assert merges_of(got) == loop([atoms(s) for s in strings], 60, 2, "first", multiplier_of)[0]
 
 
+@pytest.mark.parametrize("small_change", [0.0, 1e9])
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
-def test_runs_and_ties(spark, letters):
-    """Repeated letters overlap themselves, few letters tie often."""
+def test_runs_and_ties(spark, letters, small_change, monkeypatch):
+    """Repeated letters overlap themselves, few letters tie often. Counts are
+    taken anew in every round, or kept and corrected."""
+    monkeypatch.setattr(L, "MERGES_PER_STORE", 5)
+    monkeypatch.setattr(L, "SMALL_CHANGE", small_change)
     rng = random.Random(len(letters))
     strings = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(120)]
     got = L.train_bpe(table(spark, strings), "smi", ["doc_id"], 60, 1, None)
