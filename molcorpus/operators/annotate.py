@@ -126,13 +126,18 @@ def ambiguous_candidates(df: DataFrame, key: str, col: str, max_length: int = 6)
 
 
 def apply_verdicts(candidates: DataFrame, verdicts: DataFrame, element_names: bool = True) -> DataFrame:
-    """Merge reviewer answers ``(token, context, answer)``: YES and NO decide,
-    without an answer the remaining rules do."""
-    answers = verdicts.groupBy("token", "context").agg(F.max("answer").alias("answer"))
+    """Merge reviewer answers ``(token, context, answer)``: an answer with YES in
+    it accepts, else one with NO in it rejects; without a clear answer the
+    remaining rules decide."""
+    said = F.upper("answer")
+    answers = verdicts.groupBy("token", "context").agg(
+        F.bool_or(said.contains("YES")).alias("yes"), F.bool_or(said.contains("NO")).alias("no")
+    )
     rules = S.passes_after_review(F.col("token"), F.col("prev"), element_names)
-    return candidates.join(answers, ["token", "context"], "left").withColumn(
-        "is_smiles",
-        F.when(F.col("answer") == "YES", True).when(F.col("answer") == "NO", False).otherwise(rules),
+    return (
+        candidates.join(answers, ["token", "context"], "left")
+        .withColumn("is_smiles", F.when(F.col("yes"), True).when(F.col("no"), False).otherwise(rules))
+        .drop("yes", "no")
     )
 
 

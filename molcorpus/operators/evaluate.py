@@ -141,10 +141,12 @@ def overall_accuracy(topics: DataFrame) -> DataFrame:
 
 
 def leaderboard(topics: DataFrame) -> DataFrame:
-    """One row per model: accuracy of every topic and overall."""
+    """One row per model: its last path part as ``name``, accuracy of every topic
+    and overall."""
     wide = topics.groupBy("model").pivot("topic", P.TOPICS).agg(F.first("accuracy"))
     overall = overall_accuracy(topics).select("model", "overall_accuracy")
-    return wide.fillna(0.0).join(overall, "model")
+    name = F.regexp_extract("model", "([^/]*)/*$", 1)
+    return wide.fillna(0.0).join(overall, "model").withColumn("name", name)
 
 
 def best_model(overall: DataFrame) -> DataFrame:

@@ -123,24 +123,30 @@ def _key(keys: list[str]) -> Column:
 
 
 def hash_cut(df: DataFrame, keys: list[str], seed: int, n_of) -> str | None:
-    """The n-th smallest seeded hash, where ``n_of(total)`` gives n.
+    """The n-th smallest seeded hash, where ``n_of(total)`` gives n; a value after
+    all hashes when there are fewer rows, None for n = 0.
 
-    A histogram over the first four hex digits (at most 65,536 rows) finds the
-    bucket of the n-th row; only that bucket is ordered.
+    A histogram over four hex digits at a time (at most 65,536 rows) finds the
+    bucket of the n-th row, until the bucket is small enough to be ordered.
     """
     hashed = df.select(draw_hash(_key(keys), seed).alias("h"))
-    heads = hashed.groupBy(F.substring("h", 1, 4).alias("head")).agg(F.count(F.lit(1)).alias("c"))
-    upto = heads.select("head", "c", F.sum("c").over(Window.orderBy("head")).alias("upto"))
-    histogram = upto.orderBy("head").collect()
-    n = n_of(histogram[-1]["upto"]) if histogram else 0
-    if n <= 0:
-        return None
-    bucket = next((row for row in histogram if row["upto"] >= n), None)
-    if bucket is None:
-        return "g"  # after every hex digit: all rows
-    inside = n - (bucket["upto"] - bucket["c"])
-    ordered = hashed.filter(F.col("h").startswith(bucket["head"])).orderBy("h").limit(inside)
-    return ordered.agg(F.max("h")).first()[0]
+    prefix, n = "", None
+    while True:
+        digits = F.substring("h", len(prefix) + 1, 4).alias("digits")
+        histogram = sorted(hashed.groupBy(digits).count().collect())
+        n = n_of(sum(row["count"] for row in histogram)) if n is None else n
+        if n <= 0:
+            return None
+        for row in histogram:
+            if n <= row["count"]:
+                break
+            n -= row["count"]
+        else:
+            return "g"  # follows every hex digit
+        prefix += row["digits"]
+        hashed = hashed.filter(F.col("h").startswith(prefix))
+        if row["count"] <= ONE_TASK_ROWS or len(prefix) == 32:
+            return hashed.orderBy("h").limit(n).agg(F.max("h")).first()[0]
 
 
 def sample_n(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:

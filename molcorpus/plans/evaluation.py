@@ -226,12 +226,13 @@ _WIDE = ", ".join(f"round(max(accuracy) FILTER (WHERE topic = '{t}'), 9) AS {t}"
 
 
 @query(
-    f"""WITH {SCORED_CTE} SELECT model, {_WIDE}, round(any_value(overall_accuracy), 9) AS overall_accuracy
+    f"""WITH {SCORED_CTE} SELECT model, string_split(model, '/')[-1] AS name, {_WIDE}, round(any_value(overall_accuracy), 9) AS overall_accuracy
     FROM accuracies JOIN overall USING (model) GROUP BY model"""
 )
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = E.leaderboard(accuracies(spark, sf_dir))
-    return board.select("model", *[F.round(c, 9).alias(c) for c in board.columns if c != "model"])
+    numbers = [c for c in board.columns if c not in ("model", "name")]
+    return board.select("model", "name", *[F.round(c, 9).alias(c) for c in numbers])
 
 
 @query(

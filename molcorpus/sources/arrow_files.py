@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs, ipc
@@ -21,60 +22,57 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 FORMAT = "arrow_files"
-# Record batches per task, where a file says in its footer where they are.
-BATCHES_PER_TASK = 64
+# A local file is read by one task per this many bytes.
+SPLIT_BYTES = 128 * 1024**2
 
 
-class Batches(InputPartition):
-    """Part of a file: batches from ``first`` to before ``last``, or all of them."""
+class Share(InputPartition):
+    """Every ``parts``-th record batch of a file, from batch number ``part`` on."""
 
-    def __init__(self, path: str, first: int = 0, last: int | None = None):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, part: int, parts: int):
+        self.path, self.part, self.parts = path, part, parts
 
 
 def _open(path: str):
-    """Reader for either IPC layout, and whether it can jump to a batch."""
+    """A local file is mapped into memory, so that batches passed over cost nothing."""
     system, inner = fs.FileSystem.from_uri(path)
-    source = system.open_input_file(inner)
-    try:
-        return source, ipc.open_file, True, ipc.open_file(source).num_record_batches
-    except pa.ArrowInvalid:
-        source.seek(0)
-        return source, ipc.open_stream, False, None
+    return pa.memory_map(inner) if system.type_name == "local" else system.open_input_file(inner)
 
 
-def _options(source, opener, columns: list[str]) -> ipc.IpcReadOptions:
+def _reader(source, columns: list[str] | None = None):
+    """Reader for either IPC layout; a file that can be jumped about in starts
+    with a mark. With ``columns`` only these are decoded."""
+    jumps = source.read(6) == b"ARROW1"
+    opener = ipc.open_file if jumps else ipc.open_stream
+    source.seek(0)
+    if columns is None:
+        return opener(source), jumps
     names = opener(source).schema.names
     source.seek(0)
-    return ipc.IpcReadOptions(included_fields=[names.index(c) for c in columns])
+    options = ipc.IpcReadOptions(included_fields=[names.index(c) for c in columns])
+    return opener(source, options=options), jumps
 
 
 class ArrowReader(DataSourceReader):
-    def __init__(self, files: list[str], columns: list[str]):
+    def __init__(self, files: list[tuple[str, int]], columns: list[str]):
         self.files, self.columns = files, columns
 
     def partitions(self) -> list[InputPartition]:
-        parts: list[InputPartition] = []
-        for path in self.files:
-            source, _, jumps, count = _open(path)
-            source.close()
-            if not jumps:
-                parts.append(Batches(path))
-                continue
-            for first in range(0, count, BATCHES_PER_TASK):
-                parts.append(Batches(path, first, min(first + BATCHES_PER_TASK, count)))
-        return parts
-
-    def read(self, partition: Batches) -> Iterator[pa.RecordBatch]:
-        source, opener, jumps, _ = _open(partition.path)
-        with source:
-            reader = opener(source, options=_options(source, opener, self.columns))
+        shares: list[InputPartition] = []
+        for path, parts in self.files:
+            shares += [Share(path, part, parts) for part in range(parts)]
+        return shares
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        with _open(partition.path) as source:
+            reader, jumps = _reader(source, self.columns)
             if jumps:
-                for i in range(partition.first, partition.last):
-                    yield reader.get_batch(i).select(self.columns)
+                numbers = range(partition.part, reader.num_record_batches, partition.parts)
+                batches = (reader.get_batch(i) for i in numbers)
             else:
-                for batch in reader:
-                    yield batch.select(self.columns)
+                batches = islice(reader, partition.part, None, partition.parts)
+            for batch in batches:
+                yield batch.select(self.columns)
 
 
 @dataclass
@@ -125,22 +123,23 @@ class ArrowFiles(DataSource):
     def name(cls) -> str:
         return FORMAT
 
-    def _files(self) -> list[str]:
+    def _files(self) -> list[tuple[str, int]]:
+        """Paths and numbers of tasks, from the listing alone."""
         folder = self.options["path"]
         system, inner = fs.FileSystem.from_uri(folder)
         pattern = self.options.get("pattern", "**/*.arrow").removeprefix("**/")
-        prefix = "" if system.type_name == "local" else folder.split("://")[0] + "://"
+        local = system.type_name == "local"
+        prefix = "" if local else folder.split("://")[0] + "://"
         found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-        files = [f.path for f in found if f.is_file and fnmatch(f.base_name, pattern)]
+        files = [f for f in found if f.is_file and fnmatch(f.base_name, pattern)]
         if not files:
             raise FileNotFoundError(f"no {pattern} under {folder}")
-        return sorted(prefix + f for f in files)
+        parts = lambda f: max(1, -(-f.size // SPLIT_BYTES)) if local else 1
+        return sorted((prefix + f.path, parts(f)) for f in files)
 
     def schema(self) -> StructType:
-        source, opener, _, _ = _open(self._files()[0])
-        with source:
-            source.seek(0)
-            schema = from_arrow_schema(opener(source).schema)
+        with _open(self._files()[0][0]) as source:
+            schema = from_arrow_schema(_reader(source)[0].schema)
         columns = self.options.get("columns")
         return StructType([schema[c] for c in columns.split(",")]) if columns else schema
 

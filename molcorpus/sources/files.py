@@ -31,11 +31,14 @@ def scan_parquet(spark: SparkSession, files: list[str]) -> DataFrame:
     return spark.read.parquet(*files).select("text")
 
 
-def scan_labelled(spark: SparkSession, path: str, smiles_col: str, label_col: str) -> DataFrame:
+def scan_labelled(
+    spark: SparkSession, path: str, smiles_col: str, label_col: str, multi_line: bool = True
+) -> DataFrame:
     """Tagged SMILES and labels of a CSV file, or of its ``sample_`` neighbour
-    when the file is missing."""
+    when the file is missing. Files whose fields hold no line breaks can be read
+    in parts: say ``multi_line=False``."""
     reader = (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     )
     if not _exists(spark, path):
         path = path.replace("coconut", "sample_coconut")

@@ -61,7 +61,9 @@ def _hash(key, seed=42):
     return md5(f"{seed}:{key}".encode()).hexdigest()
 
 
-def test_sample_and_split(rows):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_sample_and_split(rows, one_task, monkeypatch):
+    monkeypatch.setattr(ranking, "ONE_TASK_ROWS", one_task)
     df, pairs = rows
     order = sorted(pairs, key=lambda p: _hash(f"{p[0]}:{p[1]}"))
     got = ranking.sample_n(df, ["doc_id", "seg"], 57).collect()

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from molcorpus.functions.tokenizers import tok_element
 from molcorpus.operators.annotate import annotate
 from molcorpus.sources import files, shards
-from molcorpus.sources.arrow_files import scan_arrow
+from molcorpus.sources.arrow_files import ArrowReader, scan_arrow, write_arrow
 from molcorpus.streaming import corpus
 
 
-def write_arrow(path, opener, batches):
+def write_file(path, opener, batches):
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with opener(path, batches[0].schema) as sink:
         for batch in batches:
@@ -32,8 +32,8 @@ def arrow_folder(tmp_path):
             for i in range(0, 9, 3)
         ]
 
-    write_arrow(f"{tmp_path}/a/one.arrow", ipc.new_stream, batches(0))
-    write_arrow(f"{tmp_path}/b/two.arrow", ipc.new_file, batches(100))
+    write_file(f"{tmp_path}/a/one.arrow", ipc.new_stream, batches(0))
+    write_file(f"{tmp_path}/b/two.arrow", ipc.new_file, batches(100))
     (tmp_path / "b" / "notes.txt").write_text("no data")
     return str(tmp_path)
 
@@ -48,6 +48,24 @@ def test_arrow(spark, arrow_folder, monkeypatch):
     assert some.agg(F.sum("n_chemicals")).first()[0] == sum(range(100, 109))
 
 
+@pytest.mark.parametrize("opener", [ipc.new_stream, ipc.new_file])
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_arrow_shares_cover_a_file(tmp_path, opener, parts):
+    batches = [pa.record_batch({"a": [i], "b": [str(i)]}) for i in range(9)]
+    write_file(f"{tmp_path}/f.arrow", opener, batches)
+    reader = ArrowReader([(f"{tmp_path}/f.arrow", parts)], ["b"])
+    shares = [list(reader.read(p)) for p in reader.partitions()]
+    assert len(shares) == parts
+    assert sorted(b["b"][0].as_py() for share in shares for b in share) == [str(i) for i in range(9)]
+
+
+def test_arrow_is_added_to(spark, tmp_path):
+    for _ in range(2):
+        write_arrow(spark.range(5).repartition(2), f"{tmp_path}/f")
+    assert scan_arrow(spark, f"{tmp_path}/f").count() == 10
+    assert not [p for p in os.listdir(f"{tmp_path}/f") if not p.endswith(".arrow")]
+
+
 def test_arrow_without_files(spark, tmp_path):
     with pytest.raises(Exception, match="no "):
         scan_arrow(spark, str(tmp_path)).collect()
