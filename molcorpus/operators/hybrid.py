@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
 from molcorpus.functions.text import bind, find_all
-from molcorpus.functions.tokenizers import TOKENIZERS, tok_whitespace
+from molcorpus.functions.tokenizers import tok_whitespace
 from molcorpus.operators import vocab as V
 from molcorpus.operators.lookup import replace_entries
+from molcorpus.operators.tokenizer import Tokenizer, rule
 
 MODES = ("base", "base_special", "chem_only", "hybrid")
 
@@ -57,17 +56,21 @@ def base_tokens(text: Column, tags: bool = True) -> Column:
     return find_all(text, f"{either}|{P.WORD_TOKEN_JAVA}")
 
 
-def hybrid_tokens(text: Column, chem_tokenizer: Callable[[Column], Column]) -> Column:
-    """Token array over both vocabularies: tokens start with ``c`` where they
-    belong to the chemical one and with ``b`` where to the base."""
+def hybrid_tokens(df: DataFrame, col: str, chem: Tokenizer, out: str) -> DataFrame:
+    """Add the token array over both vocabularies: tokens start with ``c`` where
+    they belong to the chemical one and with ``b`` where to the base."""
+    cut = df.withColumn("_pieces", pieces_of(F.col(col)))
+    contents = F.transform("_pieces", lambda p: F.when(_is_chem(p), _content(p)).otherwise(F.lit("")))
+    listed = cut.withColumn("_chem", chem.many(contents))
 
-    def piece_tokens(piece: Column) -> Column:
-        chem = F.transform(chem_tokenizer(_content(piece)), lambda t: F.concat(F.lit("c"), t))
+    def piece_tokens(piece: Column, found: Column) -> Column:
+        inside = F.transform(found, lambda t: F.concat(F.lit("c"), t))
         base = F.transform(base_tokens(piece), lambda t: F.concat(F.lit("b"), t))
         start, end = F.array(F.lit("b" + P.START_TAG)), F.array(F.lit("b" + P.END_TAG))
-        return F.when(_is_chem(piece), F.concat(start, chem, end)).otherwise(base)
+        return F.when(_is_chem(piece), F.concat(start, inside, end)).otherwise(base)
 
-    return F.flatten(F.transform(pieces_of(text), piece_tokens))
+    tokens = F.flatten(F.zip_with("_pieces", "_chem", piece_tokens))
+    return listed.withColumn(out, tokens).drop("_pieces", "_chem")
 
 
 def hybrid_encode(
@@ -76,11 +79,12 @@ def hybrid_encode(
     base: DataFrame,
     chem: DataFrame,
     row_keys: list[str],
-    chem_tokenizer: Callable[[Column], Column] = TOKENIZERS["element"],
+    chem_tokenizer: Tokenizer | None = None,
     out: str = "ids",
 ) -> DataFrame:
     """Plain text through the base vocabulary, tagged SMILES through the chemical
-    one with its ids moved behind the base ids, tags as ids around them."""
+    one (element tokens if no tokenizer is given) with its ids moved behind the
+    base ids, tags as ids around them."""
     ids = V.hybrid_ids(base, chem)
     both = base.select(F.concat(F.lit("b"), "token").alias("token"), "id").unionByName(
         ids.select(F.concat(F.lit("c"), "token").alias("token"), F.col("hybrid_id").alias("id"))
@@ -90,7 +94,7 @@ def hybrid_encode(
     unknown = lambda t: F.when(
         t.startswith("c"), F.lit(chem_unk["hybrid_id"] if chem_unk else base_unk)
     ).otherwise(F.lit(base_unk))
-    tokens = df.withColumn("_tokens", hybrid_tokens(F.col(col), chem_tokenizer))
+    tokens = hybrid_tokens(df, col, chem_tokenizer or rule("element"), "_tokens")
     found = replace_entries(tokens, "_tokens", both, None, row_keys, "_ids")
     return found.withColumn(
         out, F.zip_with("_tokens", "_ids", lambda t, i: F.coalesce(i, unknown(t)))
@@ -111,14 +115,15 @@ def encode_mode(
     base: DataFrame,
     chem: DataFrame,
     row_keys: list[str],
-    chem_type: str = "element",
+    chem_tokenizer: Tokenizer | None = None,
     out: str = "ids",
 ) -> DataFrame:
-    """Encode in one of the four modes, the chemical tokenizer picked by name."""
+    """Encode in one of the four modes."""
+    chem_tokenizer = chem_tokenizer or rule("element")
     if mode == "hybrid":
-        return hybrid_encode(df, col, base, chem, row_keys, TOKENIZERS[chem_type], out=out)
+        return hybrid_encode(df, col, base, chem, row_keys, chem_tokenizer, out)
     if mode == "chem_only":
-        tokens, vocab = TOKENIZERS[chem_type](F.col(col)), chem
+        tokens, vocab = chem_tokenizer(F.col(col)), chem
     elif mode in ("base", "base_special"):
         tags = mode == "base_special"
         tokens = base_tokens(F.col(col), tags)

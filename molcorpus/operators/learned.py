@@ -398,8 +398,9 @@ def wordpiece(words: Column, tokens: list[str], longest_word: int = 100) -> Colu
 
 
 def bpe(merges: DataFrame, alphabet: list[str]) -> Callable[[Column], Column]:
-    """An encoder for arrays of words: merges are applied by rank, characters
-    outside the alphabet are dropped. Each distinct word of a batch is merged once."""
+    """An encoder from lists of words (one list per text) to lists of tokens:
+    merges are applied by rank, characters outside the alphabet are dropped. Each
+    distinct word of a batch is merged once."""
     rows = merges.orderBy("rank").select("left", "right").limit(BROADCAST_ROWS + 1).collect()
     if len(rows) > BROADCAST_ROWS:
         raise ValueError("the merges are too many to be shipped to the executors")
@@ -417,12 +418,11 @@ def bpe(merges: DataFrame, alphabet: list[str]) -> Callable[[Column], Column]:
                 seen[word] = _merge_word([c for c in word if c in letters], rank)
             return seen[word]
 
-        return pa.array(
-            [None if row is None else [t for word in row for t in merged(word)] for row in batch.to_pylist()],
-            pa.list_(pa.string()),
-        )
+        texts = (row if row is not None else [] for row in batch.to_pylist())
+        tokens = [[[t for word in words or () for t in merged(word)] for words in row] for row in texts]
+        return pa.array(tokens, pa.list_(pa.list_(pa.string())))
 
-    return F.arrow_udf(encode, "array<string>")
+    return F.arrow_udf(encode, "array<array<string>>")
 
 
 def _merge_word(symbols: list[str], rank: dict) -> list[str]:

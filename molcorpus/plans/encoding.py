@@ -30,7 +30,7 @@ kinds AS (SELECT *, prefix(piece, '[START_SMILES]') AND suffix(piece, '[END_SMIL
 _TAG_WORDS = rf"\[START_SMILES\]|\[END_SMILES\]|{P.WORD_TOKEN_RE2}"
 
 
-def _base_list(col: str) -> str:
+def base_list(col: str) -> str:
     spaced = (
         f"replace(replace({col}, '[START_SMILES]', ' [START_SMILES] '), "
         "'[END_SMILES]', ' [END_SMILES] ')"
@@ -41,7 +41,7 @@ def _base_list(col: str) -> str:
 _CHEM_LIST = SIMPLE_SQL["element"].replace("smi", "substr(piece, 15, length(piece) - 26)")
 IDS_CTE = f"""piece_tokens AS (
   SELECT doc_id, seg, is_chem, CASE WHEN is_chem THEN
-    list_concat(['[START_SMILES]'], {_CHEM_LIST}, ['[END_SMILES]']) ELSE {_base_list('piece')} END AS t
+    list_concat(['[START_SMILES]'], {_CHEM_LIST}, ['[END_SMILES]']) ELSE {base_list('piece')} END AS t
   FROM kinds),
 flat AS (SELECT doc_id, seg, is_chem, len(t) AS n, unnest(range(len(t))) AS pos, unnest(t) AS token
   FROM piece_tokens),
@@ -107,7 +107,7 @@ def hybrid_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MODE_SQL = {
     "base": (f"regexp_extract_all(text_tags, {literal(P.WORD_TOKEN_RE2)})",
              "SELECT token, id FROM base WHERE token NOT IN ('[START_SMILES]', '[END_SMILES]')"),
-    "base_special": (_base_list("text_tags"), "SELECT token, id FROM base"),
+    "base_special": (base_list("text_tags"), "SELECT token, id FROM base"),
     "chem_only": (SIMPLE_SQL["element"].replace("smi", "text_tags"), "SELECT token, id FROM chem"),
 }
 _MODES = " UNION ALL ".join(

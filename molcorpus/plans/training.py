@@ -9,12 +9,16 @@ from molcorpus.functions import patterns as P
 from molcorpus.functions.text import entries
 from molcorpus.functions.tokenizers import tok_atomwise, tok_whitespace
 from molcorpus.operators import evaluate as E
+from molcorpus.operators import hybrid as H
 from molcorpus.operators import learned as L
+from molcorpus.operators.tokenizer import longest, pair_merges, pieces
 from molcorpus.plans import training_sql as Q
 from molcorpus.plans.detection import SEGMENTS_CTE, segments
+from molcorpus.plans.encoding import PIECES_CTE, base_list
 from molcorpus.plans.registry import query
 from molcorpus.plans.tokenization import stats_sql
-from molcorpus.sources.samples import ANNOTATED_SQL, prose
+from molcorpus.plans.vocabulary import BASE_CTE, base_vocab
+from molcorpus.sources.samples import ANNOTATED_SQL, annotated, prose
 
 WORD_MERGES = 32
 SMILES_SIZE = 120
@@ -96,11 +100,9 @@ def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_WORDS}, {_BPE}, {Q.merged_cte('bpe')} {_texts_sql('bpe_pieces')}")
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trained = word_bpe(spark, sf_dir)
-    letters = [t for t in L.vocabulary_list(trained.vocab) if len(t) == 1]
-    encode = L.bpe(trained.merges, letters)
+    encode = pair_merges(word_bpe(spark, sf_dir), tok_whitespace)
     return _documents(spark, sf_dir).select(
-        "doc_id", F.array_join(encode(tok_whitespace(F.col("text"))), " ").alias("tokens")
+        "doc_id", F.array_join(encode(F.col("text")), " ").alias("tokens")
     )
 
 
@@ -111,10 +113,9 @@ def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_WORDS}, {_PIECES}, {Q.wordpiece_cte('cut', 'wp_vocab')} {_texts_sql('cut_pieces')}")
 def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = L.vocabulary_list(word_pieces(spark, sf_dir).vocab)
+    cut = pieces(word_pieces(spark, sf_dir).vocab, tok_whitespace)
     return _documents(spark, sf_dir).select(
-        "doc_id",
-        F.array_join(L.wordpiece(tok_whitespace(F.col("text")), tokens), " ").alias("tokens"),
+        "doc_id", F.array_join(cut(F.col("text")), " ").alias("tokens")
     )
 
 
@@ -150,11 +151,11 @@ def spe_token_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tok_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments through the learned atom-pair vocabulary."""
-    tokens = L.vocabulary_list(atom_pairs(spark, sf_dir).vocab)
+    match = longest(atom_pairs(spark, sf_dir).vocab)
     return segments(spark, sf_dir).select(
         "doc_id",
         F.col("seg").cast("bigint").alias("seg"),
-        F.array_join(L.longest_match(F.col("smi"), tokens), " ").alias("tokens"),
+        F.array_join(match(F.col("smi")), " ").alias("tokens"),
     )
 
 
@@ -171,21 +172,16 @@ def tok_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fertility_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All learned tokenizers on the SMILES they were trained on."""
-    smi = F.col("smi")
-    bpe, pieces = smiles_bpe(spark, sf_dir), L.vocabulary_list(smiles_pieces(spark, sf_dir).vocab)
-    pairs = L.vocabulary_list(atom_pairs(spark, sf_dir).vocab)
-    scored = L.vocabulary_list(scored_pairs(spark, sf_dir).vocab)
-    letters = [t for t in L.vocabulary_list(bpe.vocab) if len(t) == 1]
-    coded = segments(spark, sf_dir).withColumn("bpe", L.bpe(bpe.merges, letters)(F.array("smi")))
-    return E.fertility(
-        coded,
-        {
-            "spe": F.size("bpe"),
-            "swp": F.size(L.wordpiece(F.array(smi), pieces)),
-            "manual_spe": F.size(L.longest_match(smi, pairs)),
-            "scored_spe": F.size(L.longest_match(smi, scored)),
-        },
+    tokenizers = {
+        "spe": pair_merges(smiles_bpe(spark, sf_dir), None),
+        "swp": pieces(smiles_pieces(spark, sf_dir).vocab, None),
+        "manual_spe": longest(atom_pairs(spark, sf_dir).vocab),
+        "scored_spe": longest(scored_pairs(spark, sf_dir).vocab),
+    }
+    coded = segments(spark, sf_dir).select(
+        *[tokenize(F.col("smi")).alias(name) for name, tokenize in tokenizers.items()]
     )
+    return E.fertility(coded, {name: F.size(name) for name in tokenizers})
 
 
 _MULTIPLIER = Q.multiplier_sql("tok", BASE, PATTERN, VALID)
@@ -207,3 +203,28 @@ def merge_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = rows.select(F.col("smi").alias("token")).unionByName(pairs)
     distinct = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return distinct.withColumn("multiplier", _multiplier(F.col("token")))
+
+
+@query(
+    f"""{_SMILES}, {_SPE}, {Q.merged_cte('spe')}, {BASE_CTE}, {PIECES_CTE},
+    chem_ids AS (SELECT token, (SELECT max(id) FROM base) + row_number() OVER (ORDER BY id) AS id FROM spe_vocab),
+    chem_words AS (SELECT doc_id, seg, trim(substr(piece, 15, length(piece) - 26)) AS word
+      FROM kinds WHERE is_chem),
+    flat AS (
+      SELECT doc_id, seg, 1 + pos AS pos, c.id FROM chem_words JOIN spe_pieces USING (word)
+        JOIN chem_ids c USING (token)
+      UNION ALL SELECT doc_id, seg, 0, b.id FROM chem_words, base b WHERE b.token = '[START_SMILES]'
+      UNION ALL SELECT doc_id, seg, 1000000, b.id FROM chem_words, base b WHERE b.token = '[END_SMILES]'
+      UNION ALL SELECT doc_id, seg, pos, coalesce(b.id, 0) FROM (
+        SELECT doc_id, seg, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (
+          SELECT doc_id, seg, {base_list('piece')} AS t FROM kinds WHERE NOT is_chem)) LEFT JOIN base b USING (token))
+    SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY seg, pos) AS ids FROM flat GROUP BY doc_id"""
+)
+def hybrid_encode_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged SMILES through a learned chemical tokenizer."""
+    trained = smiles_bpe(spark, sf_dir)
+    texts = annotated(spark, sf_dir).select("doc_id", "text_tags")
+    coded = H.hybrid_encode(
+        texts, "text_tags", base_vocab(spark, sf_dir), trained.vocab, ["doc_id"], pair_merges(trained, None)
+    )
+    return coded.select("doc_id", F.array_join("ids", " ").alias("ids"))

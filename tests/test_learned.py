@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from molcorpus.functions import patterns as P
 from molcorpus.functions.tokenizers import tok_whitespace
 from molcorpus.operators import learned as L
+from molcorpus.operators import vocab as V
+from molcorpus.operators.tokenizer import build, pair_merges
 
 
 def corpus(seed, n=150):
@@ -144,10 +146,8 @@ def test_bpe_against_a_library(spark, pretokens):
     ours = L.train_bpe(table(spark, strings), "smi", ["doc_id"], 90, 2, pretokens)
     assert [list(m[:2]) for m in merges_of(ours)] == [list(m) for m in model["merges"]]
     assert {r["token"]: r["id"] for r in ours.vocab.collect()} == model["vocab"]
-    letters = [t for t in model["vocab"] if len(t) == 1]
     fresh = [*corpus(6), "CCZZO", "", "ZZ"]  # Z is no letter of the training corpus
-    words = pretokens(F.col("smi")) if pretokens else F.array("smi")
-    coded = table(spark, fresh).select("doc_id", L.bpe(ours.merges, letters)(words).alias("t"))
+    coded = table(spark, fresh).select("doc_id", pair_merges(ours, pretokens)(F.col("smi")).alias("t"))
     got = {r["doc_id"]: r["t"] for r in coded.collect()}
     assert [got[i] for i in range(len(fresh))] == [theirs.encode(s).tokens for s in fresh]
 
@@ -188,3 +188,27 @@ def test_structural_multiplier(column):
         "CCl": 1.2, "[Na+]": 1.2, "C=": 1.0, "C%12CC%12": 1.2, "C%12CC%13": 1.0, "C()C": 1.0, "SiC": 1.1,
     }
     assert column(list(scores), L.structural_multiplier(F.col("s"))) == list(scores.values())
+
+
+@pytest.mark.parametrize(
+    "name", ["bpe", "character", "element", "kmer", "manual_spe", "scored_spe", "spe", "swp", "wordpiece"]
+)
+def test_build(spark, name):
+    """Each tokenizer knows all it was built from."""
+    df = table(spark, corpus(8, 60))
+    tokenizer, vocab = build(name, df, "smi", ["doc_id"], 60)
+    coded = df.select("doc_id", "smi", tokenizer(F.col("smi")).alias("tokens"))
+    ids = V.encode(coded, "tokens", vocab, ["doc_id"]).collect()
+    known = {r["token"] for r in vocab.collect()}
+    assert known >= set(P.SPECIAL_TOKENS) and len(known) == vocab.count()
+    for row in ids:
+        assert row["tokens"] and len(row["ids"]) == len(row["tokens"])
+        if name not in ("kmer", "manual_spe", "scored_spe"):
+            assert set(row["tokens"]) <= known
+        if name in ("bpe", "character", "spe"):
+            assert "".join(row["tokens"]) == row["smi"]
+
+
+def test_build_of_an_unknown_name(spark):
+    with pytest.raises(ValueError, match="unknown tokenizer"):
+        build("other", table(spark, ["C"]), "smi", ["doc_id"])
