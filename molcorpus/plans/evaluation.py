@@ -72,7 +72,7 @@ QUESTIONS_CTE = f"""questions AS (SELECT item_id AS question_id, {_TOPIC_LIST}[i
       ELSE ['multiple_choice_grade'] END AS metrics, item_id, text,
     item_id % 13 <> 5 AS has_examples FROM benchmark),
 examples AS (
-  SELECT question_id, topic, metrics, 0 AS example_pos, text AS input,
+  SELECT question_id, topic, metrics, 0::BIGINT AS example_pos, text AS input,
     CASE WHEN item_id % 11 = 3 THEN '{{"broken": ' WHEN item_id % 17 = 4 THEN '{{}}'
       ELSE {_scores_sql('item_id % 4')} END AS scores FROM questions WHERE has_examples
   UNION ALL

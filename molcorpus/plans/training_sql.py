@@ -102,11 +102,11 @@ def training_cte(
       WHERE existing IS NULL
     UNION ALL SELECT (SELECT max(step) + 1 FROM {n}_loop), 2, pair, n, NULL, NULL, tok FROM target)),
 {n}_symbols AS (SELECT w, tok FROM {n}_loop WHERE kind = 1 AND step = (SELECT max(step) FROM {n}_loop)),
-{n}_merges AS (SELECT step - 1 AS rank, l.tok AS "left", r.tok AS "right", m.tok AS token, m.c AS freq,
+{n}_merges AS (SELECT (step - 1)::BIGINT AS rank, l.tok AS "left", r.tok AS "right", m.tok AS token, m.c AS freq,
     m.w AS pair, s.w AS fused
   FROM {n}_loop m JOIN {n}_symbols l ON l.w = m.w[1] JOIN {n}_symbols r ON r.w = m.w[2]
   JOIN {n}_symbols s ON s.tok = m.tok WHERE m.kind = 2),
-{n}_vocab AS (SELECT tok AS token, unicode(w) - 2048 + {len(specials)} AS id FROM {n}_symbols
+{n}_vocab AS (SELECT tok AS token, (unicode(w) - 2048 + {len(specials)})::BIGINT AS id FROM {n}_symbols
   UNION ALL SELECT unnest({specials}), unnest(range({len(specials)}))),
 {n}_frequencies AS (SELECT token, sum(freq)::BIGINT AS freq FROM (
     SELECT sym AS token, sum(c) AS freq FROM {n}_spelled GROUP BY sym

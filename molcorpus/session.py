@@ -27,16 +27,30 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     return spark
 
 
+# Folders chosen for applications on one machine that name none.
+_local_folders: dict[str, str] = {}
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``. A local
-    folder is chosen only where that is unset and Spark runs on one machine."""
+    """This application's part of the shared folder the cluster names in
+    ``spark.checkpoint.dir``. A local folder is chosen only where that is unset and
+    Spark runs on one machine."""
+    application = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="molcorpus-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        if application not in _local_folders:
+            _local_folders[application] = tempfile.mkdtemp(prefix="molcorpus-")
+        folder = _local_folders[application]
+    return f"{folder}/{application}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, when no result that reads
+    them is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
