@@ -60,7 +60,7 @@ def _joined(col: str = "ids") -> str:
     return f"array_to_string({col}, ' ')"
 
 
-_WINDOWED = f"""{_ENCODED},
+WINDOWED = f"""{_ENCODED},
 starts AS (SELECT doc_id, ids, unnest(range(CASE WHEN len(ids) <= {MAX_LENGTH} THEN 1 ELSE
     1 + ceil((len(ids) - {MAX_LENGTH}) / {MAX_LENGTH - STRIDE}.0)::BIGINT END)) AS win FROM encoded),
 windows AS (SELECT doc_id, win, ids[win * {MAX_LENGTH - STRIDE} + 1 :
@@ -139,7 +139,7 @@ def truncate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{_WINDOWED} SELECT doc_id, win, len(ids)::BIGINT AS n_ids, {_joined()} AS ids FROM windows")
+@query(f"{WINDOWED} SELECT doc_id, win, len(ids)::BIGINT AS n_ids, {_joined()} AS ids FROM windows")
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(spark, sf_dir).select(
         "doc_id", "win", F.size("ids").cast("bigint").alias("n_ids"), _ids()
@@ -166,7 +166,7 @@ def attention_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{_WINDOWED} SELECT count(*) AS n_samples, sum(len(ids))::BIGINT AS n_tokens FROM windows")
+@query(f"{WINDOWED} SELECT count(*) AS n_samples, sum(len(ids))::BIGINT AS n_tokens FROM windows")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.token_counts(windows(spark, sf_dir), "ids")
 
@@ -182,7 +182,7 @@ def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_WINDOWED} SELECT count(*) FILTER (WHERE len(ids) > 0) AS n_windows,
+    f"""{WINDOWED} SELECT count(*) FILTER (WHERE len(ids) > 0) AS n_windows,
       sum(len(ids))::BIGINT AS n_ids, 0::BIGINT AS n_overfull FROM windows"""
 )
 def pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

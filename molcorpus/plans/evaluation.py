@@ -190,6 +190,17 @@ def mcq_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {QUESTIONS_CTE} SELECT topic, question_id, example_pos, cand_pos,
+      concat('Question: ', question, chr(10), 'Answer: ', candidate) AS full_text FROM candidates"""
+)
+def mcq_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).select(
+        "topic", "question_id", *_bigint("example_pos", "cand_pos"),
+        E.mcq_full_text(F.col("question"), F.col("candidate")).alias("full_text"),
+    )
+
+
 _KEYS = "model, topic, question_id, example_pos, cand_pos"
 
 

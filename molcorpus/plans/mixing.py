@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from molcorpus.operators import mix as M
 from molcorpus.operators import ranking as R
 from molcorpus.plans.detection import SEGMENTS_CTE, segments
+from molcorpus.plans.encoding import WINDOWED, windows
 from molcorpus.plans.registry import query
+from molcorpus.session import materialize
 from molcorpus.sources import shards
 from molcorpus.sources.files import scan_parquet
 from molcorpus.sources.samples import ANNOTATED_SQL, table
@@ -122,3 +124,26 @@ def mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = M.interleave(_sources(spark, sf_dir), "source", ["doc_id"], MIXTURE, SEED)
     counted = mixed.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))))
     return M.mix_report(counted, "source", "n")
+
+
+@query(
+    f"""{WINDOWED}, cut_windows AS (
+      SELECT {{'d': doc_id, 'w': win}} AS key, len(ids) AS n,
+        CASE (SELECT source FROM documents d WHERE d.doc_id = windows.doc_id)
+          WHEN 'src0' THEN 'chem' ELSE 'general' END AS source FROM windows),
+    {interleave_sql(MIXTURE, 'cut_windows')},
+    numbered AS (SELECT *, row_number() OVER (ORDER BY md5(concat('{SEED}:', idx))) AS r,
+      count(*) OVER () AS n FROM mixed)
+    SELECT m.idx, m.source, m.key['d'] AS doc_id, m.key['w'] AS win, w.n::BIGINT AS n_ids,
+      CASE WHEN r <= ceil(m.n * {RATIO}::DOUBLE) THEN 'test' ELSE 'train' END AS part
+    FROM numbered m JOIN cut_windows w USING (key)"""
+)
+def mixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training data from end to end: texts encoded, cut into windows, mixed by
+    source and split. Windows are written once, before they are ranked and joined."""
+    named = _sources(spark, sf_dir).select("doc_id", "source")
+    cut = materialize(windows(spark, sf_dir).join(named, "doc_id"))
+    mixed = R.split(M.interleave(cut, "source", ["doc_id", "win"], MIXTURE, SEED), ["idx"], RATIO, SEED)
+    return mixed.select(
+        "idx", "source", "doc_id", "win", F.size("ids").cast("bigint").alias("n_ids"), "part"
+    )
