@@ -9,7 +9,8 @@ of length two.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,13 +25,14 @@ from molcorpus.operators.ranking import place
 from molcorpus.session import materialize, small_table
 
 CONTINUES = "##"
-# Pairs looked at per round; the rest cannot matter before the next one.
-PAIRS_PER_ROUND = 1024
+# Best pairs of a round from whose runs the next merges are worked out, and the
+# number of distinct runs that may reach the driver for it.
+PAIRS_PER_ROUND = 64
+RUNS_PER_ROUND = 50_000
+# Pairs ranked per round where tokens have multipliers.
+SCORED_PAIRS = 1024
 # Merges replayed on the stored words before they are stored again.
-MERGES_PER_STORE = 48
-# While merges between two stores touch less than this share of all symbols, pair
-# counts are kept and only the words that changed are counted again.
-SMALL_CHANGE = 0.1
+MERGES_PER_STORE = 128
 
 
 @dataclass
@@ -101,44 +103,122 @@ def _pairs(words: DataFrame) -> DataFrame:
     return found.groupBy("pair").agg(F.sum("c").alias("n"), *met)
 
 
-def _recounted(counts: DataFrame, words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """Pair counts after some merges: the stored ones, less the pairs of the words
-    that changed as they were, plus those as they are."""
-    after = _merged(words.withColumn("before", F.col("w")), merges).filter("w <> before")
-    gone = F.struct(F.col("before").alias("w"), (-F.col("c")).alias("c"))
-    both = after.select(F.explode(F.array(gone, F.struct("w", "c"))).alias("x")).select("x.w", "x.c")
-    rows = counts.unionByName(_pairs(both))
-    return rows.groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0")
+def _runs(words: DataFrame, pairs: list[str]) -> DataFrame:
+    """Distinct stretches of words all of whose neighbours are among the pairs,
+    with their count (and first place). Stretches share no symbol."""
+    following: dict[str, str] = {}
+    for left, right in pairs:
+        following[left] = following.get(left, "") + right
+    steps = "|".join(f"{left}(?=[{rights}])" for left, rights in following.items())
+    run = f"(?s)(?:{steps})++."
+    total = F.sum("c").alias("n")
+    if "first" not in words.columns:
+        return words.select("c", F.explode(find_all(F.col("w"), run)).alias("run")).groupBy("run").agg(total)
 
+    def placed(pieces: Column) -> Column:
+        before = lambda i: F.length(F.array_join(F.slice(pieces, 1, i), ""))
+        return F.transform(pieces, lambda p, i: F.struct(p.alias("run"), before(i).alias("at")))
 
-def _admissible(pairs: list, complete: bool, multipliers: tuple[float, float]) -> list:
-    """The pairs at the head of the ranking that one-at-a-time merging would take
-    next in the same order.
+    pieces = bind(find_all(F.col("w"), f"{run}|."), placed)
+    stretches = words.select("c", "first", F.explode(pieces).alias("p")).filter(F.length("p.run") > 1)
+    return stretches.groupBy("p.run").agg(total, _met(F.col("p.at")))
 
-    A pair without a symbol in common with the merged ones keeps its count and its
-    place among ties. A new pair occurs at most as often as the pair it grew from,
-    which touches a merged symbol and, in the ranking, comes no earlier than the new
-    pair: so the head ends at the first pair that touches a merged symbol. Two
-    cases need more care. Out of ``aa`` new pairs grow from itself, at most half as
-    often. And where tokens have multipliers, a new pair may rank above the pair it
-    grew from, so its score is bounded by the largest multiplier.
+
+def _greedy(runs: list, bound, ties: str) -> Iterator[tuple[str, int]]:
+    """The next merges, one at a time, as single counting would find them.
+
+    The runs hold every place of the best pairs and of all pairs that grow from
+    them alone. Any other pair is at most as frequent as ``bound``, the first pair
+    of the ranking beyond: it only loses places, or grew from such a pair and comes
+    after it. So the best pair of the runs is the best of all as long as it ranks
+    before ``bound``. The caller sends the symbol that takes the pair's place.
+    """
+    texts, counts, where, width = [r["run"] for r in runs], Counter(), defaultdict(set), {}
+    neighbours = lambda text: [text[i : i + 2] for i in range(len(text) - 1)]
+
+    def count(i: int, sign: int) -> None:
+        for pair in neighbours(texts[i]):
+            counts[pair] += sign * runs[i]["n"]
+            where[pair].add(i)
+
+    def met(pair: str):
+        inside = [i for i in where[pair] if pair in texts[i]]
+        before = lambda t: sum(width.get(c, 1) for c in t[: t.index(pair)])
+        return min(runs[i]["met"] + before(texts[i]) for i in inside)
+
+    for i in range(len(texts)):
+        count(i, 1)
+    while True:
+        most = max(counts.values(), default=0)
+        if most <= 0:
+            return
+        tied = [p for p, n in counts.items() if n == most]
+        place_of = met if ties == "first" else str
+        pair = min(tied, key=place_of)
+        if bound and (-most, place_of(pair)) > (-bound["n"], bound["tie"]):
+            return
+        fused = yield pair, most
+        width[fused] = sum(width.get(c, 1) for c in pair)
+        for i in where.pop(pair):
+            count(i, -1)
+            texts[i] = texts[i].replace(pair, fused)
+            count(i, 1)
+
+
+def _best_pairs(words: DataFrame, ties: str) -> Iterator[tuple[str, int]]:
+    """Merges of one round, from two jobs: the best pairs, then their runs. With
+    too many distinct runs fewer pairs are used; one pair has hardly any."""
+    tie = "pair" if ties == "id" else "met"
+    ranked = _pairs(words).select("pair", "n", F.col(tie).alias("tie")).orderBy(F.desc("n"), "tie")
+    top = ranked.limit(PAIRS_PER_ROUND + 1).collect()
+    used = PAIRS_PER_ROUND
+    while top:
+        runs = _runs(words, [r["pair"] for r in top[:used]]).limit(RUNS_PER_ROUND + 1).collect()
+        if len(runs) <= RUNS_PER_ROUND or used == 1:
+            return _greedy(runs, top[used] if len(top) > used else None, ties)
+        used //= 2
+    return iter(())
+
+
+def _scored_pairs(words: DataFrame, tokens: list[str], ties: str, multiplier, bounds) -> Iterator[tuple[str, int]]:
+    """Merges of one round where pairs are ranked by count times multiplier."""
+    # One row per vocabulary entry.
+    names = small_table(
+        words.sparkSession, "ch string, token string", [(_private(i), t) for i, t in enumerate(tokens)]
+    )
+    side = lambda name: F.broadcast(names.toDF(f"{name}_ch", name))
+    ranked = (
+        _pairs(words)
+        .join(side("l"), F.substring("pair", 1, 1) == F.col("l_ch"))
+        .join(side("r"), F.substring("pair", 2, 1) == F.col("r_ch"))
+        .withColumn("score", F.col("n") * multiplier(F.concat("l", "r")))
+        .orderBy(F.desc("score"), "pair" if ties == "id" else "met")
+    )
+    top = ranked.select("pair", "n", "score").limit(SCORED_PAIRS).collect()
+    yield from _independent(top, len(top) < SCORED_PAIRS, bounds)
+
+
+def _independent(pairs: list, complete: bool, bounds: tuple[float, float]) -> Iterator[tuple[str, int]]:
+    """The head of a scored ranking that single merges would take in the same order.
+
+    A pair without a symbol in common with the merged ones keeps its count and
+    place. A new pair occurs at most as often as the one it grew from, which touches
+    a merged symbol (out of ``aa``: half as often as itself), and has at most the
+    largest multiplier: the head ends where such a pair could come first.
     """
-    taken, used, own = [], set(), 0
-    lowest, highest = multipliers
+    used, own = set(), 0
+    lowest, highest = bounds
+    unseen = 0 if complete else pairs[-1]["score"] / lowest
     for i, pair in enumerate(pairs):
         symbols = set(pair["pair"])
-        if taken and (used & symbols or pair["n"] <= own):
-            break
-        if taken and highest > lowest:
+        if used:
             grown = max((q["n"] for q in pairs[i:] if used & set(q["pair"])), default=0)
-            unseen = 0 if complete else pairs[-1]["score"] / lowest
-            if max(grown, unseen, own) * highest >= pair["score"]:
-                break
-        taken.append(pair)
+            if used & symbols or max(grown, unseen, own) * highest >= pair["score"]:
+                return
+        yield pair["pair"], pair["n"]
         used |= symbols
         if len(symbols) == 1:
             own = max(own, pair["n"] // 2)
-    return taken
 
 
 def train_merges(
@@ -159,11 +239,11 @@ def train_merges(
 
     ``words`` comes from ``word_counts``. Ties go to the smaller ids (``id``; the
     alphabet is sorted) or, for whole strings, to the pair met first in the corpus
-    (``first``; so is the alphabet). With ``multiplier`` the ranking is by count times multiplier of
-    the merged token (between the two ``multipliers``), while the frequency limit
-    stays on the count. Several merges
-    are made per job where that is exactly what single merges would do. With
-    ``as_run`` the vocabulary may exceed its size by one token.
+    (``first``; so is the alphabet). With ``multiplier`` the ranking is by count
+    times multiplier of the merged token (between the two ``multipliers``), while
+    the frequency limit stays on the count. A round makes as many merges as are
+    certain to be those of single merging. With ``as_run`` the vocabulary may
+    exceed its size by one token.
     """
     spark = words.sparkSession
     kept = ["c", "first"] if ties == "first" else ["c"]
@@ -201,45 +281,40 @@ def train_merges(
     stored = materialize(coded.select(F.array_join("symbols", "").alias("w"), *kept))
     merges: list[tuple] = []
     pending: list[tuple[str, str]] = []
-    counts, symbols = None, sum(freq.values())
     extra = len(specials) if count_specials else 0
 
     def full() -> bool:
         size = len(tokens) + extra
         return size > max_size if as_run else size >= max_size
 
-    while not full() and (max_merges is None or len(merges) < max_merges):
-        if counts is not None and pending:
-            pairs = _recounted(counts, stored, pending)
+    done = False
+    while not done:
+        words = _merged(stored, pending)
+        if multiplier is None:
+            found = _best_pairs(words, ties)
         else:
-            pairs = _pairs(_merged(stored, pending))
-        top = _ranked(pairs, tokens, ties, multiplier).limit(PAIRS_PER_ROUND).collect()
-        admitted = _admissible(top, len(top) < PAIRS_PER_ROUND, multipliers)
-        stop = not admitted
-        for pair in admitted:
-            if full() or len(merges) == max_merges:
-                break
-            if pair["n"] < max(min_freq, 1):
-                stop = True
+            found = _scored_pairs(words, tokens, ties, multiplier, multipliers)
+        step, made = next(found, None), 0
+        while step is not None:
+            pair, n = step
+            if full() or len(merges) == max_merges or n < max(min_freq, 1):
+                done = True
                 break
-            left, right = (tokens[_place(c)] for c in pair["pair"])
+            left, right = (tokens[_place(c)] for c in pair)
             token = left + (right.removeprefix(CONTINUES) if continuing else right)
             known = token in ids
             if not known:
                 ids[token] = len(tokens)
                 tokens.append(token)
-            merges.append((len(merges), left, right, token, pair["n"]))
-            freq[token] = freq.get(token, 0) + pair["n"]
-            pending.append((pair["pair"], _private(ids[token])))
-            if known:
-                break  # its pairs gain from elsewhere: count again first
-        if stop:
-            break
+            merges.append((len(merges), left, right, token, n))
+            freq[token] = freq.get(token, 0) + n
+            pending.append((pair, _private(ids[token])))
+            made += 1
+            # A token made before gains places from elsewhere: count again first.
+            step = None if known else _following(found, pending[-1][1])
+        done = done or not made
         if len(pending) >= MERGES_PER_STORE:
-            changed = sum(m[-1] for m in merges[-len(pending):])
             stored, pending = materialize(_merged(stored, pending).filter(F.length("w") > 1)), []
-            keep = ties == "id" and changed < SMALL_CHANGE * symbols
-            counts = materialize(_pairs(stored)) if keep else None
 
     vocab = [(t, i) for i, t in enumerate([*specials, *(t for t in tokens if t not in specials)])]
     return Trained(
@@ -254,22 +329,12 @@ def _place(ch: str) -> int:
     return (point if point < 0xD800 else point - 0x800) - 0x800
 
 
-def _ranked(pairs: DataFrame, tokens: list[str], ties: str, multiplier) -> DataFrame:
-    if multiplier is None:
-        scored = pairs.withColumn("score", F.col("n"))
-    else:
-        # One row per vocabulary entry.
-        names = small_table(
-            pairs.sparkSession, "ch string, token string", [(_private(i), t) for i, t in enumerate(tokens)]
-        )
-        side = lambda name: F.broadcast(names.toDF(f"{name}_ch", name))
-        scored = (
-            pairs.join(side("l"), F.substring("pair", 1, 1) == F.col("l_ch"))
-            .join(side("r"), F.substring("pair", 2, 1) == F.col("r_ch"))
-            .withColumn("score", F.col("n") * multiplier(F.concat("l", "r")))
-        )
-    tie = "pair" if ties == "id" else "met"
-    return scored.select("pair", "n", "score", tie).orderBy(F.desc("score"), tie)
+def _following(found: Iterator, fused: str):
+    """The next merge after the last one was made."""
+    try:
+        return found.send(fused)
+    except StopIteration:
+        return None
 
 
 def train_bpe(df, col, order, max_size=20_000, min_freq=2, pretokens=tok_whitespace, max_merges=None) -> Trained:

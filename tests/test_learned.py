@@ -65,8 +65,9 @@ def merges_of(trained):
     return [tuple(r)[1:] for r in trained.merges.orderBy("rank").collect()]
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_atom_pairs(spark, seed):
+@pytest.mark.parametrize("seed,pairs", [(0, 64), (0, 4), (1, 64), (1, 9)])
+def test_atom_pairs(spark, seed, pairs, monkeypatch):
+    monkeypatch.setattr(L, "PAIRS_PER_ROUND", pairs)
     strings = corpus(seed)
     got = L.train_spe(table(spark, strings), "smi", ["doc_id"], 60, 2)
     merges, freq, tokens = loop([atoms(s) for s in strings], 60, 2, "first")
@@ -97,13 +98,14 @@ def test_scored_pairs(spark, seed):
     assert merges_of(got) == loop([atoms(s) for s in strings], 60, 2, "first", multiplier_of)[0]
 
 
-@pytest.mark.parametrize("small_change", [0.0, 1e9])
+@pytest.mark.parametrize("pairs,runs", [(64, 50_000), (3, 50_000), (64, 40), (1, 50_000)])
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
-def test_runs_and_ties(spark, letters, small_change, monkeypatch):
-    """Repeated letters overlap themselves, few letters tie often. Counts are
-    taken anew in every round, or kept and corrected."""
-    monkeypatch.setattr(L, "MERGES_PER_STORE", 5)
-    monkeypatch.setattr(L, "SMALL_CHANGE", small_change)
+def test_runs_and_ties(spark, letters, pairs, runs, monkeypatch):
+    """Repeated letters overlap themselves, few letters tie often. However few
+    pairs a round looks at, the merges are the same."""
+    monkeypatch.setattr(L, "MERGES_PER_STORE", 7)
+    monkeypatch.setattr(L, "PAIRS_PER_ROUND", pairs)
+    monkeypatch.setattr(L, "RUNS_PER_ROUND", runs)
     rng = random.Random(len(letters))
     strings = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(120)]
     got = L.train_bpe(table(spark, strings), "smi", ["doc_id"], 60, 1, None)
