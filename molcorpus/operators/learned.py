@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
@@ -82,6 +82,28 @@ def _met(at: Column) -> Column:
     return F.min(F.col("first") + at).alias("met")
 
 
+@dataclass
+class Scoring:
+    """Multipliers of merged tokens, between two bounds; ``tokens`` names the
+    symbols and grows with the merges."""
+
+    spark: SparkSession
+    tokens: list[str]
+    multiplier: Callable[[Column], Column]
+    lowest: float
+    highest: float
+
+    def __post_init__(self) -> None:
+        self.weight = self.multiplier(F.col("token"))
+
+    def weigh(self, pairs: list[str]) -> dict[str, float]:
+        """Multipliers of a few pairs."""
+        names = {p: "".join(self.tokens[_place(c)] for c in p) for p in pairs}
+        rows = small_table(self.spark, "token string", [(t,) for t in set(names.values())])
+        known = dict(rows.select("token", self.weight).collect())
+        return {p: known[t] for p, t in names.items()}
+
+
 def _merged(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """Words after some merges. The merges are one constant, so that every round
     runs the same compiled code."""
@@ -124,16 +146,19 @@ def _runs(words: DataFrame, pairs: list[str]) -> DataFrame:
     return stretches.groupBy("p.run").agg(total, _met(F.col("p.at")))
 
 
-def _greedy(runs: list, bound, ties: str) -> Iterator[tuple[str, int]]:
+def _greedy(runs: list, bound, ties: str, scoring: Scoring | None) -> Iterator[tuple[str, int]]:
     """The next merges, one at a time, as single counting would find them.
 
     The runs hold every place of the best pairs and of all pairs that grow from
     them alone. Any other pair is at most as frequent as ``bound``, the first pair
     of the ranking beyond: it only loses places, or grew from such a pair and comes
     after it. So the best pair of the runs is the best of all as long as it ranks
-    before ``bound``. The caller sends the symbol that takes the pair's place.
+    before ``bound``; with multipliers, as long as its score is above what the
+    largest multiplier makes of that count. The caller sends the symbol that takes
+    the pair's place.
     """
     texts, counts, where, width = [r["run"] for r in runs], Counter(), defaultdict(set), {}
+    weights: dict[str, float] = {}
     neighbours = lambda text: [text[i : i + 2] for i in range(len(text) - 1)]
 
     def count(i: int, sign: int) -> None:
@@ -149,15 +174,23 @@ def _greedy(runs: list, bound, ties: str) -> Iterator[tuple[str, int]]:
     for i in range(len(texts)):
         count(i, 1)
     while True:
-        most = max(counts.values(), default=0)
-        if most <= 0:
+        counts = +counts  # without pairs that occur no more
+        if not counts:
             return
-        tied = [p for p, n in counts.items() if n == most]
+        scores = counts
+        if scoring:
+            best = max((n * weights[p] for p, n in counts.items() if p in weights), default=0)
+            if any(n * scoring.highest >= best for p, n in counts.items() if p not in weights):
+                weights |= scoring.weigh([p for p in counts if p not in weights])
+            scores = {p: n * weights[p] for p, n in counts.items() if p in weights}
+        most = max(scores.values())
         place_of = met if ties == "first" else str
-        pair = min(tied, key=place_of)
-        if bound and (-most, place_of(pair)) > (-bound["n"], bound["tie"]):
+        pair = min((p for p, score in scores.items() if score == most), key=place_of)
+        if bound and scoring and most <= bound["n"] * scoring.highest:
+            return
+        if bound and not scoring and (-most, place_of(pair)) > (-bound["n"], bound["tie"]):
             return
-        fused = yield pair, most
+        fused = yield pair, counts[pair]
         width[fused] = sum(width.get(c, 1) for c in pair)
         for i in where.pop(pair):
             count(i, -1)
@@ -165,7 +198,7 @@ def _greedy(runs: list, bound, ties: str) -> Iterator[tuple[str, int]]:
             count(i, 1)
 
 
-def _best_pairs(words: DataFrame, ties: str) -> Iterator[tuple[str, int]]:
+def _best_pairs(words: DataFrame, ties: str, scoring: Scoring | None) -> Iterator[tuple[str, int]]:
     """Merges of one round, from two jobs: the best pairs, then their runs. With
     too many distinct runs fewer pairs are used; one pair has hardly any."""
     tie = "pair" if ties == "id" else "met"
@@ -175,30 +208,30 @@ def _best_pairs(words: DataFrame, ties: str) -> Iterator[tuple[str, int]]:
     while top:
         runs = _runs(words, [r["pair"] for r in top[:used]]).limit(RUNS_PER_ROUND + 1).collect()
         if len(runs) <= RUNS_PER_ROUND or used == 1:
-            return _greedy(runs, top[used] if len(top) > used else None, ties)
+            return _greedy(runs, top[used] if len(top) > used else None, ties, scoring)
         used //= 2
     return iter(())
 
 
-def _scored_pairs(words: DataFrame, tokens: list[str], ties: str, multiplier, bounds) -> Iterator[tuple[str, int]]:
-    """Merges of one round where pairs are ranked by count times multiplier."""
+def _scored_pairs(words: DataFrame, ties: str, scoring: Scoring) -> Iterator[tuple[str, int]]:
+    """Merges of one round from all pairs, ranked by count times multiplier."""
     # One row per vocabulary entry.
     names = small_table(
-        words.sparkSession, "ch string, token string", [(_private(i), t) for i, t in enumerate(tokens)]
+        words.sparkSession, "ch string, token string", [(_private(i), t) for i, t in enumerate(scoring.tokens)]
     )
     side = lambda name: F.broadcast(names.toDF(f"{name}_ch", name))
     ranked = (
         _pairs(words)
         .join(side("l"), F.substring("pair", 1, 1) == F.col("l_ch"))
         .join(side("r"), F.substring("pair", 2, 1) == F.col("r_ch"))
-        .withColumn("score", F.col("n") * multiplier(F.concat("l", "r")))
+        .withColumn("score", F.col("n") * scoring.multiplier(F.concat("l", "r")))
         .orderBy(F.desc("score"), "pair" if ties == "id" else "met")
     )
     top = ranked.select("pair", "n", "score").limit(SCORED_PAIRS).collect()
-    yield from _independent(top, len(top) < SCORED_PAIRS, bounds)
+    yield from _independent(top, len(top) < SCORED_PAIRS, scoring)
 
 
-def _independent(pairs: list, complete: bool, bounds: tuple[float, float]) -> Iterator[tuple[str, int]]:
+def _independent(pairs: list, complete: bool, scoring: Scoring) -> Iterator[tuple[str, int]]:
     """The head of a scored ranking that single merges would take in the same order.
 
     A pair without a symbol in common with the merged ones keeps its count and
@@ -207,13 +240,12 @@ def _independent(pairs: list, complete: bool, bounds: tuple[float, float]) -> It
     largest multiplier: the head ends where such a pair could come first.
     """
     used, own = set(), 0
-    lowest, highest = bounds
-    unseen = 0 if complete else pairs[-1]["score"] / lowest
+    unseen = 0 if complete else pairs[-1]["score"] / scoring.lowest
     for i, pair in enumerate(pairs):
         symbols = set(pair["pair"])
         if used:
             grown = max((q["n"] for q in pairs[i:] if used & set(q["pair"])), default=0)
-            if used & symbols or max(grown, unseen, own) * highest >= pair["score"]:
+            if used & symbols or max(grown, unseen, own) * scoring.highest >= pair["score"]:
                 return
         yield pair["pair"], pair["n"]
         used |= symbols
@@ -287,14 +319,15 @@ def train_merges(
         size = len(tokens) + extra
         return size > max_size if as_run else size >= max_size
 
+    scoring = Scoring(spark, tokens, multiplier, *multipliers) if multiplier else None
     done = False
     while not done:
         words = _merged(stored, pending)
-        if multiplier is None:
-            found = _best_pairs(words, ties)
-        else:
-            found = _scored_pairs(words, tokens, ties, multiplier, multipliers)
+        found = _best_pairs(words, ties, scoring)
         step, made = next(found, None), 0
+        if step is None and scoring:  # counts too close for the bound
+            found = _scored_pairs(words, ties, scoring)
+            step = next(found, None)
         while step is not None:
             pair, n = step
             if full() or len(merges) == max_merges or n < max(min_freq, 1):

@@ -88,8 +88,9 @@ def multiplier_of(token):
     return 1.5 if "=" in token else 1.2 if token.endswith("C") else 1.0
 
 
-@pytest.mark.parametrize("seed", [2, 3])
-def test_scored_pairs(spark, seed):
+@pytest.mark.parametrize("seed,pairs", [(2, 64), (2, 2), (3, 64), (3, 5)])
+def test_scored_pairs(spark, seed, pairs, monkeypatch):
+    monkeypatch.setattr(L, "PAIRS_PER_ROUND", pairs)
     strings = corpus(seed)
     column = lambda t: F.when(t.contains("="), 1.5).when(t.endswith("C"), 1.2).otherwise(1.0)
     got = L.train_spe(
