@@ -27,12 +27,12 @@ from molcorpus.session import materialize, small_table
 CONTINUES = "##"
 # Best pairs of a round from whose runs the next merges are worked out, and the
 # number of distinct runs that may reach the driver for it.
-PAIRS_PER_ROUND = 64
-RUNS_PER_ROUND = 50_000
+PAIRS_PER_ROUND = 256
+RUNS_PER_ROUND = 4_000
 # Pairs ranked per round where tokens have multipliers.
 SCORED_PAIRS = 1024
 # Merges replayed on the stored words before they are stored again.
-MERGES_PER_STORE = 128
+MERGES_PER_STORE = 64
 
 
 @dataclass
@@ -198,19 +198,21 @@ def _greedy(runs: list, bound, ties: str, scoring: Scoring | None) -> Iterator[t
             count(i, 1)
 
 
-def _best_pairs(words: DataFrame, ties: str, scoring: Scoring | None) -> Iterator[tuple[str, int]]:
+def _best_pairs(
+    words: DataFrame, ties: str, scoring: Scoring | None, used: int
+) -> tuple[Iterator[tuple[str, int]], int]:
     """Merges of one round, from two jobs: the best pairs, then their runs. With
-    too many distinct runs fewer pairs are used; one pair has hardly any."""
+    too many distinct runs fewer pairs are used; one pair has hardly any. Also
+    returns how many pairs were used."""
     tie = "pair" if ties == "id" else "met"
     ranked = _pairs(words).select("pair", "n", F.col(tie).alias("tie")).orderBy(F.desc("n"), "tie")
     top = ranked.limit(PAIRS_PER_ROUND + 1).collect()
-    used = PAIRS_PER_ROUND
     while top:
         runs = _runs(words, [r["pair"] for r in top[:used]]).limit(RUNS_PER_ROUND + 1).collect()
         if len(runs) <= RUNS_PER_ROUND or used == 1:
-            return _greedy(runs, top[used] if len(top) > used else None, ties, scoring)
+            return _greedy(runs, top[used] if len(top) > used else None, ties, scoring), used
         used //= 2
-    return iter(())
+    return iter(()), used
 
 
 def _scored_pairs(words: DataFrame, ties: str, scoring: Scoring) -> Iterator[tuple[str, int]]:
@@ -320,10 +322,10 @@ def train_merges(
         return size > max_size if as_run else size >= max_size
 
     scoring = Scoring(spark, tokens, multiplier, *multipliers) if multiplier else None
-    done = False
+    done, used = False, PAIRS_PER_ROUND
     while not done:
         words = _merged(stored, pending)
-        found = _best_pairs(words, ties, scoring)
+        found, used = _best_pairs(words, ties, scoring, min(2 * used, PAIRS_PER_ROUND))
         step, made = next(found, None), 0
         if step is None and scoring:  # counts too close for the bound
             found = _scored_pairs(words, ties, scoring)
