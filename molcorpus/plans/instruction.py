@@ -11,6 +11,7 @@ from molcorpus.operators import mix as M
 from molcorpus.operators import ranking as R
 from molcorpus.plans.mixing import interleave_sql
 from molcorpus.plans.registry import literal, query
+from molcorpus.session import materialize
 from molcorpus.sources.samples import table
 
 SEED = 42
@@ -144,6 +145,7 @@ def instruction_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         df.select(F.lit(name).alias("source"), "key", I.render_messages(F.col("messages")).alias("prompt"))
         for name, df in (("science", science(spark, sf_dir)), ("math", math(spark, sf_dir)))
     ]
-    examples = chats.unionByName(rendered[0]).unionByName(rendered[1])
+    # Prepared once, as files, then counted, ranked and joined.
+    examples = materialize(chats.unionByName(rendered[0]).unionByName(rendered[1]))
     mixed = M.interleave(examples, "source", ["key"], MIXTURE, SEED)
     return R.split(mixed, ["idx"], RATIO, SEED)
