@@ -147,5 +147,5 @@ def instruction_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     # Prepared once, as files, then counted, ranked and joined.
     examples = materialize(chats.unionByName(rendered[0]).unionByName(rendered[1]))
-    mixed = M.interleave(examples, "source", ["key"], MIXTURE, SEED)
+    mixed = materialize(M.interleave(examples, "source", ["key"], MIXTURE, SEED))
     return R.split(mixed, ["idx"], RATIO, SEED)

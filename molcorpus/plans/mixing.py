@@ -143,7 +143,7 @@ def mixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     source and split. Windows are written once, before they are ranked and joined."""
     named = _sources(spark, sf_dir).select("doc_id", "source")
     cut = materialize(windows(spark, sf_dir).join(named, "doc_id"))
-    mixed = R.split(M.interleave(cut, "source", ["doc_id", "win"], MIXTURE, SEED), ["idx"], RATIO, SEED)
-    return mixed.select(
+    mixed = materialize(M.interleave(cut, "source", ["doc_id", "win"], MIXTURE, SEED))
+    return R.split(mixed, ["idx"], RATIO, SEED).select(
         "idx", "source", "doc_id", "win", F.size("ids").cast("bigint").alias("n_ids"), "part"
     )
