@@ -66,15 +66,19 @@ def _private(i: int) -> str:
 # --- Training ------------------------------------------------------------------
 
 
-def word_counts(df: DataFrame, col: str, pretokens: Callable[[Column], Column] | None, order: list[str]) -> DataFrame:
-    """Distinct words with their count and, for whole strings, their first place in
-    ``order`` (a key and at most one counter). This is the only pass over the
-    corpus, and it is combined before the shuffle."""
+def word_counts(df: DataFrame, words: Column, order: list[str] | None = None) -> DataFrame:
+    """Distinct entries of an array of words with their count and, where ``order``
+    is given (a whole-number key and at most one counter), the first place of a text
+    that is one word. This is the only pass over the corpus, and it is combined
+    before the shuffle."""
     count = F.count(F.lit(1)).alias("c")
-    if pretokens is not None:
-        return df.select(F.explode(pretokens(F.col(col))).alias("word")).groupBy("word").agg(count)
-    first = F.min(place(df, order)).alias("first")
-    return df.withColumnRenamed(col, "word").groupBy("word").agg(count, first)
+    if order is None:
+        return df.select(F.explode(words).alias("word")).groupBy("word").agg(count)
+    first = place(df, order)
+    counted = df.select(F.explode(words).alias("word"), first.alias("first"))
+    if not dict(counted.dtypes)["first"].startswith("decimal"):
+        raise ValueError("the order must be by whole numbers")
+    return counted.groupBy("word").agg(count, F.min("first").alias("first"))
 
 
 def _met(at: Column) -> Column:
@@ -372,18 +376,18 @@ def _following(found: Iterator, fused: str):
         return None
 
 
-def train_bpe(df, col, order, max_size=20_000, min_freq=2, pretokens=tok_whitespace, max_merges=None) -> Trained:
+def train_bpe(df, col, max_size=20_000, min_freq=2, pretokens=tok_whitespace, max_merges=None) -> Trained:
     """Byte-pair encoding over characters of pre-tokens; without pre-tokens over
     whole strings, as the fast SMILES pair encoder does."""
     specials = [*P.SPECIAL_TOKENS, P.START_TAG, P.END_TAG] if pretokens else P.SPECIAL_TOKENS
-    words = word_counts(df, col, pretokens, order)
+    words = word_counts(df, (pretokens or F.array)(F.col(col)))
     return train_merges(words, characters, max_size, min_freq, specials, max_merges)
 
 
-def train_wordpiece(df, col, order, max_size=20_000, min_freq=2, pretokens=tok_whitespace, max_merges=None) -> Trained:
+def train_wordpiece(df, col, max_size=20_000, min_freq=2, pretokens=tok_whitespace, max_merges=None) -> Trained:
     """The same loop over characters marked as first or going on."""
     specials = [*P.SPECIAL_TOKENS, P.START_TAG, P.END_TAG] if pretokens else P.SPECIAL_TOKENS
-    words = word_counts(df, col, pretokens, order)
+    words = word_counts(df, (pretokens or F.array)(F.col(col)))
     return train_merges(words, continued_characters, max_size, min_freq, specials, max_merges)
 
 
@@ -392,7 +396,7 @@ def train_spe(
 ) -> Trained:
     """SMILES pair encoding over atoms, ranked by count or by scored count. Pairs
     are counted within a SMILES; ties go to the pair met first."""
-    words = word_counts(df, col, None, order)
+    words = word_counts(df, F.array(col), order)
     return train_merges(
         words, tok_atomwise, max_size, min_freq, P.SPECIAL_TOKENS, max_merges, "first",
         multiplier, multipliers, count_specials=False, as_run=as_run,

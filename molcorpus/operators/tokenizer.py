@@ -65,11 +65,11 @@ def build(
     keyed by ``order`` (a key and at most one counter)."""
     if name in ("bpe", "spe"):
         pretokens = tok_whitespace if name == "bpe" else None
-        trained = L.train_bpe(segments, col, order, max_size, min_freq, pretokens)
+        trained = L.train_bpe(segments, col, max_size, min_freq, pretokens)
         return pair_merges(trained, pretokens), trained.vocab
     if name in ("wordpiece", "swp"):
         pretokens = tok_whitespace if name == "wordpiece" else None
-        trained = L.train_wordpiece(segments, col, order, max_size, min_freq, pretokens)
+        trained = L.train_wordpiece(segments, col, max_size, min_freq, pretokens)
         return pieces(trained.vocab, pretokens), trained.vocab
     if name == "manual_spe":
         trained = L.train_spe(segments, col, order, max_size, min_freq)

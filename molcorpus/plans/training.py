@@ -63,19 +63,19 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_bpe(spark: SparkSession, sf_dir: str) -> L.Trained:
-    return L.train_bpe(_documents(spark, sf_dir), "text", ["doc_id"], max_merges=WORD_MERGES)
+    return L.train_bpe(_documents(spark, sf_dir), "text", max_merges=WORD_MERGES)
 
 
 def word_pieces(spark: SparkSession, sf_dir: str) -> L.Trained:
-    return L.train_wordpiece(_documents(spark, sf_dir), "text", ["doc_id"], max_merges=WORD_MERGES)
+    return L.train_wordpiece(_documents(spark, sf_dir), "text", max_merges=WORD_MERGES)
 
 
 def smiles_bpe(spark: SparkSession, sf_dir: str) -> L.Trained:
-    return L.train_bpe(segments(spark, sf_dir), "smi", ORDER, SMILES_SIZE, MIN_FREQ, None)
+    return L.train_bpe(segments(spark, sf_dir), "smi", SMILES_SIZE, MIN_FREQ, None)
 
 
 def smiles_pieces(spark: SparkSession, sf_dir: str) -> L.Trained:
-    return L.train_wordpiece(segments(spark, sf_dir), "smi", ORDER, SMILES_SIZE, MIN_FREQ, None)
+    return L.train_wordpiece(segments(spark, sf_dir), "smi", SMILES_SIZE, MIN_FREQ, None)
 
 
 def atom_pairs(spark: SparkSession, sf_dir: str) -> L.Trained:

@@ -109,7 +109,7 @@ def test_runs_and_ties(spark, letters, pairs, runs, monkeypatch):
     monkeypatch.setattr(L, "RUNS_PER_ROUND", runs)
     rng = random.Random(len(letters))
     strings = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(120)]
-    got = L.train_bpe(table(spark, strings), "smi", ["doc_id"], 60, 1, None)
+    got = L.train_bpe(table(spark, strings), "smi", 60, 1, None)
     expected = loop([list(s) for s in strings], 60 - len(P.SPECIAL_TOKENS), 1, "id")[0]
     assert merges_of(got) == expected
 
@@ -146,7 +146,7 @@ def test_bpe_against_a_library(spark, pretokens):
         ),
     )
     model = json.loads(theirs.to_str())["model"]
-    ours = L.train_bpe(table(spark, strings), "smi", ["doc_id"], 90, 2, pretokens)
+    ours = L.train_bpe(table(spark, strings), "smi", 90, 2, pretokens)
     assert [list(m[:2]) for m in merges_of(ours)] == [list(m) for m in model["merges"]]
     assert {r["token"]: r["id"] for r in ours.vocab.collect()} == model["vocab"]
     fresh = [*corpus(6), "CCZZO", "", "ZZ"]  # Z is no letter of the training corpus
@@ -166,7 +166,7 @@ def test_wordpiece_against_a_library(spark):
             vocab_size=16, min_frequency=2, special_tokens=P.SPECIAL_TOKENS, show_progress=False
         ),
     )
-    ours = L.train_wordpiece(table(spark, strings), "smi", ["doc_id"], 18, 2)
+    ours = L.train_wordpiece(table(spark, strings), "smi", 18, 2)
     tokens = set(L.vocabulary_list(ours.vocab)) - {P.START_TAG, P.END_TAG}
     assert tokens == set(theirs.get_vocab())
     fresh = [*strings, "CCOCCN CCX", "C" * 100, "C" * 101, "", "OCCO"]
@@ -215,3 +215,9 @@ def test_build(spark, name):
 def test_build_of_an_unknown_name(spark):
     with pytest.raises(ValueError, match="unknown tokenizer"):
         build("other", table(spark, ["C"]), "smi", ["doc_id"])
+
+
+def test_first_places_need_numbers(spark):
+    df = spark.createDataFrame([("a", "CC")], "doc_id string, smi string")
+    with pytest.raises(ValueError, match="whole numbers"):
+        L.train_spe(df, "smi", ["doc_id"])
