@@ -3,9 +3,10 @@
 Vectors get one more component that makes all of them equally long, so that the largest inner
 product is the smallest angle. Each tree splits by random directions at the median of a bounded
 sample (``sample`` rows, the documented bound); every row of the table is then indexed: it goes
-to one leaf of each tree. A query searches all trees through one priority queue ordered by the
-smallest margin on the way, until ``leaves`` leaves are open; what lies in them is reranked
-exactly, in double precision on the original vectors.
+to one leaf of each tree. A query searches all trees through one priority queue, ordered by the
+sum of squared margins on the wrong side on the way, until it has opened ``share`` times as many
+leaves as a tree has; what lies in them is reranked exactly, in double precision on the original
+vectors.
 
 Equal vectors are indexed once, with the ``k + 1`` smallest ids that have them: no other id can
 be among the nearest, since ties go to the smaller id. Large leaves are dealt out in blocks.
@@ -96,7 +97,7 @@ def route(tree, x: np.ndarray) -> np.ndarray:
 
 def search(trees, x: np.ndarray, leaves: int) -> list[tuple[int, int]]:
     """The (tree, leaf) pairs a query opens, best first, from one queue over all trees."""
-    queue = [(-np.inf, t, 0 if len(tree[0]) else -1) for t, tree in enumerate(trees)]
+    queue = [(0.0, t, 0 if len(tree[0]) else -1) for t, tree in enumerate(trees)]
     heapq.heapify(queue)
     opened: list[tuple[int, int]] = []
     while queue and len(opened) < leaves:
@@ -105,7 +106,7 @@ def search(trees, x: np.ndarray, leaves: int) -> list[tuple[int, int]]:
         while node >= 0:
             margin = float(normals[node] @ x - cuts[node])
             near = int(margin >= 0)
-            heapq.heappush(queue, (max(bound, abs(margin)), t, int(children[node, 1 - near])))
+            heapq.heappush(queue, (bound + margin * margin, t, int(children[node, 1 - near])))
             node = int(children[node, near])
         opened.append((t, -1 - node))
     return opened
@@ -117,17 +118,18 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 20,
-    trees: int = 12,
+    trees: int = 8,
     sample: int = 32_768,
-    capacity: int = 32,
-    leaves: int = 96,
+    capacity: int = 512,
+    share: float = 1.5,
 ) -> DataFrame:
     """For each row that ``is_query`` marks its ``k`` nearest other rows: query_id, rank from 1,
     the neighbour's id under the name of the key, score."""
     spark = vectors.sparkSession
+    kind = vectors.schema[vector].dataType.simpleString()
     rows = (
         vectors.filter(F.col(key).isNotNull() & usable(F.col(vector)))
-        .select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+        .select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     )
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dims = common["n"] if common else 1
@@ -137,10 +139,12 @@ def nearest(
     points = materialize(
         few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0])
     )
-    longest = points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
+    longest = points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 0.0
     some = points.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow()
     x = lengthened(matrix(some.column("v").combine_chunks(), dims), longest)
     forest = [grow(x, capacity, seed) for seed in range(trees)] if len(x) else []
+    # every tree's first leaf at least
+    leaves = max(trees, int(share * max((len(tree[0]) + 1 for tree in forest), default=1)))
     shared = spark.sparkContext.broadcast(forest)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +155,8 @@ def nearest(
             for t, tree in enumerate(shared.value):
                 leaf = pa.array(route(tree, x).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), t, np.int32)), leaf, batch.column("v"), batch.column("ids"), batch.column("rep")],
-                    ["tree", "leaf", "v", "ids", "rep"],
+                    [pa.array(np.full(len(x), t, np.int32)), leaf, batch.column("v"), batch.column("rep")],
+                    ["tree", "leaf", "v", "rep"],
                 )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +174,7 @@ def nearest(
                     ["tree", "leaf", "v", "asker"],
                 )
 
-    members = materialize(points.mapInArrow(index, "tree int, leaf int, v array<double>, ids array<bigint>, rep bigint"))
+    members = materialize(points.select("v", "rep").mapInArrow(index, f"tree int, leaf int, v {kind}, rep bigint"))
     # at most one row per leaf: bounded by the sample
     blocks = members.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     blocks = F.broadcast(materialize(blocks))
@@ -180,12 +184,12 @@ def nearest(
     # equal queries search once
     asked = rows.filter("q").groupBy("v").agg(F.min("id").alias("asker"))
     opened = (
-        asked.repartition(spark.sparkContext.defaultParallelism, "asker").mapInArrow(ask, "tree int, leaf int, v array<double>, asker bigint")
+        asked.repartition(spark.sparkContext.defaultParallelism, "asker").mapInArrow(ask, f"tree int, leaf int, v {kind}, asker bigint")
         .join(blocks, ["tree", "leaf"])
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("cell", F.struct("tree", "leaf", "block"))
     )
-    out_type = pa.schema([("asker", pa.int64()), ("rep", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+    out_type = pa.schema([("asker", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         """Of one cell's members, each query's best; enough that none of the nearest is lost."""
@@ -196,31 +200,28 @@ def nearest(
         rep = left.column("rep").to_numpy()
         parts = []
         for start in range(0, len(asks), 128):
-            scores = np.stack([(base * y).sum(1) for y in asks[start : start + 128]])
+            scores = asks[start : start + 128] @ base.T
             for i, row in enumerate(scores):
-                best = np.lexsort((rep, -row))[: k + 1]
-                parts.append((np.full(len(best), start + i), best, row[best]))
+                # a margin keeps what rounding could have put behind
+                least = np.partition(row, -k - 1)[-k - 1] - 1e-9 if len(row) > k + 1 else -np.inf
+                near = np.flatnonzero(row >= least)
+                exact = (base[near] * asks[start + i]).sum(1)
+                best = np.lexsort((rep[near], -exact))[: k + 1]
+                parts.append((np.full(len(best), start + i), near[best], exact[best]))
         who, best, score = (np.concatenate(p) for p in zip(*parts))
-        return pa.Table.from_arrays(
-            [
-                right.column("asker").take(pa.array(who)).cast(pa.int64()),
-                pa.array(rep[best]),
-                left.column("ids").take(pa.array(best)).cast(pa.list_(pa.int64())),
-                pa.array(score),
-            ],
-            schema=out_type,
-        )
+        asker = right.column("asker").to_numpy()[who]
+        return pa.Table.from_arrays([pa.array(asker), pa.array(rep[best]), pa.array(score)], schema=out_type)
 
     found = (
-        dealt.select("cell", "v", "ids", "rep").groupBy("cell")
+        dealt.select("cell", "v", "rep").groupBy("cell")
         .cogroup(opened.select("cell", "v", "asker").groupBy("cell"))
-        .applyInArrow(rerank, "asker bigint, rep bigint, ids array<bigint>, score double")
+        .applyInArrow(rerank, "asker bigint, rep bigint, score double")
         .dropDuplicates(["asker", "rep"])
     )
     # vectors of one score can share places, so that their ids are merged before the cut
     per = Window.partitionBy("asker").orderBy(F.desc("score"), "rep")
     best = found.withColumn("n", F.row_number().over(per)).filter(F.col("n") <= k + 1)
-    listed = best.withColumn("id", F.explode("ids")).withColumn(
+    listed = best.join(points.select("rep", "ids"), "rep").withColumn("id", F.explode("ids")).withColumn(
         "n", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "id"))
     ).filter(F.col("n") <= k + 1).groupBy("asker").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("near")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molcorpus.llm import bradley_terry, forest, language, urls
+from molcorpus.llm import bradley_terry, forest, language, minhash, urls
 from molcorpus.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,39 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = forest.nearest(rows, F.col("vec_id") % 20 == 0)
     return found.select("query_id", "rank", "vec_id", "score")
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.near_duplicates(docs)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+WORDS_SQL = """list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"""
+
+ORACLES["op4_near_duplicates"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 85 * (p.n + q.n - c)
+),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM w
+  UNION
+  SELECT reach.node, links.y FROM reach JOIN links ON links.x = reach.seen
+),
+component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN component ON node = w.doc_id LEFT JOIN sizes ON sizes.doc_id = w.doc_id
+"""
