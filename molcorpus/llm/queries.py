@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molcorpus.llm import bradley_terry, forest, language, minhash, urls
+from molcorpus.llm import bpe, bradley_terry, forest, language, minhash, secret_scan, urls
 from molcorpus.llm.text import fold
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -88,3 +91,16 @@ component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM w JOIN component ON node = w.doc_id LEFT JOIN sizes ON sizes.doc_id = w.doc_id
 """
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN, keep_ids=False)
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
