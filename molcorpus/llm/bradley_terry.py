@@ -109,9 +109,10 @@ def rank_quality(
     text: str = "text",
     label: str = "quality",
     sample: int = 20_000,
+    output: str = "score",
 ) -> DataFrame:
-    """Every row of ``docs`` with a ``score``: the probability that it is better than a document
-    at the threshold. Learns from the rows of ``docs`` that ``learn_from`` marks and that
+    """Every row of ``docs`` with the column ``output`` (which replaces one of that name): the probability
+    that it is better than a document at the threshold. Learns from the rows of ``docs`` that ``learn_from`` marks and that
     ``labelled`` (key, label) has one label for."""
     marks = (
         labelled.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1))
@@ -144,7 +145,7 @@ def rank_quality(
             else:
                 centre, scale, w, cut, spread = model
                 scores = 1 / (1 + np.exp(-np.clip(2 * (((features(part.column(text)) - centre) / scale) @ w - cut) / spread, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, output])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "score")
-    return docs.drop("score").mapInArrow(score, f"{fields}, score double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != output)
+    return docs.drop(output).mapInArrow(score, f"{fields}, `{output}` double")
