@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molcorpus.llm import bpe, bradley_terry, decontaminate, forest, language, minhash, secret_scan, suffix, urls
+from molcorpus.llm import bpe, bradley_terry, decontaminate, forest, katz, language, minhash, secret_scan, suffix, urls
 from molcorpus.llm.text import fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -117,3 +117,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.remove_repeated(docs).drop("starts", "ends")
+
+
+@query
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs, fold(F.col("doc_id"), 1, 5))

@@ -37,8 +37,10 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in order, in chunks of bounded bytes of text."""
+def chunks(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30
+) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, in chunks of bounded bytes of text and bounded rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -47,8 +49,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         start = 0
         while start < len(total):
             before = total[start - 1] if start else 0
-            end = int(np.searchsorted(total, before + CHUNK_BYTES, side="right"))
-            end = max(end, start + 1)
+            end = int(np.searchsorted(total, before + limit, side="right"))
+            end = min(max(end, start + 1), start + rows)
             yield batch.slice(start, end - start)
             start = end
 
