@@ -26,6 +26,8 @@ def fertility(df: DataFrame, sizes: dict[str, Column], strict: bool = False) ->
         {
             "upto": F.sum("c").over(by_size),
             "total": F.sum("c").over(Window.partitionBy("tokenizer")),
+            "mean": F.sum(F.col("c") * F.col("n")).over(Window.partitionBy("tokenizer"))
+            / F.sum("c").over(Window.partitionBy("tokenizer")),
         }
     )
 
@@ -35,8 +37,7 @@ def fertility(df: DataFrame, sizes: dict[str, Column], strict: bool = False) ->
 
     total, tokens = F.sum("c"), F.sum(F.col("c") * F.col("n"))
     mean = tokens / total
-    squares = F.sum(F.col("c") * F.col("n") * F.col("n"))
-    variance = F.greatest(squares / total - mean * mean, F.lit(0.0))
+    variance = F.sum(F.col("c") * F.pow(F.col("n") - F.col("mean"), 2)) / total
     empty = F.coalesce(F.sum(F.when(F.col("n") == 0, F.col("c"))), F.lit(0))
     if strict:
         message = F.concat(F.first("tokenizer"), F.lit(" finds no token in some SMILES"))

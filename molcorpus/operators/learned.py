@@ -206,19 +206,29 @@ def _best_pairs(
     words: DataFrame, ties: str, scoring: Scoring | None, used: int
 ) -> tuple[Iterator[tuple[str, int]], int]:
     """Merges of one round, from two jobs: the best pairs, then their runs. With
-    too many distinct runs fewer pairs are used; one pair has hardly any. Also
-    returns how many pairs were used."""
+    too many distinct runs fewer pairs are used; where one pair alone has too many
+    (a doubled symbol's differ by length), its merge is made from its count, which
+    all words were read for. Also returns how many pairs were used."""
     tie = "pair" if ties == "id" else "met"
     ranked = _pairs(words).select("pair", "n", F.col(tie).alias("tie")).orderBy(F.desc("n"), "tie")
     top = ranked.limit(PAIRS_PER_ROUND + 1).collect()
     while top:
         runs = _runs(words, [r["pair"] for r in top[:used]]).limit(RUNS_PER_ROUND + 1).collect()
-        if len(runs) <= RUNS_PER_ROUND or used == 1:
+        if len(runs) <= RUNS_PER_ROUND:
             return _greedy(runs, top[used] if len(top) > used else None, ties, scoring), used
+        if used == 1:
+            return _single(top[0], scoring), used
         used //= 2
     return iter(()), used
 
 
+def _single(best, scoring: Scoring | None) -> Iterator[tuple[str, int]]:
+    """The best pair of all, and then a new round. With multipliers the ranking of
+    all pairs decides."""
+    if scoring is None:
+        yield best["pair"], best["n"]
+
+
 def _scored_pairs(words: DataFrame, ties: str, scoring: Scoring) -> Iterator[tuple[str, int]]:
     """Merges of one round from all pairs, ranked by count times multiplier."""
     # One row per vocabulary entry.
@@ -265,7 +275,6 @@ def train_merges(
     max_size: int,
     min_freq: int,
     specials: list[str],
-    max_merges: int | None = None,
     ties: str = "id",
     multiplier: Callable[[Column], Column] | None = None,
     multipliers: tuple[float, float] = (1.0, 1.0),
@@ -336,7 +345,7 @@ def train_merges(
             step = next(found, None)
         while step is not None:
             pair, n = step
-            if full() or len(merges) == max_merges or n < max(min_freq, 1):
+            if full() or n < max(min_freq, 1):
                 done = True
                 break
             left, right = (tokens[_place(c)] for c in pair)
@@ -376,29 +385,29 @@ def _following(found: Iterator, fused: str):
         return None
 
 
-def train_bpe(df, col, max_size=20_000, min_freq=2, pretokens=tok_whitespace, max_merges=None) -> Trained:
+def train_bpe(df, col, max_size=20_000, min_freq=2, pretokens=tok_whitespace) -> Trained:
     """Byte-pair encoding over characters of pre-tokens; without pre-tokens over
     whole strings, as the fast SMILES pair encoder does."""
     specials = [*P.SPECIAL_TOKENS, P.START_TAG, P.END_TAG] if pretokens else P.SPECIAL_TOKENS
     words = word_counts(df, (pretokens or F.array)(F.col(col)))
-    return train_merges(words, characters, max_size, min_freq, specials, max_merges)
+    return train_merges(words, characters, max_size, min_freq, specials)
 
 
-def train_wordpiece(df, col, max_size=20_000, min_freq=2, pretokens=tok_whitespace, max_merges=None) -> Trained:
+def train_wordpiece(df, col, max_size=20_000, min_freq=2, pretokens=tok_whitespace) -> Trained:
     """The same loop over characters marked as first or going on."""
     specials = [*P.SPECIAL_TOKENS, P.START_TAG, P.END_TAG] if pretokens else P.SPECIAL_TOKENS
     words = word_counts(df, (pretokens or F.array)(F.col(col)))
-    return train_merges(words, continued_characters, max_size, min_freq, specials, max_merges)
+    return train_merges(words, continued_characters, max_size, min_freq, specials)
 
 
 def train_spe(
-    df, col, order, max_size=20_000, min_freq=0, max_merges=None, multiplier=None, multipliers=(1.0, 1.0), as_run=False
+    df, col, order, max_size=20_000, min_freq=0, multiplier=None, multipliers=(1.0, 1.0), as_run=False
 ) -> Trained:
     """SMILES pair encoding over atoms, ranked by count or by scored count. Pairs
     are counted within a SMILES; ties go to the pair met first."""
     words = word_counts(df, F.array(col), order)
     return train_merges(
-        words, tok_atomwise, max_size, min_freq, P.SPECIAL_TOKENS, max_merges, "first",
+        words, tok_atomwise, max_size, min_freq, P.SPECIAL_TOKENS, "first",
         multiplier, multipliers, count_specials=False, as_run=as_run,
     )
 

@@ -11,17 +11,17 @@ from molcorpus.functions.tokenizers import tok_atomwise, tok_whitespace
 from molcorpus.operators import evaluate as E
 from molcorpus.operators import hybrid as H
 from molcorpus.operators import learned as L
-from molcorpus.operators.tokenizer import longest, pair_merges, pieces
+from molcorpus.operators.tokenizer import build, longest, pair_merges, pieces
 from molcorpus.plans import training_sql as Q
 from molcorpus.plans.detection import SEGMENTS_CTE, segments
 from molcorpus.plans.encoding import PIECES_CTE, base_list
 from molcorpus.plans.registry import query
-from molcorpus.plans.tokenization import stats_sql
+from molcorpus.plans.tokenization import SIMPLE_SQL, stats_sql
 from molcorpus.plans.vocabulary import BASE_CTE, base_vocab
-from molcorpus.sources.samples import ANNOTATED_SQL, annotated, prose
+from molcorpus.sources.samples import ANNOTATED_SQL, annotated
 
-WORD_MERGES = 32
-SMILES_SIZE = 120
+# Sizes that the minimum frequency ends long before.
+SIZE, SCORED_SIZE = 20_000, 2_000
 MIN_FREQ = 2
 # Multipliers of the scored pair encoder.
 BASE, PATTERN, VALID = 1.0, 1.2, 1.5
@@ -30,17 +30,17 @@ ORDER = ["doc_id", "seg"]
 # --- SQL side ------------------------------------------------------------------
 
 _WORD_SPECIALS = [*P.SPECIAL_TOKENS, P.START_TAG, P.END_TAG]
-_WORDS = f"WITH RECURSIVE {Q.DOCUMENT_WORDS}"
+_WORDS = f"WITH RECURSIVE {ANNOTATED_SQL}, {SEGMENTS_CTE}, {Q.SEGMENT_TOKENS}"
 _SMILES = f"WITH RECURSIVE {ANNOTATED_SQL}, {SEGMENTS_CTE}, {Q.SEGMENT_WORDS}"
-_BPE = Q.training_cte("bpe", "characters", 20_000, MIN_FREQ, _WORD_SPECIALS, max_merges=WORD_MERGES)
-_PIECES = Q.training_cte("wp", "continued", 20_000, MIN_FREQ, _WORD_SPECIALS, max_merges=WORD_MERGES)
-_SPE = Q.training_cte("spe", "characters", SMILES_SIZE, MIN_FREQ)
-_SWP = Q.training_cte("swp", "continued", SMILES_SIZE, MIN_FREQ)
+_BPE = Q.training_cte("bpe", "characters", SIZE, MIN_FREQ, _WORD_SPECIALS)
+_PIECES = Q.training_cte("wp", "continued", SIZE, MIN_FREQ, _WORD_SPECIALS)
+_SPE = Q.training_cte("spe", "characters", SIZE, MIN_FREQ)
+_SWP = Q.training_cte("swp", "continued", SIZE, MIN_FREQ)
 _ATOMS = Q.training_cte(
-    "atoms", "atoms", SMILES_SIZE, MIN_FREQ, count_specials=False, first_ties=True
+    "atoms", "atoms", SIZE, MIN_FREQ, count_specials=False, first_ties=True
 )
 _SCORED = Q.training_cte(
-    "scored", "atoms", SMILES_SIZE, MIN_FREQ, count_specials=False, first_ties=True,
+    "scored", "atoms", SCORED_SIZE, MIN_FREQ, count_specials=False, first_ties=True,
     multiplier=Q.multiplier_sql("tok", BASE, PATTERN, VALID),
 )
 
@@ -50,41 +50,45 @@ def _merges_sql(name: str) -> str:
 
 
 def _texts_sql(pieces: str) -> str:
-    return f"""SELECT d.doc_id, coalesce(tokens, '') AS tokens FROM documents d LEFT JOIN (
-      SELECT doc_id, string_agg(p.token, ' ' ORDER BY t.pos, p.pos) AS tokens
-      FROM document_tokens t JOIN {pieces} p USING (word) GROUP BY doc_id) USING (doc_id)"""
+    return f"""SELECT s.doc_id, s.seg, coalesce(tokens, '') AS tokens FROM segments s LEFT JOIN (
+      SELECT doc_id, seg, string_agg(p.token, ' ' ORDER BY t.pos, p.pos) AS tokens
+      FROM segment_tokens t JOIN {pieces} p USING (word) GROUP BY doc_id, seg) USING (doc_id, seg)"""
 
 
 # --- Spark side ------------------------------------------------------------------
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose(spark, sf_dir).select("doc_id", "text")
-
-
 def word_bpe(spark: SparkSession, sf_dir: str) -> L.Trained:
-    return L.train_bpe(_documents(spark, sf_dir), "text", max_merges=WORD_MERGES)
+    return L.train_bpe(segments(spark, sf_dir), "smi", SIZE, MIN_FREQ)
 
 
 def word_pieces(spark: SparkSession, sf_dir: str) -> L.Trained:
-    return L.train_wordpiece(_documents(spark, sf_dir), "text", max_merges=WORD_MERGES)
+    return L.train_wordpiece(segments(spark, sf_dir), "smi", SIZE, MIN_FREQ)
+
+
+def _coded(spark: SparkSession, sf_dir: str, tokenize) -> DataFrame:
+    return segments(spark, sf_dir).select(
+        "doc_id",
+        F.col("seg").cast("bigint").alias("seg"),
+        F.array_join(tokenize(F.col("smi")), " ").alias("tokens"),
+    )
 
 
 def smiles_bpe(spark: SparkSession, sf_dir: str) -> L.Trained:
-    return L.train_bpe(segments(spark, sf_dir), "smi", SMILES_SIZE, MIN_FREQ, None)
+    return L.train_bpe(segments(spark, sf_dir), "smi", SIZE, MIN_FREQ, None)
 
 
 def smiles_pieces(spark: SparkSession, sf_dir: str) -> L.Trained:
-    return L.train_wordpiece(segments(spark, sf_dir), "smi", SMILES_SIZE, MIN_FREQ, None)
+    return L.train_wordpiece(segments(spark, sf_dir), "smi", SIZE, MIN_FREQ, None)
 
 
 def atom_pairs(spark: SparkSession, sf_dir: str) -> L.Trained:
-    return L.train_spe(segments(spark, sf_dir), "smi", ORDER, SMILES_SIZE, MIN_FREQ)
+    return L.train_spe(segments(spark, sf_dir), "smi", ORDER, SIZE, MIN_FREQ)
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> L.Trained:
     return L.train_spe(
-        segments(spark, sf_dir), "smi", ORDER, SMILES_SIZE, MIN_FREQ,
+        segments(spark, sf_dir), "smi", ORDER, SCORED_SIZE, MIN_FREQ,
         multiplier=_multiplier, multipliers=(BASE, VALID),
     )
 
@@ -100,10 +104,7 @@ def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_WORDS}, {_BPE}, {Q.merged_cte('bpe')} {_texts_sql('bpe_pieces')}")
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encode = pair_merges(word_bpe(spark, sf_dir), tok_whitespace)
-    return _documents(spark, sf_dir).select(
-        "doc_id", F.array_join(encode(F.col("text")), " ").alias("tokens")
-    )
+    return _coded(spark, sf_dir, pair_merges(word_bpe(spark, sf_dir), tok_whitespace))
 
 
 @query(f"{_WORDS}, {_PIECES} SELECT token, id FROM wp_vocab")
@@ -113,10 +114,7 @@ def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_WORDS}, {_PIECES}, {Q.wordpiece_cte('cut', 'wp_vocab')} {_texts_sql('cut_pieces')}")
 def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = pieces(word_pieces(spark, sf_dir).vocab, tok_whitespace)
-    return _documents(spark, sf_dir).select(
-        "doc_id", F.array_join(cut(F.col("text")), " ").alias("tokens")
-    )
+    return _coded(spark, sf_dir, pieces(word_pieces(spark, sf_dir).vocab, tok_whitespace))
 
 
 @query(f"{_SMILES}, {_SPE} {_merges_sql('spe')}")
@@ -151,12 +149,7 @@ def spe_token_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tok_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments through the learned atom-pair vocabulary."""
-    match = longest(atom_pairs(spark, sf_dir).vocab)
-    return segments(spark, sf_dir).select(
-        "doc_id",
-        F.col("seg").cast("bigint").alias("seg"),
-        F.array_join(match(F.col("smi")), " ").alias("tokens"),
-    )
+    return _coded(spark, sf_dir, longest(atom_pairs(spark, sf_dir).vocab))
 
 
 @query(
@@ -184,6 +177,45 @@ def fertility_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fertility(coded, {name: F.size(name) for name in tokenizers})
 
 
+# The tokenizers of a comparison, by name and kind; the base one cuts words.
+REGISTRY = [
+    ("Base", "whitespace"), ("Character", "character"), ("Element", "element"), ("BPE", "bpe"),
+    ("WordPiece", "wordpiece"), ("SMILES Pair Encoding", "spe"), ("Scored SPE", "scored_spe"),
+    ("4-mer", "kmer"), ("SMILES WordPiece", "swp"),
+]
+_WORD_TABLES = Q.SEGMENT_TOKENS.replace("words AS", "cut_words AS")
+_BY_WORDS = "SELECT '{}' AS tokenizer, (SELECT count(*) FROM segment_tokens t JOIN {} p ON p.word = t.word WHERE t.doc_id = s.doc_id AND t.seg = s.seg) AS n FROM segments s"
+_NAMED = " UNION ALL ".join(
+    _BY_WORDS.format(name, {"bpe": "bpe_pieces", "wordpiece": "wp_cut_pieces"}[kind]) if kind in ("bpe", "wordpiece")
+    else f"SELECT '{name}' AS tokenizer, len({SIMPLE_SQL[kind]}) AS n FROM segments" if kind in SIMPLE_SQL
+    else f"SELECT '{name}' AS tokenizer, n FROM segments JOIN (SELECT word, count(*) AS n FROM {table} GROUP BY word) ON word = smi"
+    for name, kind in REGISTRY
+    for table in [{"spe": "spe_pieces", "swp": "swp_cut_pieces", "scored_spe": "scored_cut_pieces"}.get(kind)]
+)
+
+
+def _over(cte: str) -> str:
+    """The same CTEs over the words inside the SMILES."""
+    return cte.replace("FROM words", "FROM cut_words")
+
+
+@query(
+    f"""{_SMILES}, {_WORD_TABLES}, {_over(_BPE)}, {_over(_PIECES)}, {_SPE}, {_SWP}, {_SCORED},
+    {Q.merged_cte('bpe')}, {_over(Q.wordpiece_cte('wp_cut', 'wp_vocab'))}, {Q.merged_cte('spe')},
+    {Q.wordpiece_cte('swp_cut', 'swp_vocab')}, {Q.longest_match_cte('scored_cut', 'scored_vocab')},
+    counts AS ({_NAMED}) {stats_sql('tokenizer')}"""
+)
+def fertility_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tokenizer of the registry, learned ones trained on the segments."""
+    rows = segments(spark, sf_dir)
+    tokenizers = {
+        name: build(kind, rows, "smi", ORDER, SCORED_SIZE if kind == "scored_spe" else SIZE, MIN_FREQ, _multiplier, (BASE, VALID))[0]
+        for name, kind in REGISTRY
+    }
+    coded = rows.select(*[tokenize(F.col("smi")).alias(name) for name, tokenize in tokenizers.items()])
+    return E.fertility(coded, {name: F.size(F.col(f"`{name}`")) for name in tokenizers})
+
+
 _MULTIPLIER = Q.multiplier_sql("tok", BASE, PATTERN, VALID)
 
 

@@ -11,10 +11,9 @@ from molcorpus.functions import patterns as P
 from molcorpus.plans.registry import literal
 from molcorpus.plans.tokenization import SIMPLE_SQL
 
-DOCUMENT_TOKENS = f"""document_tokens AS (SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS word
-  FROM (SELECT doc_id, regexp_extract_all(text, {literal(P.WORD_TOKEN_RE2)}) AS t FROM documents))"""
-DOCUMENT_WORDS = f"""{DOCUMENT_TOKENS},
-words AS (SELECT word, count(*) AS c, 0 AS doc_id, 0 AS seg FROM document_tokens GROUP BY word)"""
+SEGMENT_TOKENS = f"""segment_tokens AS (SELECT doc_id, seg, unnest(range(len(t))) AS pos, unnest(t) AS word
+  FROM (SELECT doc_id, seg, regexp_extract_all(smi, {literal(P.WORD_TOKEN_RE2)}) AS t FROM segments)),
+words AS (SELECT word, count(*) AS c, 0 AS doc_id, 0 AS seg FROM segment_tokens GROUP BY word)"""
 SEGMENT_WORDS = """words AS (SELECT smi AS word, count(*) AS c, min({'d': doc_id, 's': seg})['d'] AS doc_id,
     min({'d': doc_id, 's': seg})['s'] AS seg FROM segments GROUP BY smi)"""
 
@@ -56,7 +55,6 @@ def training_cte(
     min_freq: int,
     specials: list[str] = P.SPECIAL_TOKENS,
     count_specials: bool = True,
-    max_merges: int | None = None,
     first_ties: bool = False,
     multiplier: str = "1",
 ) -> str:
@@ -73,7 +71,6 @@ def training_cte(
           FROM {n}_spelled GROUP BY sym"""
         order, right = "first" if first_ties else "sym", "r.tok"
     tie = "min({'d': doc_id, 's': seg, 'p': i})" if first_ties else "pair"
-    limit = "true" if max_merges is None else f"(SELECT max(step) FROM {n}_loop) < {max_merges}"
     extra = len(specials) if count_specials else 0
     size = f"(SELECT count(*) FROM {n}_loop WHERE kind = 1)"
     return f"""{n}_spelled AS (SELECT word, c, doc_id, seg, unnest(range(1, len(s) + 1)) AS pos, unnest(s) AS sym
@@ -95,7 +92,7 @@ def training_cte(
     best AS (SELECT pair, n, tok FROM named ORDER BY n * {multiplier} DESC, tie LIMIT 1),
     target AS (SELECT pair, n, tok, (SELECT w FROM {n}_loop k WHERE k.kind = 1 AND k.tok = best.tok) AS existing,
         chr((2048 + {size})::INTEGER) AS fresh FROM best
-      WHERE n >= {max(min_freq, 1)} AND {limit} AND {size} + {extra} < {max_size})
+      WHERE n >= {max(min_freq, 1)} AND {size} + {extra} < {max_size})
     SELECT step + 1, kind, CASE kind WHEN 0 THEN replace(w, t.pair, coalesce(t.existing, t.fresh)) ELSE w END,
       c, doc_id, seg, l.tok FROM {n}_loop l, target t WHERE kind < 2
     UNION ALL SELECT (SELECT max(step) + 1 FROM {n}_loop), 1, fresh, NULL, NULL, NULL, tok FROM target
