@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from molcorpus.functions import patterns as P
 from molcorpus.functions.text import draw, find_all
 from molcorpus.operators import vocab as V
+from molcorpus.operators.lookup import join_by_frequency
 
 # Spread of a randomly initialised vector.
 RANDOM_SCALE = 0.02
@@ -93,21 +94,24 @@ def init_embeddings(
 
 
 def mean_pool(df: DataFrame, keys: list[str], ids: str, mask: str, base: DataFrame, dim: int) -> DataFrame:
-    """Mean vector of the unmasked ids of each row, zeros where there are none.
-    Vectors of a row are summed where its ids were read, so the shuffle carries
-    about one vector per row."""
+    """Mean vector of the unmasked ids of each row, zeros where there are none; an
+    id without a vector counts as zeros. The ids of a row are counted first, so that
+    each meets its vector once; frequent ids get theirs shipped."""
     pairs = F.arrays_zip(F.col(ids).alias("id"), F.col(mask).alias("m"))
-    present = df.select(*keys, F.explode_outer(pairs).alias("p")).select(
-        *keys, F.when(F.col("p.m") == 1, F.col("p.id")).alias("token_id")
+    counted = (
+        df.select(*keys, F.explode(pairs).alias("p"))
+        .filter("p.m = 1 AND p.id IS NOT NULL")
+        .groupBy(*keys, F.col("p.id").alias("token_id"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    weighted = F.transform(F.coalesce(_doubles("embedding"), zeros), lambda x: x * F.col("_n"))
+    valued = join_by_frequency(counted, base.select("token_id", "embedding"), "token_id").select(
+        *keys, "_n", weighted.alias("_v")
     )
-    vector = F.coalesce(_doubles("embedding"), F.array_repeat(F.lit(0.0), dim))
-    sums = (
-        present.join(base, "token_id", "left")
-        .groupBy(*keys)
-        .agg(
-            vector_to_array(Summarizer.sum(array_to_vector(vector))).alias("_sum"),
-            F.count("token_id").alias("_n"),
-        )
+    every = valued.unionByName(df.select(*keys, F.lit(0).cast("bigint").alias("_n"), zeros.alias("_v")))
+    sums = every.groupBy(*keys).agg(
+        vector_to_array(Summarizer.sum(array_to_vector("_v"))).alias("_sum"), F.sum("_n").alias("_n")
     )
     count = F.greatest(F.col("_n").cast("double"), F.lit(1e-9))
     return sums.select(*keys, F.transform("_sum", lambda x: x / count).alias("embedding"))

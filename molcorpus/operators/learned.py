@@ -21,7 +21,7 @@ from molcorpus.functions import patterns as P
 from molcorpus.functions.text import bind, find_all
 from molcorpus.functions.tokenizers import tok_atomwise, tok_whitespace
 from molcorpus.operators.lookup import BROADCAST_ROWS, replace_entries
-from molcorpus.operators.ranking import place
+from molcorpus.operators.ranking import first_places
 from molcorpus.session import materialize, small_table
 
 CONTINUES = "##"
@@ -68,17 +68,18 @@ def _private(i: int) -> str:
 
 def word_counts(df: DataFrame, words: Column, order: list[str] | None = None) -> DataFrame:
     """Distinct entries of an array of words with their count and, where ``order``
-    is given (a whole-number key and at most one counter), the first place of a text
-    that is one word. This is the only pass over the corpus, and it is combined
+    is given (a key, of numbers or text, and at most one counter), the first place of
+    a text that is one word. This is the only pass over the corpus, and it is combined
     before the shuffle."""
-    count = F.count(F.lit(1)).alias("c")
+    count = F.count(F.lit(1))
     if order is None:
-        return df.select(F.explode(words).alias("word")).groupBy("word").agg(count)
-    first = place(df, order)
-    counted = df.select(F.explode(words).alias("word"), first.alias("first"))
-    if not dict(counted.dtypes)["first"].startswith("decimal"):
-        raise ValueError("the order must be by whole numbers")
-    return counted.groupBy("word").agg(count, F.min("first").alias("first"))
+        return df.select(F.explode(words).alias("word")).groupBy("word").agg(count.alias("c"))
+    if len(order) > 2:
+        raise ValueError("the order is a key and at most one counter")
+    counted = df.select(F.explode(words).alias("word"), *order)
+    # the last of the three packed numbers is left free, for places within a word
+    counted = counted.withColumn("_none", F.lit(0))
+    return first_places(counted, "word", [*order, "_none"], count, "c")
 
 
 def _met(at: Column) -> Column:

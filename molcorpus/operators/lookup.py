@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molcorpus.functions.text import entries
+from molcorpus.session import materialize
 
 # A literal map is searched entry by entry, so it is used for small tables only.
 LITERAL_ROWS = 256
-# Largest table shipped to the executors; larger ones are joined.
+# Largest table shipped to the executors, in rows and bytes; larger ones are joined.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+# A key is frequent from this share of the rows on, so there are no more than its inverse.
+FREQUENT_SHARE = 1e-3
 
 
 def _literal_map(rows: list, default) -> Callable[[Column], Column]:
@@ -24,23 +28,22 @@ def _literal_map(rows: list, default) -> Callable[[Column], Column]:
     return lambda item: F.coalesce(F.element_at(known, item), F.lit(default))
 
 
-def _arrow_lookup(spark, rows: list, key_type: pa.DataType, value_type: pa.DataType, default):
-    """An Arrow function over whole batches of lists."""
-    table = spark.sparkContext.broadcast(
-        (pa.array([r[0] for r in rows], key_type), pa.array([r[1] for r in rows], value_type))
-    )
+def _arrow_lookup(spark, rows: list, value_type: pa.DataType, default):
+    """An Arrow function over whole batches of lists: the distinct entries of a batch
+    are looked up, in a map that each Python worker loads once."""
+    table = spark.sparkContext.broadcast({row[0]: row[1] for row in rows})
 
     def replace(batch: pa.Array) -> pa.Array:
-        keys, values = table.value
-        flat = batch.flatten()
-        hits = pc.index_in(flat.cast(keys.type), value_set=keys)
-        found = values.take(hits)
+        known = table.value
+        coded = batch.flatten().dictionary_encode()
+        values = pa.array([known.get(k) for k in coded.dictionary.to_pylist()], value_type)
+        found = values.take(coded.indices)
         if default is not None:
-            found = pc.fill_null(found, pa.scalar(default, values.type))
+            found = pc.fill_null(found, pa.scalar(default, value_type))
         lengths = pc.fill_null(pc.list_value_length(batch), 0)
         ends = pc.cumulative_sum(lengths.cast(pa.int32()))
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pa.ListArray.from_arrays(offsets, found)
+        return pa.ListArray.from_arrays(offsets, found, mask=batch.is_null())
 
     return F.arrow_udf(replace, f"array<{_sql_type(value_type)}>")
 
@@ -56,34 +59,55 @@ def _arrow_type(sql_type: str) -> pa.DataType:
 def replace_entries(
     df: DataFrame, col: str, table: DataFrame, default, row_keys: list[str], out: str | None = None
 ) -> DataFrame:
-    """Map every array entry through ``table`` (first column unique key, second
-    value), unknown entries to ``default`` (None gives null). Entries keep their order.
-
-    Up to two million table rows this is a projection: a literal map for tiny
-    tables, else one Arrow lookup per batch. A larger table is joined to the
-    exploded entries, whose rows are then put together again by ``row_keys``.
+    """Map every array entry through ``table`` (first column key, second value),
+    unknown and null entries to ``default`` (None gives null). Entries keep their
+    order, null arrays stay null; of a key that is there twice the smallest value
+    counts.
+
+    A table of up to two million rows and 64 MB makes this a projection: a literal
+    map for tiny tables, else one Arrow lookup per batch. A larger table is joined
+    to the exploded entries, whose rows are then put together again by ``row_keys``.
     """
     key, value = table.columns
-    types = dict(table.dtypes)
     out = out or col
-    # The limit bounds what reaches the driver, whatever the table's size.
-    rows = table.limit(BROADCAST_ROWS + 1).collect()
+    # Both limits hold before anything reaches the driver.
+    first = table.filter(F.col(key).isNotNull()).limit(BROADCAST_ROWS + 1)
+    size = F.coalesce(F.length(F.col(key).cast("string")), F.lit(0)) + F.coalesce(F.length(F.col(value).cast("string")), F.lit(0))
+    n, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n > BROADCAST_ROWS or 4 * total > BROADCAST_BYTES:
+        return _joined(df, col, table, default, row_keys, out)
+    rows = first.groupBy(key).agg(F.min(value)).collect()
     if len(rows) <= LITERAL_ROWS:
-        one = _literal_map(rows, default)
-        return df.withColumn(out, F.transform(col, one))
-    if len(rows) <= BROADCAST_ROWS:
-        lookup = _arrow_lookup(
-            df.sparkSession, rows, _arrow_type(types[key]), _arrow_type(types[value]), default
-        )
-        return df.withColumn(out, lookup(F.col(col)))
-    return _joined(df, col, table, default, row_keys, out)
+        return df.withColumn(out, F.transform(col, _literal_map(rows, default)))
+    lookup = _arrow_lookup(df.sparkSession, rows, _arrow_type(dict(table.dtypes)[value]), default)
+    return df.withColumn(out, lookup(F.col(col)))
+
+
+def join_by_frequency(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on one key, of which ``right`` has each value once. Values that hold a
+    thousandth of the left rows or more are few, and their right rows are shipped;
+    the others are joined by a shuffle in which no value is hot. Null keys meet
+    nothing and are not shuffled."""
+    left = materialize(left)
+    least = max(1, int(left.count() * FREQUENT_SHARE))
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > least)
+    frequent = F.broadcast(materialize(counts.select(key)))  # at most 1000 rows
+    hot = F.broadcast(materialize(right.join(frequent, key, "left_semi")))
+    others = [F.lit(None).cast(t).alias(c) for c, t in right.dtypes if c != key]
+    known = left.filter(F.col(key).isNotNull())
+    return (
+        known.join(frequent, key, "left_semi").join(hot, key, "left")
+        .unionByName(known.join(frequent, key, "left_anti").join(right, key, "left"))
+        .unionByName(left.filter(F.col(key).isNull()).select("*", *others))
+    )
 
 
 def _joined(df: DataFrame, col: str, table: DataFrame, default, row_keys: list[str], out: str) -> DataFrame:
     key, value = table.columns
+    single = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
     exploded = entries(df, row_keys, col, "_pos", key)
     found = F.col(value) if default is None else F.coalesce(value, F.lit(default))
-    valued = exploded.join(table, key, "left").select(
+    valued = join_by_frequency(exploded, single, key).select(
         *row_keys, F.struct("_pos", found.alias("_value")).alias("_e")
     )
     lists = valued.groupBy(*row_keys).agg(
@@ -91,4 +115,4 @@ def _joined(df: DataFrame, col: str, table: DataFrame, default, row_keys: list[s
     )
     empty = F.array().cast(f"array<{dict(table.dtypes)[value]}>")
     joined = df.join(lists, row_keys, "left")
-    return joined.withColumn(out, F.coalesce("_list", empty)).drop("_list")
+    return joined.withColumn(out, F.when(F.col(col).isNotNull(), F.coalesce("_list", empty))).drop("_list")

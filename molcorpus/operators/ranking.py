@@ -14,20 +14,43 @@ from molcorpus.session import materialize
 ONE_TASK_ROWS = 1_000_000
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 def place(df: DataFrame, order: list[str]) -> Column:
     """One sortable value for a place in the corpus. Up to three whole-number
     columns (a 64-bit key, then counters below a billion) are packed into a
     decimal, whose minimum is taken by hash aggregation; a struct would be sorted."""
     types = dict(df.dtypes)
-    if len(order) > 3 or any(types[c] not in ("tinyint", "smallint", "int", "bigint") for c in order):
+    if len(order) > 3 or any(types[c] not in WHOLE for c in order):
         return F.struct(*order)
+    return _packed([F.col(c) for c in order])
+
+
+def _packed(numbers: list[Column]) -> Column:
     digits = F.lit(0).cast("decimal(38,0)")
-    for i, col in enumerate(order):
+    for i, number in enumerate(numbers):
         shift = F.lit(str(10 ** (9 * (2 - i)))).cast("decimal(19,0)")
-        digits = digits + F.col(col).cast("decimal(19,0)") * shift
+        digits = digits + number.cast("decimal(19,0)") * shift
     return digits.cast("decimal(38,0)")
 
 
+def first_places(df: DataFrame, by: str, order: list[str], count: Column, name: str) -> DataFrame:
+    """Per value of ``by`` the first place in ``order`` (as ``first``) and a sum or count
+    (as ``name``), by hash aggregation throughout. A key that is no whole number, such as
+    a text id, is replaced by its rank: entries are combined per key first, and then meet
+    the ranks."""
+    key, *rest = order
+    if dict(df.dtypes)[key] in WHOLE or len(order) > 3:
+        return df.groupBy(by).agg(F.min(place(df, order)).alias("first"), count.alias(name))
+    inner = _packed([F.lit(0), *map(F.col, rest)])
+    per_key = df.groupBy(by, key).agg(F.min(inner).alias("_inner"), count.alias(name))
+    ranks = rank_rows(df.select(key).distinct(), [key], name="_rank")
+    first = (_packed([F.col("_rank")]) + F.col("_inner")).cast("decimal(38,0)")
+    joined = per_key.join(ranks, key).withColumn("_first", first)
+    return joined.groupBy(by).agg(F.min("_first").alias("first"), F.sum(name).alias(name))
+
+
 def rank_rows(df: DataFrame, order: list, within: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Number rows from 0 in the given order, per value of ``within``.
 
@@ -88,13 +111,21 @@ def nth_smallest(df: DataFrame, col: str, n: int):
     return rows.orderBy(col).limit(n).agg(F.max(col)).first()[0]
 
 
-def first_rows(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The first n rows in key order, as a filter on the key of the n-th row:
-    nothing is sorted or moved, and the filter reaches the scan. Keys are numeric
-    and, together, unique."""
+def first_rows(df: DataFrame, keys: list[str], n: int, narrow: DataFrame | None = None) -> DataFrame:
+    """The first n rows in key order, as a filter on the key of the n-th row: nothing
+    is sorted or moved but keys, and the filter reaches the scan. Keys are, together,
+    unique; ``narrow`` holds them alone, where they are costly to compute. Numbers are
+    cut by counting, other keys by their ranks."""
     if n <= 0:
         return df.filter(F.lit(False))
-    rest, keep, same, reach = df, F.lit(False), F.lit(True), F.lit(True)
+    narrow = df.select(*keys) if narrow is None else narrow
+    if any(t not in (*WHOLE, "float", "double", "date", "timestamp") and not t.startswith("decimal") for _, t in narrow.dtypes):
+        last = rank_rows(narrow, keys, name="_rank").filter(F.col("_rank") == n - 1).select(*keys).first()
+        if last is None:
+            return df
+        reach = F.col(keys[0]) <= last[0]
+        return df.filter(reach & (F.struct(*keys) <= F.struct(*[F.lit(v).cast(t) for v, (_, t) in zip(last, narrow.dtypes)])))
+    rest, keep, same, reach = narrow, F.lit(False), F.lit(True), F.lit(True)
     for i, key in enumerate(keys):
         cut = nth_smallest(rest, key, n)
         if i == 0:
@@ -110,12 +141,16 @@ def first_rows(df: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def portion(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     """The first ``int(rows * share)`` rows in key order."""
-    return first_rows(df, keys, int(df.count() * share))
+    if share >= 1:
+        return df
+    narrow = materialize(df.select(*keys))
+    return first_rows(df, keys, int(narrow.count() * share), narrow)
 
 
 def cap(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """At most the first n rows in key order."""
-    return df if df.count() <= n else first_rows(df, keys, n)
+    narrow = materialize(df.select(*keys))
+    return df if narrow.count() <= n else first_rows(df, keys, n, narrow)
 
 
 def _key(keys: list[str]) -> Column:

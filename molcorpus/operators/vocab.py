@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from molcorpus.functions import patterns as P
 from molcorpus.functions.text import entries
 from molcorpus.operators.lookup import replace_entries
-from molcorpus.operators.ranking import number_rows, place
+from molcorpus.operators.ranking import first_places, number_rows
 from molcorpus.session import small_table
 
 UNK = P.SPECIAL_TOKENS[0]
@@ -26,9 +26,7 @@ def token_rows(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 
 def _first_seen(tokens: DataFrame, order: list[str]) -> DataFrame:
     # The minimum is taken before the shuffle, so a frequent token costs nothing.
-    return tokens.groupBy("token").agg(
-        F.min(place(tokens, order)).alias("first"), F.count(F.lit(1)).alias("freq")
-    )
+    return first_places(tokens, "token", order, F.count(F.lit(1)), "freq")
 
 
 def first_seen_vocab(tokens: DataFrame, order: list[str]) -> DataFrame:

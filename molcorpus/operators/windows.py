@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from molcorpus.functions.text import draw_hash
 from molcorpus.operators.ranking import rank_rows
 
 # Without a sensible model limit windows get this length.
@@ -63,50 +62,56 @@ def token_counts(df: DataFrame, ids: str, by: list[str] | None = None) -> DataFr
     )
 
 
-def _best_fit(max_length: int, keys: list[str]):
-    """Place rows, longest first, into the fullest open block they fit in."""
+# Rows that are packed together.
+BUCKET_ROWS = 10_000
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        open_blocks: dict[int, list[int]] = {}  # free room -> block numbers
+
+def _best_fit(max_length: int, names: list[str]):
+    """Place rows, longest first, into the fullest open block they fit in (of equally
+    full ones the first)."""
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_n", "descending"), *((k, "ascending") for k in names)])
+        open_blocks: dict[int, list[int]] = {}  # free room -> block numbers, ascending
         rooms: list[int] = []  # the keys of open_blocks, ascending
-        n_blocks = 0
-        for batch in batches:
-            numbers, offsets = [], []
-            for length in batch["_n"]:
-                at = bisect_left(rooms, length)
-                if at == len(rooms):
-                    number, room = n_blocks, max_length
-                    n_blocks += 1
-                else:
-                    room = rooms[at]
-                    number = open_blocks[room].pop()
-                    if not open_blocks[room]:
-                        del open_blocks[room], rooms[at]
-                numbers.append(number)
-                offsets.append(max_length - room)
-                left = room - length
-                if left > 0:
-                    if left not in open_blocks:
-                        open_blocks[left] = []
-                        insort(rooms, left)
-                    open_blocks[left].append(number)
-            placed = batch[keys].copy()
-            placed["block_part"], placed["block"], placed["offset"] = part, numbers, offsets
-            yield placed
+        numbers, offsets, n_blocks = [], [], 0
+        for length in table.column("_n").to_pylist():
+            at = bisect_left(rooms, length)
+            if at == len(rooms):
+                number, room = n_blocks, max_length
+                n_blocks += 1
+            else:
+                room = rooms[at]
+                number = open_blocks[room].pop(0)
+                if not open_blocks[room]:
+                    del open_blocks[room], rooms[at]
+            numbers.append(number)
+            offsets.append(max_length - room)
+            left = room - length
+            if left > 0:
+                if left not in open_blocks:
+                    open_blocks[left] = []
+                    insort(rooms, left)
+                insort(open_blocks[left], number)
+        placed = table.select([*names, "block_part"])
+        placed = placed.append_column("block", pa.array(numbers, pa.int64()))
+        return placed.append_column("offset", pa.array(offsets, pa.int32()))
 
     return place
 
 
 def pack_blocks(df: DataFrame, keys: list[str], ids: str, max_length: int) -> DataFrame:
     """Whole windows packed into blocks of at most ``max_length`` ids:
-    ``(keys, block_part, block, offset)``. Only keys and lengths are moved; each
-    task packs its own share and keeps no more than its open blocks."""
+    ``(keys, block_part, block, offset)``. Only keys and lengths are moved. A hash of
+    the keys decides which rows are packed together, some ten thousand each, so the
+    result does not depend on the cluster, and no task holds more than one such part."""
     sizes = df.select(*keys, F.size(ids).alias("_n")).filter(F.col("_n") > 0)
+    parts = sizes.count() // BUCKET_ROWS + 1
+    whole = F.conv(F.substring(draw_hash(F.concat_ws(":", *keys), 42), 1, 8), 16, 10).cast("bigint")
     types = dict(sizes.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", block_part int, block bigint, offset int"
-    spread = sizes.repartition(*keys).sortWithinPartitions(F.desc("_n"), *keys)
-    return spread.mapInPandas(_best_fit(max_length, keys), schema)
+    dealt = sizes.withColumn("block_part", (whole % parts).cast("int"))
+    return dealt.groupBy("block_part").applyInArrow(_best_fit(max_length, keys), schema)
 
 
 def assemble_blocks(df: DataFrame, placed: DataFrame, keys: list[str], ids: str) -> DataFrame:

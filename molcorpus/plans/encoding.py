@@ -14,10 +14,10 @@ from molcorpus.plans.vocabulary import ELEMENT_TOKENS, BASE_CTE, HYBRID_CTE, bas
 from molcorpus.session import materialize
 from molcorpus.sources.samples import ANNOTATED_SQL, annotated
 
-MAX_LENGTH, STRIDE = 512, 128
+MAX_LENGTH, STRIDE = 4096, 1024
 BATCH, PAD = 32, 1
-TRUNCATED = 256
-BLOCK = 1024
+TRUNCATED = 2048
+BLOCK = MAX_LENGTH
 
 # --- SQL side ------------------------------------------------------------------
 
@@ -67,7 +67,7 @@ windows AS (SELECT doc_id, win, ids[win * {MAX_LENGTH - STRIDE} + 1 :
     win * {MAX_LENGTH - STRIDE} + {MAX_LENGTH}] AS ids FROM starts)"""
 
 _PADDED = f"""{_ENCODED},
-batched AS (SELECT doc_id, ids[1 : {TRUNCATED}] AS ids,
+batched AS (SELECT doc_id, ids,
     (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH} AS batch FROM encoded),
 longest AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS m FROM batched),
 padded AS (SELECT doc_id, batch, list_concat(ids, list_transform(range(m - len(ids)), lambda x: {PAD}::BIGINT))
@@ -147,8 +147,7 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = encoded(spark, sf_dir).withColumn("ids", W.truncate(F.col("ids"), TRUNCATED))
-    return W.pad_batch(short, ["doc_id"], "ids", BATCH, PAD)
+    return W.pad_batch(encoded(spark, sf_dir), ["doc_id"], "ids", BATCH, PAD)
 
 
 @query(f"{_PADDED} SELECT doc_id, batch, {_joined()} AS ids FROM padded")
@@ -171,10 +170,28 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.token_counts(windows(spark, sf_dir), "ids")
 
 
-@query()
+# Rows in order, one at a time: the smallest room that is large enough, else a new block.
+_PACKED = f"""{WINDOWED},
+sized AS (SELECT doc_id, win, len(ids) AS n, ('0x' || substr(md5(concat('42:', doc_id, ':', win)), 1, 8))::UBIGINT
+    % ((SELECT count(*) FROM windows WHERE len(ids) > 0) // {W.BUCKET_ROWS} + 1) AS part FROM windows WHERE len(ids) > 0),
+lined AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, doc_id, win) AS spot FROM sized),
+fitted AS (
+  SELECT part, 0 AS spot, []::BIGINT[] AS rooms, 0::BIGINT AS block, 0::BIGINT AS offs FROM (SELECT DISTINCT part FROM lined)
+  UNION ALL
+  SELECT part, spot, CASE WHEN hit IS NULL THEN list_append(rooms, {BLOCK} - n)
+      ELSE list_concat(rooms[:hit - 1], [rooms[hit] - n], rooms[hit + 1:]) END,
+    coalesce(hit - 1, len(rooms)), coalesce({BLOCK} - rooms[hit], 0)
+  FROM (SELECT f.part, l.spot, l.n, f.rooms,
+      list_position(f.rooms, list_min(list_filter(f.rooms, lambda r: r >= l.n))) AS hit
+    FROM fitted f JOIN lined l ON l.part = f.part AND l.spot = f.spot + 1))""".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    f"""{_PACKED} SELECT part::INTEGER AS block_part, block, sum(n)::BIGINT AS n_ids,
+      string_agg({_joined()}, ' ' ORDER BY offs) AS ids
+    FROM fitted JOIN lined USING (part, spot) JOIN windows USING (doc_id, win) GROUP BY part, block"""
+)
 def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window lengths and block filling; which windows meet depends on how rows
-    are spread, so only the invariants are fixed."""
     cut = materialize(windows(spark, sf_dir))
     placed = W.pack_blocks(cut, ["doc_id", "win"], "ids", BLOCK)
     blocks = W.assemble_blocks(cut, placed, ["doc_id", "win"], "ids")

@@ -15,7 +15,7 @@ from molcorpus.session import materialize
 from molcorpus.sources.samples import table
 
 SEED = 42
-CAP = 150
+CAP = 15_000
 MIXTURE = {"chat": 0.4, "science": 0.3, "math": 0.3}
 RATIO = 0.05
 

@@ -19,7 +19,7 @@ from molcorpus.sources.files import load_vocab, save_vocab
 from molcorpus.sources.samples import ANNOTATED_SQL, annotated, prose, table
 
 BASE_SIZE = 2000
-KMER_SIZE = 300
+KMER_SIZE = 20_000
 KEYS = ["doc_id", "seg"]
 ORDER = ["doc_id", "seg", "pos"]
 
@@ -160,15 +160,15 @@ def vocab_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{ELEMENT_TOKENS}, {_SMALL},
+    f"""{ELEMENT_TOKENS}, {_CHEM},
     {tokens_cte('letters', SIMPLE_SQL['character'])}, {first_seen_cte('own', 'letters')},
-    merged AS (SELECT token, id FROM small UNION ALL
-      SELECT token, id FROM own WHERE token NOT IN (SELECT token FROM small))
+    merged AS (SELECT token, id FROM chem UNION ALL
+      SELECT token, id FROM own WHERE token NOT IN (SELECT token FROM chem))
     SELECT token, id, count(*) OVER (PARTITION BY id) > 1 AS id_collision FROM merged"""
 )
 def vocab_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = V.first_seen_vocab(token_rows(spark, sf_dir, "character"), ORDER)
-    return V.merge_vocab(small_vocab(spark, sf_dir), own)
+    return V.merge_vocab(chem_vocab(spark, sf_dir), own)
 
 
 @query(f"{ELEMENT_TOKENS}, {_CHEM} SELECT id, token FROM chem")
@@ -181,13 +181,22 @@ def hybrid_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.hybrid_vocab(base_vocab(spark, sf_dir), chem_vocab(spark, sf_dir))
 
 
-_ENCODED = f"""{ELEMENT_TOKENS}, {_SMALL},
+# A row after all others, with tokens that the vocabulary of the segments lacks.
+UNKNOWN = (-1, 0, "[Xe]CC[Rn]")
+_ELEMENT_SQL = SIMPLE_SQL["element"]
+_ENCODED = f"""{ELEMENT_TOKENS}, {_CHEM},
+texts AS (SELECT doc_id, seg, smi FROM segments UNION ALL SELECT {UNKNOWN[0]}, {UNKNOWN[1]}, '{UNKNOWN[2]}'),
+{tokens_cte('every_token', _ELEMENT_SQL, 'texts')},
 coded AS (SELECT t.doc_id, t.seg, t.pos, coalesce(v.id, 0) AS id
-  FROM tokens t LEFT JOIN small v USING (token))"""
+  FROM every_token t LEFT JOIN chem v USING (token))"""
 
 
 def _encoded(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
-    return V.encode(segment_tokens(spark, sf_dir, "element"), "tokens", vocab, KEYS)
+    rows = segments(spark, sf_dir).select("doc_id", "seg", "smi")
+    fixture = small_table(spark, "doc_id bigint, seg bigint, smi string", [UNKNOWN])
+    texts = rows.unionByName(fixture.withColumn("seg", F.col("seg").cast(rows.schema["seg"].dataType)))
+    tokens = texts.select("doc_id", "seg", TOKENIZERS["element"](F.col("smi")).alias("tokens"))
+    return V.encode(tokens, "tokens", vocab, KEYS)
 
 
 def _shown(df: DataFrame, ids: Column) -> DataFrame:
@@ -195,23 +204,23 @@ def _shown(df: DataFrame, ids: Column) -> DataFrame:
 
 
 @query(
-    f"""{_ENCODED} SELECT s.doc_id, s.seg, coalesce(ids, '') AS ids FROM segments s LEFT JOIN (
+    f"""{_ENCODED} SELECT s.doc_id, s.seg, coalesce(ids, '') AS ids FROM texts s LEFT JOIN (
       SELECT doc_id, seg, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids FROM coded GROUP BY ALL)
     USING (doc_id, seg)"""
 )
 def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = _encoded(spark, sf_dir, small_vocab(spark, sf_dir))
+    encoded = _encoded(spark, sf_dir, chem_vocab(spark, sf_dir))
     return _shown(encoded, F.array_join("ids", " ").alias("ids"))
 
 
 @query(
-    f"""{_ENCODED} SELECT s.doc_id, s.seg, coalesce(text, '') AS text FROM segments s LEFT JOIN (
+    f"""{_ENCODED} SELECT s.doc_id, s.seg, coalesce(text, '') AS text FROM texts s LEFT JOIN (
       SELECT doc_id, seg, string_agg(v.token, '' ORDER BY pos) AS text
-      FROM coded JOIN small v USING (id) GROUP BY ALL)
+      FROM coded JOIN chem v USING (id) GROUP BY ALL)
     USING (doc_id, seg)"""
 )
 def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = small_vocab(spark, sf_dir)
+    vocab = chem_vocab(spark, sf_dir)
     decoded = V.decode(_encoded(spark, sf_dir, vocab), "ids", vocab, KEYS)
     return _shown(decoded, F.col("text"))
 

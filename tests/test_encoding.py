@@ -140,8 +140,18 @@ def test_packing_loses_nothing(spark):
 
 def test_packing_fills_blocks(spark):
     rows = [(i, [0] * n) for i, n in enumerate([8, 8, 4, 4, 4, 4] * 5)]
-    df = spark.createDataFrame(rows, "doc_id bigint, ids array<bigint>").coalesce(1)
-    one = W._best_fit(16, ["doc_id"])
-    sizes = df.select("doc_id", F.size("ids").alias("_n")).sortWithinPartitions(F.desc("_n"))
-    placed = sizes.mapInPandas(one, "doc_id bigint, block_part int, block bigint, offset int")
-    assert placed.select("block").distinct().count() == 10
+    df = spark.createDataFrame(rows, "doc_id bigint, ids array<bigint>")
+    for parts in (1, 7):  # however the rows are spread
+        placed = W.pack_blocks(df.repartition(parts), ["doc_id"], "ids", 16).collect()
+        assert len({(r["block_part"], r["block"]) for r in placed}) == 10
+        assert {(r["doc_id"], r["block"], r["offset"]) for r in placed} == {
+            (r["doc_id"], r["block"], r["offset"]) for r in W.pack_blocks(df, ["doc_id"], "ids", 16).collect()
+        }
+
+
+def test_packing_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(W, "BUCKET_ROWS", 8)
+    df = spark.createDataFrame([(i, [0] * (i % 9 + 1)) for i in range(40)], "doc_id bigint, ids array<bigint>")
+    placed = W.pack_blocks(df, ["doc_id"], "ids", 16)
+    assert placed.count() == 40 and placed.select("block_part").distinct().count() > 3
+    assert all(len(b["ids"]) <= 16 for b in W.assemble_blocks(df, placed, ["doc_id"], "ids").collect())

@@ -221,3 +221,29 @@ def test_first_places_need_numbers(spark):
     df = spark.createDataFrame([("a", "CC")], "doc_id string, smi string")
     with pytest.raises(ValueError, match="whole numbers"):
         L.train_spe(df, "smi", ["doc_id"])
+
+
+def test_a_doubled_symbol_with_many_runs(spark, monkeypatch):
+    """One pair alone can have more stretches than may reach the driver."""
+    strings = ["a" * n for n in range(2, 40)]
+    expected = loop([list(s) for s in strings], 60 - len(P.SPECIAL_TOKENS), 1, "id")[0]
+    assert expected[0][3] == 741
+    monkeypatch.setattr(L, "RUNS_PER_ROUND", 5)
+    assert merges_of(L.train_bpe(table(spark, strings), "smi", 60, 1, None)) == expected
+    first = L.train_spe(table(spark, [s.upper().replace("A", "C") for s in strings]), "smi", ["doc_id"], 60, 1)
+    assert merges_of(first)[0][:2] == ("C", "C") and merges_of(first)[0][3] == 741
+    bonus = L.train_spe(
+        table(spark, [s.upper().replace("A", "C") for s in strings]), "smi", ["doc_id"], 20, 1,
+        multiplier=lambda t: F.lit(1.0), multipliers=(1.0, 1.0),
+    )
+    assert merges_of(bonus)[:3] == merges_of(first)[:3]
+
+
+def test_text_keys(spark):
+    strings = corpus(5)
+    numbered = table(spark, strings)
+    texts = numbered.withColumn("id", F.format_string("<urn:%06d>", "doc_id"))
+    by_number = L.train_spe(numbered, "smi", ["doc_id"], 60, 2)
+    by_text = L.train_spe(texts, "smi", ["id"], 60, 2)
+    assert merges_of(by_text) == merges_of(by_number)
+    assert {tuple(r) for r in by_text.frequencies.collect()} == {tuple(r) for r in by_number.frequencies.collect()}

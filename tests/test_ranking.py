@@ -110,15 +110,71 @@ def test_lookup_ways_agree(spark, literal, broadcast, monkeypatch):
     monkeypatch.setattr(lookup, "BROADCAST_ROWS", broadcast)
     v = spark.createDataFrame([("[UNK]", 0), ("C", 4), ("N", 5), ("O", 6)], "token string, id bigint")
     df = spark.createDataFrame(
-        [(1, ["C", "Q", "N", "C"]), (2, []), (3, ["O"]), (4, ["Q"])], "doc_id bigint, tokens array<string>"
+        [(1, ["C", "Q", "N", "C"]), (2, []), (3, ["O"]), (4, ["Q"]), (5, None), (6, [None, "C"])],
+        "doc_id bigint, tokens array<string>",
     )
     coded = vocab.encode(df, "tokens", v, ["doc_id"])
     got = {r["doc_id"]: r["ids"] for r in coded.collect()}
-    assert got == {1: [4, 0, 5, 4], 2: [], 3: [6], 4: [0]}
+    assert got == {1: [4, 0, 5, 4], 2: [], 3: [6], 4: [0], 5: None, 6: [0, 4]}
     text = {r["doc_id"]: r["text"] for r in vocab.decode(coded, "ids", v, ["doc_id"]).collect()}
-    assert text == {1: "C[UNK]NC", 2: "", 3: "O", 4: "[UNK]"}
+    assert text == {1: "C[UNK]NC", 2: "", 3: "O", 4: "[UNK]", 5: None, 6: "[UNK]C"}
     nulls = lookup.replace_entries(df, "tokens", v, None, ["doc_id"], "ids").collect()
     assert {r["doc_id"]: r["ids"] for r in nulls}[1] == [4, None, 5, 4]
+    twice = v.unionByName(spark.createDataFrame([("C", 9), ("N", 2), (None, 1)], v.schema))
+    found = lookup.replace_entries(df, "tokens", twice, 0, ["doc_id"], "ids").collect()
+    assert {r["doc_id"]: r["ids"] for r in found} == {1: [4, 0, 2, 4], 2: [], 3: [6], 4: [0], 5: None, 6: [0, 4]}
+
+
+def test_a_large_table_in_bytes_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(lookup, "LITERAL_ROWS", 0)
+    monkeypatch.setattr(lookup, "_arrow_lookup", None)
+    v = spark.createDataFrame([("C" * 50, 4), ("N", 5)], "token string, id bigint")
+    df = spark.createDataFrame([(1, ["N", "x"])], "doc_id bigint, tokens array<string>")
+    assert lookup.replace_entries(df, "tokens", v, 0, ["doc_id"], "ids").first()["ids"] == [5, 0]
+
+
+@pytest.mark.parametrize("share", [1e-3, 0.3, 2.0])
+def test_join_by_frequency(spark, share, monkeypatch):
+    monkeypatch.setattr(lookup, "FREQUENT_SHARE", share)
+    left = spark.createDataFrame([(i, "ab"[i % 2] if i < 80 else None if i > 95 else f"c{i}") for i in range(100)], "i int, k string")
+    right = spark.createDataFrame([("a", 1), ("c85", 2), ("zz", 3)], "k string, v int")
+    got = {r["i"]: r["v"] for r in lookup.join_by_frequency(left, right, "k").collect()}
+    assert got == {i: 1 if i < 80 and i % 2 == 0 else 2 if i == 85 else None for i in range(100)}
+
+
+def text_key(n):
+    return f"<urn:{(n * 7919) % 1000:04}>"
+
+
+@pytest.fixture
+def keyed(spark):
+    """The same rows by a whole number and by a text in the same order."""
+    order = sorted(range(200), key=text_key)
+    rows = [(i, text_key(n), [f"t{(n * k) % 17}" for k in range(n % 6)]) for i, n in enumerate(order)]
+    return spark.createDataFrame(rows, "n bigint, id string, tokens array<string>").repartition(5)
+
+
+def test_text_keys_give_the_same_prefix(keyed, monkeypatch):
+    monkeypatch.setattr(ranking, "ONE_TASK_ROWS", 5)
+    for share in (0.0, 0.31, 1.0):
+        by_number = {r["n"] for r in ranking.portion(keyed, ["n"], share).collect()}
+        assert {r["n"] for r in ranking.portion(keyed, ["id"], share).collect()} == by_number
+    assert {r["n"] for r in ranking.cap(keyed, ["id", "n"], 37).collect()} == set(range(37))
+    assert ranking.cap(keyed, ["id"], 500).count() == 200
+
+
+def test_text_keys_give_the_same_vocabulary(keyed, monkeypatch):
+    monkeypatch.setattr(ranking, "ONE_TASK_ROWS", 5)
+
+    def ids(key):
+        rows = vocab.token_rows(keyed, [key], "tokens")
+        return {r["token"]: r["id"] for r in vocab.first_seen_vocab(rows, [key, "pos"]).collect()}
+
+    assert ids("id") == ids("n")
+    rows = vocab.token_rows(keyed, ["id"], "tokens")
+    plan = vocab._first_seen(rows, ["id", "pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
 
 
 def test_invert_refuses_shared_ids(spark):
