@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
+from molcorpus.operators.annotate import annotate
 
 
 def fertility(df: DataFrame, sizes: dict[str, Column], strict: bool = False) -> DataFrame:
@@ -64,6 +65,13 @@ def mcq_full_text(question: Column, candidate: Column) -> Column:
     return F.concat(mcq_prompt(question), F.lit(" "), candidate)
 
 
+def annotated_full_text(df: DataFrame, question: str, candidate: str, out: str = "full_text") -> DataFrame:
+    """Add the full text of question and answer, both with their SMILES tagged."""
+    tagged = annotate(annotate(df, question, "_question", "_n_question"), candidate, "_candidate", "_n_candidate")
+    text = mcq_full_text(F.col("_question"), F.col("_candidate"))
+    return tagged.withColumn(out, text).drop("_question", "_n_question", "_candidate", "_n_candidate")
+
+
 def mcq_candidates(df: DataFrame, keys: list[str], col: str = "examples") -> DataFrame:
     """One row per candidate answer, in key order of the scores object. Examples
     without input, with missing or broken scores or no candidate are left out.

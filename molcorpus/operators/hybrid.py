@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,20 +58,25 @@ def base_tokens(text: Column, tags: bool = True) -> Column:
     return find_all(text, f"{either}|{P.WORD_TOKEN_JAVA}")
 
 
-def hybrid_tokens(df: DataFrame, col: str, chem: Tokenizer, out: str) -> DataFrame:
+def hybrid_tokens(
+    df: DataFrame, col: str, chem: Tokenizer, out: str, base: Callable[[Column], Column] = base_tokens, bos: str | None = None
+) -> DataFrame:
     """Add the token array over both vocabularies: tokens start with ``c`` where
-    they belong to the chemical one and with ``b`` where to the base."""
+    they belong to the chemical one and with ``b`` where to the base. A base
+    tokenizer that starts every text with ``bos`` does so for every piece; only that
+    of the first piece stays."""
     cut = df.withColumn("_pieces", pieces_of(F.col(col)))
     contents = F.transform("_pieces", lambda p: F.when(_is_chem(p), _content(p)).otherwise(F.lit("")))
     listed = cut.withColumn("_chem", chem.many(contents))
 
-    def piece_tokens(piece: Column, found: Column) -> Column:
-        inside = F.transform(found, lambda t: F.concat(F.lit("c"), t))
-        base = F.transform(base_tokens(piece), lambda t: F.concat(F.lit("b"), t))
+    def piece_tokens(piece: Column, place: Column) -> Column:
+        inside = F.transform(F.get("_chem", place), lambda t: F.concat(F.lit("c"), t))
+        plain = base(piece) if bos is None else bind(base(piece), lambda t: strip_leading_bos(t, place, bos))
+        outside = F.transform(plain, lambda t: F.concat(F.lit("b"), t))
         start, end = F.array(F.lit("b" + P.START_TAG)), F.array(F.lit("b" + P.END_TAG))
-        return F.when(_is_chem(piece), F.concat(start, inside, end)).otherwise(base)
+        return F.when(_is_chem(piece), F.concat(start, inside, end)).otherwise(outside)
 
-    tokens = F.flatten(F.zip_with("_pieces", "_chem", piece_tokens))
+    tokens = F.flatten(F.transform("_pieces", piece_tokens))
     return listed.withColumn(out, tokens).drop("_pieces", "_chem")
 
 
@@ -81,10 +88,13 @@ def hybrid_encode(
     row_keys: list[str],
     chem_tokenizer: Tokenizer | None = None,
     out: str = "ids",
+    base_tokenizer: Callable[[Column], Column] = base_tokens,
+    bos: str | None = None,
 ) -> DataFrame:
     """Plain text through the base vocabulary, tagged SMILES through the chemical
     one (element tokens if no tokenizer is given) with its ids moved behind the
-    base ids, tags as ids around them."""
+    base ids, tags as ids around them. ``bos`` names the token that the base
+    tokenizer starts a text with, if it does."""
     ids = V.hybrid_ids(base, chem)
     both = base.select(F.concat(F.lit("b"), "token").alias("token"), "id").unionByName(
         ids.select(F.concat(F.lit("c"), "token").alias("token"), F.col("hybrid_id").alias("id"))
@@ -94,17 +104,17 @@ def hybrid_encode(
     unknown = lambda t: F.when(
         t.startswith("c"), F.lit(chem_unk["hybrid_id"] if chem_unk else base_unk)
     ).otherwise(F.lit(base_unk))
-    tokens = hybrid_tokens(df, col, chem_tokenizer or rule("element"), "_tokens")
+    tokens = hybrid_tokens(df, col, chem_tokenizer or rule("element"), "_tokens", base_tokenizer, bos)
     found = replace_entries(tokens, "_tokens", both, None, row_keys, "_ids")
     return found.withColumn(
         out, F.zip_with("_tokens", "_ids", lambda t, i: F.coalesce(i, unknown(t)))
     ).drop("_tokens", "_ids")
 
 
-def strip_leading_bos(ids: Column, piece: Column, bos_id: int) -> Column:
-    """Ids of one piece; all but the first piece lose a leading start-of-text id,
-    which base tokenizers that add one put before every piece."""
-    leading = (piece > 0) & (F.get(ids, F.lit(0)) == bos_id)
+def strip_leading_bos(tokens: Column, piece: Column, bos: int | str) -> Column:
+    """Ids or tokens of one piece; all but the first piece lose a leading
+    start-of-text one, which base tokenizers that add one put before every piece."""
+    ids, leading = tokens, (piece > 0) & (F.get(tokens, F.lit(0)) == bos)
     return F.when(leading, F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0)))).otherwise(ids)
 
 

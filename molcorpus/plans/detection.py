@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,13 +184,8 @@ def is_smiles_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("c", S.clean(F.col("token")))
     )
     rules = S.rejections(F.col("c"), F.col("prev"))
-    return pairs.select(
-        "token",
-        "prev",
-        "n",
-        *[rule.alias(name) for name, rule in rules.items()],
-        S.is_smiles(F.col("token"), F.col("prev")).alias("is_smiles"),
-    )
+    ruled = pairs.select("token", "prev", "n", *[rule.alias(name) for name, rule in rules.items()])
+    return ruled.withColumn("is_smiles", ~reduce(or_, (F.col(name) for name in rules)))
 
 
 @query(f"{ANNOTATED_WORDS} SELECT * FROM reannotated")

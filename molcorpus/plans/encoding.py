@@ -104,6 +104,23 @@ def hybrid_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(spark, sf_dir).select("doc_id", _ids())
 
 
+_BOS_SQL = _ENCODED.replace(
+    f"ELSE {base_list('piece')} END AS t", f"WHEN seg = 0 THEN list_concat(['{P.SPECIAL_TOKENS[2]}'], {base_list('piece')}) ELSE {base_list('piece')} END AS t"
+)
+
+
+@query(f"{_BOS_SQL} SELECT doc_id, {_joined()} AS ids FROM encoded")
+def hybrid_encode_bos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a base tokenizer that starts every text with a token of its own."""
+    bos = P.SPECIAL_TOKENS[2]
+    started = lambda text: F.concat(F.array(F.lit(bos)), H.base_tokens(text))
+    coded = H.hybrid_encode(
+        annotated(spark, sf_dir).select("doc_id", "text_tags"), "text_tags", base_vocab(spark, sf_dir),
+        chem_vocab(spark, sf_dir), ["doc_id"], base_tokenizer=started, bos=bos,
+    )
+    return coded.select("doc_id", _ids())
+
+
 _MODE_SQL = {
     "base": (f"regexp_extract_all(text_tags, {literal(P.WORD_TOKEN_RE2)})",
              "SELECT token, id FROM base WHERE token NOT IN ('[START_SMILES]', '[END_SMILES]')"),

@@ -201,6 +201,17 @@ def mcq_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {ANNOTATED_SQL}, {words_cte('annotated', 'text_raw')}, {TAGGED_WORDS_CTE}
+    SELECT doc_id, concat('Question: ', text_reannotated, chr(10), 'Answer: ', text_reannotated) AS full_text
+    FROM annotated JOIN reannotated USING (doc_id)"""
+)
+def mcq_full_text_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full text with the SMILES of question and answer tagged; each text asks for itself."""
+    rows = annotated(spark, sf_dir).withColumn("answer", F.col("text_raw"))
+    return E.annotated_full_text(rows, "text_raw", "answer").select("doc_id", "full_text")
+
+
 _KEYS = "model, topic, question_id, example_pos, cand_pos"
 
 

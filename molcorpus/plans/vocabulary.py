@@ -14,7 +14,7 @@ from molcorpus.operators.annotate import split_words
 from molcorpus.plans.detection import SEGMENTS_CTE, segments, words_cte
 from molcorpus.plans.registry import literal, query
 from molcorpus.plans.tokenization import SIMPLE_SQL
-from molcorpus.session import scratch_folder, small_table
+from molcorpus.session import scratch_folder, small_table, stored
 from molcorpus.sources.files import load_vocab, save_vocab
 from molcorpus.sources.samples import ANNOTATED_SQL, annotated, prose, table
 
@@ -82,6 +82,7 @@ def token_rows(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:
     return V.token_rows(segment_tokens(spark, sf_dir, tokenizer), KEYS, "tokens")
 
 
+@stored
 def chem_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.first_seen_vocab(token_rows(spark, sf_dir, "element"), ORDER)
 
@@ -93,6 +94,7 @@ def small_vocab(spark: SparkSession, sf_dir: str, tokenizer: str = "element") ->
     return V.first_seen_vocab(tokens, ORDER)
 
 
+@stored
 def base_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = prose(spark, sf_dir).select(
         "doc_id", F.posexplode(tok_whitespace(F.col("text"))).alias("pos", "token")

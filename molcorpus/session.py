@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,7 @@ def scratch_folder(spark: SparkSession) -> str:
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, when no result that reads
     them is needed any more."""
+    _stored.clear()
     folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -62,6 +65,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table that is the input of many queries: built and written once per session
+    and folder of tables."""
+
+    @wraps(build)
+    def load(spark: SparkSession, sf_dir: str) -> DataFrame:
+        name = (spark.sparkContext.applicationId, build.__qualname__, sf_dir)
+        if name not in _stored:
+            _stored[name] = materialize(build(spark, sf_dir))
+        return _stored[name]
+
+    return load
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input with fewer splits than cores, such as one small
     file. A large input has more splits than that and stays as it is."""

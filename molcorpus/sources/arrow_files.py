@@ -5,8 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from fnmatch import fnmatch
-from itertools import islice
+from pathlib import PurePosixPath
 
 import pyarrow as pa
 from pyarrow import fs, ipc
@@ -22,12 +21,13 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 FORMAT = "arrow_files"
-# A local file is read by one task per this many bytes.
+# A file that can be jumped about in is read by one task per this many bytes.
 SPLIT_BYTES = 128 * 1024**2
 
 
 class Share(InputPartition):
-    """Every ``parts``-th record batch of a file, from batch number ``part`` on."""
+    """Every ``parts``-th record batch of a file, from batch number ``part`` on. A file
+    that must be read from its start belongs to its first share."""
 
     def __init__(self, path: str, part: int, parts: int):
         self.path, self.part, self.parts = path, part, parts
@@ -70,7 +70,7 @@ class ArrowReader(DataSourceReader):
                 numbers = range(partition.part, reader.num_record_batches, partition.parts)
                 batches = (reader.get_batch(i) for i in numbers)
             else:
-                batches = islice(reader, partition.part, None, partition.parts)
+                batches = reader if partition.part == 0 else ()
             for batch in batches:
                 yield batch.select(self.columns)
 
@@ -96,7 +96,7 @@ class ArrowWriter(DataSourceArrowWriter):
         first = next(iterator, None)
         if first is None:
             return Written(None)
-        with system.open_output_stream(path) as file, ipc.new_stream(file, first.schema) as sink:
+        with system.open_output_stream(path) as file, ipc.new_file(file, first.schema) as sink:
             sink.write_batch(first)
             for batch in iterator:
                 sink.write_batch(batch)
@@ -127,15 +127,15 @@ class ArrowFiles(DataSource):
         """Paths and numbers of tasks, from the listing alone."""
         folder = self.options["path"]
         system, inner = fs.FileSystem.from_uri(folder)
-        pattern = self.options.get("pattern", "**/*.arrow").removeprefix("**/")
-        local = system.type_name == "local"
-        prefix = "" if local else folder.split("://")[0] + "://"
+        pattern = self.options.get("pattern", "**/*.arrow")
+        # what stands before the path, such as a scheme with its authority
+        prefix = "" if system.type_name == "local" else folder.rstrip("/").removesuffix(inner.rstrip("/"))
         found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-        files = [f for f in found if f.is_file and fnmatch(f.base_name, pattern)]
+        below = lambda f: PurePosixPath(f.path).relative_to(inner)
+        files = [f for f in found if f.is_file and below(f).full_match(pattern)]
         if not files:
             raise FileNotFoundError(f"no {pattern} under {folder}")
-        parts = lambda f: max(1, -(-f.size // SPLIT_BYTES)) if local else 1
-        return sorted((prefix + f.path, parts(f)) for f in files)
+        return sorted((prefix + f.path, max(1, -(-f.size // SPLIT_BYTES))) for f in files)
 
     def schema(self) -> StructType:
         with _open(self._files()[0][0]) as source:

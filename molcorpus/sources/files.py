@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,30 +32,33 @@ def scan_parquet(spark: SparkSession, files: list[str]) -> DataFrame:
     return spark.read.parquet(*files).select("text")
 
 
-def scan_labelled(
-    spark: SparkSession, path: str, smiles_col: str, label_col: str, multi_line: bool = True
-) -> DataFrame:
-    """Tagged SMILES and labels of a CSV file, or of its ``sample_`` neighbour
-    when the file is missing. Files whose fields hold no line breaks can be read
-    in parts: say ``multi_line=False``."""
-    reader = (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    )
-    if not _exists(spark, path):
-        path = path.replace("coconut", "sample_coconut")
-        if not _exists(spark, path):
-            raise FileNotFoundError(path)
-    table = reader.csv(path)
-    return table.select(wrap_tags(F.col(smiles_col)).alias("smiles"), F.col(label_col).alias("label"))
+# Words that stand for a missing value in a CSV file.
+NULL_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def scan_labelled(
+    spark: SparkSession, path: str, smiles_col: str, label_col: str, multi_line: bool = False, sample: str | None = None
+) -> DataFrame:
+    """Tagged SMILES and labels of a CSV file. Where that is missing ``sample``, if
+    given, is read instead. Fields with line breaks need ``multi_line``, which makes
+    each file one task. Words for a missing value are null."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    try:
+        table = reader.csv(path)
+    except AnalysisException as error:
+        if sample is None or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        table = reader.csv(sample)
+    known = lambda name: F.when(~F.col(name).isin(NULL_WORDS), F.col(name))
+    return table.select(wrap_tags(known(smiles_col)).alias("smiles"), known(label_col).alias("label"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = MESSAGES) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """A line that is no such object is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -85,6 +89,7 @@ def save_vocab(vocab: DataFrame, path: str) -> None:
 
 
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """``(token, id)`` of a JSON vocabulary file."""
+    """``(token, id)`` of a JSON vocabulary file; a broken one is an error."""
     whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("token", "id"))
+    entries = F.from_json("value", "map<string,bigint>", {"mode": "FAILFAST"})
+    return whole.select(F.explode(entries).alias("token", "id"))

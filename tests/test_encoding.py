@@ -80,6 +80,18 @@ def test_leading_bos(spark):
     assert {r["seg"]: r["ids"] for r in rows} == {0: [2, 7], 1: [7], 2: [7, 2], 3: []}
 
 
+def test_only_the_first_piece_keeps_its_bos(strings, vocabularies):
+    base, chem = vocabularies
+    bos = P.SPECIAL_TOKENS[2]
+    started = lambda t: F.concat(F.array(F.lit(bos)), H.base_tokens(t))
+    texts = [f"is {P.START_TAG}C{P.END_TAG} is", f"{P.START_TAG}C{P.END_TAG} is", ""]
+    rows = H.hybrid_encode(strings(texts), "s", base, chem, ["doc_id"], base_tokenizer=started, bos=bos).collect()
+    plain = H.hybrid_encode(strings(texts), "s", base, chem, ["doc_id"]).collect()
+    known = {r["token"]: r["id"] for r in base.collect()}.get(bos, 0)
+    want = {r["doc_id"]: r["ids"] for r in plain}
+    assert {r["doc_id"]: r["ids"] for r in rows} == {0: [known, *want[0]], 1: want[1], 2: want[2]}
+
+
 def loop_windows(ids, max_length, stride):
     if len(ids) <= max_length:
         return [ids]

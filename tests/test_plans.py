@@ -57,3 +57,15 @@ def test_counts_and_first_places_are_hashed(documents):
 def test_ranks_have_no_single_task_over_all_rows(documents):
     text = plan(ranking.rank_rows(documents.select("doc_id", "source"), ["doc_id"], ["source"]))
     assert "SinglePartition" not in text
+
+
+def test_pooling_counts_ids_before_the_join(spark):
+    """Without broadcasts ids are counted per row first, and no null id is joined."""
+    from molcorpus.operators import embed
+
+    rows = spark.createDataFrame([(i, [1, 1, 2], [1, 1, 0]) for i in range(50)], "k bigint, ids array<bigint>, m array<int>")
+    base = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "token_id bigint, embedding array<double>")
+    pooled = embed.mean_pool(rows, ["k"], "ids", "m", base, 2)
+    text = pooled._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(token_id" in text and "Generate" not in text.split("Join")[-1].split("Relation")[0]
+    assert {tuple(r["embedding"]) for r in pooled.collect()} == {(1.0, 2.0)}

@@ -6,6 +6,7 @@ import os
 import pyarrow as pa
 import pytest
 from pyarrow import ipc
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from molcorpus.functions.tokenizers import tok_element
@@ -74,12 +75,12 @@ def test_arrow_without_files(spark, tmp_path):
 def test_labelled_csv_and_its_fallback(spark, tmp_path):
     path = tmp_path / "sample_coconut.csv"
     path.write_text('smiles,class,x\nCCO,"a ""b""",1\nC,,2\n')
-    rows = files.scan_labelled(spark, str(tmp_path / "coconut.csv"), "smiles", "class").collect()
+    rows = files.scan_labelled(spark, str(tmp_path / "coconut.csv"), "smiles", "class", sample=str(path)).collect()
     assert [tuple(r) for r in rows] == [
         ("[START_SMILES]CCO[END_SMILES]", 'a "b"'), ("[START_SMILES]C[END_SMILES]", None),
     ]
-    with pytest.raises(FileNotFoundError):
-        files.scan_labelled(spark, str(tmp_path / "other.csv"), "smiles", "class")
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        files.scan_labelled(spark, str(tmp_path / "coconut.csv"), "smiles", "class")
 
 
 def test_jsonl(spark, tmp_path):
@@ -134,3 +135,36 @@ def test_stream(spark, strings, tmp_path):
     assert rows == [
         (0, 0, 0, "CCO"), (2, 0, 0, "CC"), (2, 1, 0, "c1cc"), (2, 1, 1, "cccc"), (2, 1, 2, "c1"),
     ]
+
+
+def test_patterns_match_paths_below_the_folder(spark, arrow_folder):
+    assert scan_arrow(spark, arrow_folder, "b/**/*.arrow").count() == 9
+    assert scan_arrow(spark, arrow_folder, "**/*.arrow").count() == 18
+    assert scan_arrow(spark, arrow_folder, "*/one.arrow").count() == 9
+    with pytest.raises(Exception, match="no train"):
+        scan_arrow(spark, arrow_folder, "train/**/*.arrow").count()
+
+
+def test_written_files_can_be_split(spark, tmp_path):
+    write_arrow(spark.range(10).coalesce(1), f"{tmp_path}/out")
+    (path,) = [f for f in os.listdir(f"{tmp_path}/out") if f.endswith(".arrow")]
+    with open(f"{tmp_path}/out/{path}", "rb") as file:
+        assert file.read(6) == b"ARROW1"
+
+
+def test_a_missing_csv_is_an_error_unless_a_sample_is_named(spark, tmp_path):
+    (tmp_path / "sample.csv").write_text('s,l\nCCO,a\n"C,C",NA\nNaN,b\nN,None\nO,nan\n')
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.scan_labelled(spark, f"{tmp_path}/all.csv", "s", "l")
+    rows = files.scan_labelled(spark, f"{tmp_path}/all.csv", "s", "l", sample=f"{tmp_path}/sample.csv").collect()
+    assert [r["label"] for r in rows] == ["a", None, "b", None, None]
+    assert rows[2]["smiles"] is None and "C,C" in rows[1]["smiles"]
+
+
+def test_broken_files_are_errors(spark, tmp_path):
+    (tmp_path / "chat.jsonl").write_text('{"messages": []}\n{"messages": [\n')
+    with pytest.raises(Exception):
+        files.read_jsonl(spark, f"{tmp_path}/chat.jsonl").collect()
+    (tmp_path / "vocab.json").write_text('{"C": 4, "N"')
+    with pytest.raises(Exception):
+        files.load_vocab(spark, f"{tmp_path}/vocab.json").collect()
