@@ -164,7 +164,35 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_dimension(pooled_rows.withColumn("seg", F.col("seg").cast("bigint")), *KEYS)
 
 
-@query()
+def _axis_sql(name: str, matrix: str) -> str:
+    """The unit eigenvector of the largest eigenvalue of ``matrix (i, j, v)``, its largest
+    loading positive: the matrix is squared until one eigenvalue is left."""
+    return f"""{name}_power AS (
+      SELECT 0 AS step, i, j, v / (SELECT max(abs(v)) FROM {matrix}) AS v FROM {matrix}
+      UNION ALL
+      SELECT step + 1, i, j, v / max(abs(v)) OVER () FROM (
+        SELECT l.step, l.i, r.j, sum(l.v * r.v) AS v FROM {name}_power l JOIN {name}_power r ON l.j = r.i
+        WHERE l.step < 32 GROUP BY l.step, l.i, r.j)),
+    {name}_last AS (SELECT i, j, v FROM {name}_power WHERE step = 32),
+    {name}_column AS (SELECT i, v FROM {name}_last WHERE j = (SELECT arg_max(i, v) FROM {name}_last WHERE i = j)),
+    {name} AS (SELECT i, v * (SELECT sign(arg_max(v, abs(v))) / sqrt(sum(v * v)) FROM {name}_column) AS v FROM {name}_column)"""
+
+
+@query(
+    f"""WITH RECURSIVE top AS (SELECT label FROM embeddings GROUP BY label ORDER BY count(*) DESC, label LIMIT 10),
+    points AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x
+      FROM embeddings WHERE label IN (SELECT label FROM top)),
+    centred AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM points),
+    spread AS (SELECT l.i, r.i AS j, sum(l.x * r.x) / ((SELECT count(DISTINCT vec_id) FROM points) - 1) AS v
+      FROM centred l JOIN centred r USING (vec_id) GROUP BY l.i, r.i),
+    {_axis_sql("first_axis", "spread")},
+    size AS (SELECT sum(l.v * s.v * r.v) AS s FROM spread s JOIN first_axis l ON l.i = s.i JOIN first_axis r ON r.i = s.j),
+    rest AS (SELECT s.i, s.j, s.v - (SELECT s FROM size) * l.v * r.v AS v
+      FROM spread s JOIN first_axis l ON l.i = s.i JOIN first_axis r ON r.i = s.j),
+    {_axis_sql("second_axis", "rest")}
+    SELECT vec_id, round(sum(x * f.v), 6) AS x, round(sum(x * g.v), 6) AS y
+    FROM points p JOIN first_axis f USING (i) JOIN second_axis g USING (i) GROUP BY vec_id"""
+)
 def project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Principal components of the vectors of the ten largest classes."""
     rows = B.top_classes(table(spark, sf_dir, "embeddings"), "label")
