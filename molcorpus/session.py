@@ -11,10 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cpus: str = "*", shuffle_partitions: int = 8, checkpoint_dir: str | None = None) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
+    builder = SparkSession.builder
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("molcorpus")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -1,21 +1,23 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from molcorpus.session import local_session  # noqa: E402
+from molcorpus.session import drop_scratch, local_session  # noqa: E402
 
 # Expressions are built when test modules are read, which needs a session.
-SPARK = local_session("4", shuffle_partitions=4)
+SPARK = local_session("4", shuffle_partitions=4, checkpoint_dir=tempfile.mkdtemp(prefix="molcorpus-tests-"))
 SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return SPARK
+    yield SPARK
+    drop_scratch(SPARK)
 
 
 @pytest.fixture(scope="session")
