@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -525,18 +526,21 @@ def bpe(merges: DataFrame, alphabet: list[str]) -> Callable[[Column], Column]:
 
     def encode(batch: pa.Array) -> pa.Array:
         rank, letters = shipped.value
-        seen: dict[str, list[str]] = {}
+        texts = batch.flatten()
+        coded = texts.flatten().dictionary_encode()
+        merged = [_merge_word([c for c in word or "" if c in letters], rank) for word in coded.dictionary.to_pylist()]
+        found = pa.array(merged, pa.list_(pa.string())).take(coded.indices)
+        upto = _offsets(found).to_numpy()
+        of_texts = pa.array(upto[_offsets(texts).to_numpy()], pa.int32())
+        return pa.ListArray.from_arrays(_offsets(batch), pa.ListArray.from_arrays(of_texts, found.flatten()))
 
-        def merged(word: str) -> list[str]:
-            if word not in seen:
-                seen[word] = _merge_word([c for c in word if c in letters], rank)
-            return seen[word]
+    return F.arrow_udf(encode, "array<array<string>>")
 
-        texts = (row if row is not None else [] for row in batch.to_pylist())
-        tokens = [[[t for word in words or () for t in merged(word)] for words in row] for row in texts]
-        return pa.array(tokens, pa.list_(pa.list_(pa.string())))
 
-    return F.arrow_udf(encode, "array<array<string>>")
+def _offsets(lists: pa.Array) -> pa.Array:
+    """Where each list begins in all entries laid end to end; null lists are empty."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32()))
+    return pa.concat_arrays([pa.array([0], pa.int32()), ends])
 
 
 def _merge_word(symbols: list[str], rank: dict) -> list[str]:
