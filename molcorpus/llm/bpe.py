@@ -236,8 +236,8 @@ def encode(
             _loaded[name] = Merges(shared.value)
         merges = _loaded[name]
         find = regex.compile(pattern).findall
-        for part in chunks(batches, text):
-            found = [find(t) if t else [] for t in part.column(text).to_pylist()]
+        for part in chunks(batches, "_text"):
+            found = [find(t) if t else [] for t in part.column("_text").to_pylist()]
             sizes = np.array([len(f) for f in found], np.int64)
             coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
             which = coded.indices.to_numpy().astype(np.int64)
@@ -272,7 +272,7 @@ def encode(
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
     ids = "ids array<int>, " if keep_ids else ""
     schema = f"{fields}, n_tokens bigint, {ids}ids_sha256 string, decoded_sha256 string"
-    return docs.select(key, *keep, text).mapInArrow(run, schema)
+    return docs.select(key, *keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def fold_column(word: Column, ranks: dict[bytes, int], slots: int = 1 << 16) -> Column:
