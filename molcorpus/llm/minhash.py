@@ -5,14 +5,15 @@ has fewer). One hash per shingle is cut into a bin and a value; each bin keeps i
 value, and an empty bin takes over that of the first filled bin on a walk of its own, the same
 for all documents (optimal densification). Bands of bins are buckets.
 
-Documents of equal sets are one class from the start, known by a 128-bit digest. Within a bucket
-candidate pairs are stars around hubs. First each class is compared with the smallest hub of all
-its buckets only; then, in round r, the next 2^r classes of each bucket are hubs and meet the
-later classes that are not yet in their component and whose size allows the similarity. Pairs
-are confirmed on the full sets, components grow, and rounds go on until every bucket is one
-component or has no pair left: no link between two classes that share a bucket is lost, and a
-bucket of true copies costs one star. With 40 bands of 6 bins two sets of similarity 0.85 share
-no bucket with a chance of 6e-9.
+Documents of equal sets are one class from the start, known by a 128-bit digest. Candidate edges
+are stars: every class is first compared with the smallest class of all its buckets only, which
+joins most copies. Buckets whose classes are one component by then are done. In the others every
+class meets all classes of its buckets once: hubs are held in blocks, a class goes once to every
+block that has a hub from one of its buckets, and an index from shingles to hubs gives all its
+intersections at once, on the full sets. A task reports only links that join components, so
+neither pairs nor links of a large group are written out. No link between two classes that share
+a bucket is lost. With 40 bands of 6 bins two sets of similarity 0.85 share no bucket with a
+chance of 6e-9.
 
 Null, empty and blank texts have an empty set and are linked with nothing. Rows of one id and
 one text are one document, and each gets its result; rows of one id and several texts are judged
@@ -35,8 +36,8 @@ from molcorpus.session import materialize
 
 BINS, ROWS = 240, 6
 SHINGLE = 5
-# Members that meet a hub in one task before the hub is dealt out to more.
-STAR_ROWS = 500
+# Hubs that are held in memory together, and members that meet them in one task.
+BLOCK_HUBS, BLOCK_MEMBERS = 512, 4_000
 # The walk of every bin over all bins: one random order each.
 WALKS = np.argsort(np.random.default_rng(2024).random((BINS, BINS)), axis=1).astype(np.int32)
 BAND_SEEDS = mix(np.arange(BINS, dtype=np.uint64))
@@ -113,56 +114,92 @@ def sketch(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(build, "id bigint, n bigint, digest binary, bands array<bigint>")
 
 
-def confirm(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int, shingle: int
-) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union.
-    Texts meet by hub ``a``; a hub with many members is dealt out with copies of its text."""
-    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
-    members = pairs.join(stars, "a").select(
-        F.col("b").alias("class"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt")
+def blocks(hubs: DataFrame) -> DataFrame:
+    """(class, block) of hubs (class, group): a large group is cut into several blocks."""
+    parts = hubs.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_HUBS).alias("parts"))
+    block = F.xxhash64("group", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block")
+    return materialize(hubs.join(parts, "group").select("class", block))
+
+
+class Index:
+    """Which of some sets hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.shingles, first = np.unique(flat[order], return_index=True)
+        self.bounds = np.append(first, len(flat))
+
+    def similar(self, own: np.ndarray, percent: int) -> np.ndarray:
+        """The sets that have 100 * intersection >= percent * union with this one."""
+        at = np.searchsorted(self.shingles, own)
+        at = at[self.shingles[np.minimum(at, len(self.shingles) - 1)] == own]
+        low, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        before = np.cumsum(sizes) - sizes
+        hits = self.owner[np.arange(sizes.sum()) + np.repeat(low - before, sizes)]
+        common = np.bincount(hits, minlength=len(self.sizes))
+        return np.flatnonzero((common > 0) & (100 * common >= percent * (self.sizes + len(own) - common)))
+
+
+def confirm(hubs: DataFrame, visits: DataFrame, held: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links (a, b) that join all similar classes where ``visits`` (class, block) meet smaller
+    ``hubs`` (class, block). ``held`` (class, digest, text) has the texts."""
+    sizes = visits.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("salts"))
+    members = visits.join(sizes, "block").select(
+        "class", "block", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member")
+    )
+    centres = hubs.join(sizes, "block").select(
+        "class", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member")
     )
-    hubs = stars.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    roles = members.unionByName(hubs).join(classes.select("class", F.col("rep").alias("_id"), "digest"), "class")
-    texts = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    met = (
-        texts.join(roles, "_id").withColumn("member", F.col("class") != F.col("a"))
-        .repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
-        .select("a", "class", "member", "digest", "_text")
+    texts = (
+        held.join(members.unionByName(centres), "class")
+        .repartition("block", "salt").sortWithinPartitions("block", "salt", "member")
+        .select("block", "salt", "class", "member", "digest", "text")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, centre = None, np.empty(0, np.uint64)
-        for part in chunks(batches, "_text"):
-            sets = shingle_sets(part.column("_text"), shingle)
-            rows = zip(*(part.column(c).to_pylist() for c in ("a", "class", "member", "digest")), sets)
-            good: list[tuple[int, int]] = []
-            for a, b, member, known, own in rows:
-                if digest(own) != known:
+        at, names, sets, index, root = None, [], [], None, {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        for part in chunks(batches):
+            rows = zip(*(part.column(c).to_pylist() for c in ("block", "salt", "class", "member", "digest")))
+            links: list[tuple[int, int]] = []
+            for (block, salt, own, member, name), shingles in zip(rows, shingle_sets(part.column("text"), shingle)):
+                if digest(shingles) != name:
                     continue  # another text of a repeated id
+                if (block, salt) != at:
+                    at, names, sets, index, root = (block, salt), [], [], None, {}
                 if not member:
-                    hub, centre = a, own
-                elif a == hub:
-                    common = len(np.intersect1d(centre, own, assume_unique=True))
-                    if 100 * common >= percent * (len(centre) + len(own) - common):
-                        good.append((a, b))
+                    names.append(own)
+                    sets.append(shingles)
+                    continue
+                if not sets:
+                    continue
+                index = index or Index(sets)
+                for i in index.similar(shingles, percent).tolist():
+                    if names[i] < own and find(names[i]) != find(own):
+                        root[find(own)] = find(names[i])
+                        links.append((names[i], own))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"]
+                [pa.array([g[0] for g in links], pa.int64()), pa.array([g[1] for g in links], pa.int64())], ["a", "b"]
             )
 
-    return met.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return texts.mapInArrow(compare, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches, for all nodes
     but the roots. Neighbours are hung on the smallest neighbour in turns, first the larger and
     then the smaller ones, until all edges are stars; no node's neighbours meet in one row."""
-
-    def print_of(table: DataFrame) -> tuple:
-        return tuple(table.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
-
-    links = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    before = print_of(links)
+    links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
+    before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -171,10 +208,12 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(lowest, "b")
         small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(joined.select(F.col("m").alias("a"), "b"))
         links = materialize(small.filter("a < b").distinct())
-        after = print_of(links)
-        if after == before:
+        count, bits, total = links.agg(
+            F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))
+        ).first()
+        if (count, bits, total) == before:
             return links.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = after
+        before = (count, bits, total)
 
 
 def near_duplicates(
@@ -189,48 +228,39 @@ def near_duplicates(
     )
     place = Window.partitionBy("bucket").orderBy("class")
     buckets = materialize(
-        classes.select("class", "n", F.explode("bands").alias("bucket"))
-        .withColumn("place", F.row_number().over(place) - 1)
+        classes.select("class", F.explode("bands").alias("bucket"))
+        .withColumn("first", F.first("class").over(place))
         .withColumn("next", F.lead("class").over(place))
-        .filter("place > 0 OR next IS NOT NULL").drop("next")
+        .filter("class > first OR next IS NOT NULL").drop("next")
     )
     classes = classes.drop("bands")
-    fits = f"m.root <> h.root AND 100 * least(m.n, h.n) >= {percent} * greatest(m.n, h.n)"
-
-    def rooted(table: DataFrame) -> DataFrame:
-        if roots is None:
-            return table.withColumn("root", F.col("class"))
-        named = roots.select(F.col("node").alias("class"), "root")
-        return table.join(named, "class", "left").withColumn("root", F.coalesce("root", "class"))
-
-    found: DataFrame | None = None
-    roots: DataFrame | None = None
-    first, hubs = 0, 0
-    while True:
-        known = rooted(buckets)
-        centre = known.filter((F.col("place") >= first) & (F.col("place") < first + max(hubs, 1)))
-        pairs = (
-            known.alias("m").join(centre.alias("h"), "bucket").filter(f"m.place > h.place AND {fits}")
-            .select(F.col("h.class").alias("a"), F.col("m.class").alias("b"))
-        )
-        # at first only one hub for each class: most others fall into its component
-        pairs = materialize(pairs.distinct() if hubs else pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        if not pairs.isEmpty():
-            links = materialize(confirm(pairs, classes, docs, key, text, percent, shingle))
-            if not links.isEmpty():
-                found = links if found is None else found.unionByName(links)
-                roots = components(found)
-        first, hubs = first + hubs, max(1, hubs * 2)
-        # a bucket goes on while it has several components and classes that were no hub yet
-        going = (
-            rooted(buckets).groupBy("bucket")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("place").alias("last"))
-            .filter((F.col("low") != F.col("high")) & (F.col("last") > first)).select("bucket")
+    texts = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text"))
+    shared = classes.join(buckets.select("class").distinct(), "class").select("rep", "class", "digest")
+    held = materialize(texts.join(shared, "rep").select("class", "digest", "text"))
+
+    # one hub for each class
+    near = materialize(buckets.groupBy("class").agg(F.min("first").alias("group")))
+    hubs = blocks(near.select(F.col("group").alias("class")).distinct().join(near, "class"))
+    met = near.filter("class > group").join(hubs.withColumnRenamed("class", "group"), "group").select("class", "block")
+    links = materialize(confirm(hubs, met, held, percent, shingle))
+    roots = components(links).withColumnRenamed("node", "class")
+
+    # buckets of several components: every class meets all others of its buckets
+    rooted = buckets.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rest = materialize(buckets.join(several.filter("low <> high").select("bucket"), "bucket", "left_semi"))
+    if not rest.isEmpty():
+        hubs = blocks(rest.groupBy("class").agg(F.min("first").alias("group")))
+        there = rest.join(hubs, "class").groupBy("bucket").agg(F.collect_set("block").alias("blocks"))
+        visits = (
+            rest.select("bucket", "class").join(there, "bucket").groupBy("class")
+            .agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
+            .select("class", F.explode("blocks").alias("block"))
         )
-        buckets = materialize(buckets.join(going, "bucket", "left_semi"))
-        if buckets.isEmpty():
-            break
-    smallest = rooted(classes)
+        links = links.unionByName(confirm(hubs, materialize(visits), held, percent, shingle))
+        roots = components(materialize(links)).withColumnRenamed("node", "class")
+    smallest = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    smallest = materialize(smallest)
     smallest = smallest.join(smallest.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
     member = sketched.select("id", "n", "digest").join(smallest.select("digest", "component_id"), "digest", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
