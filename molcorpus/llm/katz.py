@@ -41,9 +41,9 @@ from molcorpus.llm.text import M2, chunks, hash_strings, mix, split_words
 from molcorpus.session import materialize
 
 K = 5
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 CHUNK_ROWS = 30_000
-BUCKET_TOKENS = 2_500_000
+BUCKET_TOKENS = 1_250_000
 # Contexts of more occurrences keep one count for unseen words; fewer are never dealt out.
 FREQUENT = 1_000
 MOST_SPLIT = 100_000
