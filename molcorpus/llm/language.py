@@ -27,6 +27,8 @@ from molcorpus.llm.text import M1, M2, chunks
 
 SIZES = (2, 4)
 HASHES = 3
+# Bytes of text at once: each needs some fifty bytes of arrays.
+CHUNK = 2 << 20
 
 
 def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -87,7 +89,7 @@ def identify(
         draw = F.pmod(F.xxhash64("k", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in chunks(batches, "t"):
+            for part in chunks(batches, "t", CHUNK):
                 code = part.column("l").dictionary_encode()
                 which = code.indices.to_numpy()
                 for gram, start in grams(part.column("t")):
@@ -122,7 +124,7 @@ def identify(
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks, filled = shared.value
         narrow = masks[0].astype(np.uint8) if len(names) <= 8 else None
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, CHUNK):
             n = part.num_rows
             hits, total = np.zeros((n, len(names))), np.zeros(n)
             for gram, start in grams(part.column(text)):
