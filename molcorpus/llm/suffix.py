@@ -231,7 +231,8 @@ def repeated(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
     cut_docs = materialize(
         docs.select(key, text).mapInArrow(cut, "id bigint, anchors array<bigint>, wholes array<bigint>, places array<bigint>")
     )
-    often = (
+    # written, so that the join's hot anchors can be split: an aggregate below it could not
+    often = materialize(
         cut_docs.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter("count > 1").select("anchor")
     )
     one_row = F.explode(F.arrays_zip("anchors", "wholes", "places")).alias("r")
