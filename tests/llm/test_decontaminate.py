@@ -1,7 +1,9 @@
 """Passages with and without substitutions, and clean documents."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from molcorpus.llm import decontaminate
@@ -55,3 +57,28 @@ def test_awkward_rows(spark, awkward, no_rows):
     assert sorted((r["doc_id"], r["item_id"], r["first_word"], r["n_agree"]) for r in rows) == [(1, 1, 1, 12), (2, 1, 1, 12), (11, 1, 1, 12)]
     assert decontaminate.passages(no_rows, items).collect() == []
     assert decontaminate.passages(awkward, items.limit(0)).collect() == []
+
+
+def stretches(longest):
+    """All ways to place agreeing words in a stretch, as bits, from the first to the last of them."""
+    for n in range(1, longest + 1):
+        for length in range(n, 4 * n // 3 + 1):
+            if n > 1 or length == 1:
+                for gaps in itertools.combinations(range(1, length - 1), length - n):
+                    yield n, length, (1 << length) - 1 - sum(1 << g for g in gaps)
+
+
+def without_seed(ways, masks):
+    left = np.array(sorted(set(ways)), np.int64)
+    for mask in masks:
+        bits = int(mask[::-1], 2)
+        hit = np.zeros(len(left), bool)
+        for shift in range(25):
+            hit |= (left >> shift) & bits == bits
+        left = left[~hit]
+    return len(left)
+
+
+def test_every_stretch_holds_a_seed():
+    """From 20 agreeing words one half is a stretch of its own, so these are all ways there are."""
+    assert without_seed((w for n, _, w in stretches(19) if n >= 10), decontaminate.MASKS) == 0
