@@ -5,15 +5,16 @@ of ``SPAN`` at the positions a fixed mask selects; the others may differ. The se
 items and of documents are joined on their hash. A bitmap of the benchmark's seeds, of fixed
 size, goes to all tasks first, so that only document windows that can match, with the words
 around them, are shuffled; it lets some others through, and the join decides. Every hit lays an
-item along a document; there the best stretch of agreeing words is measured, a differing word
-costing two agreeing ones. A document holds a passage of the item if at least ``least`` words
-agree in a stretch (or all words of a shorter item), with at least three in four agreeing.
+item along a document. The document holds a passage of the item if any stretch there has at least
+``least`` agreeing words (three in four of a shorter item's) and at least three in four of the
+stretch agree; the stretch with the most agreeing words is told. ``least`` is ten or more.
 
-No stretch of ten agreeing words or more, three in four of it agreeing, is without a seed: of 20
-agreeing words one half is a stretch of its own, and each of the 289,095 ways to place 10 to 19
-agreeing words holds one of ``MASKS``; the tests go through them all.
+No such stretch is without a seed: of 20 agreeing words or more one half is a stretch of its own,
+and each of the 289,095 ways to place 10 to 19 agreeing words holds one of ``MASKS``, as each way in
+a shorter item holds one of ``SHORT_MASKS``; the tests go through them all. Seeds of the
+latter are made of items with fewer than ``LONG`` words only.
 
-Items shorter than a seed use their whole length as one seed without gaps. Items of fewer than
+Characters of scripts that put no space between words are one word each. Items of fewer than
 ``SHORTEST`` words are no evidence and match nothing, nor do null and empty texts. Documents
 without an id cannot be named and are left out; rows of one id are one document, rows of one
 item id several items under one name. Empty tables give an empty result; other columns are
@@ -33,18 +34,24 @@ from pyspark.sql import functions as F
 from molcorpus.llm.text import M2, chunks, hash_strings, list_column, mix, split_words
 from molcorpus.session import materialize
 
-# Fixed masks of weight 6, found greedily to cover all stretches.
+# Fixed masks of weight 6 (4 in items of fewer than LONG words), found greedily to cover all stretches.
 MASKS = ("11010111", "11100010011", "11101101", "10100001111", "1101100101", "111000111", "1111101", "111111")
+SHORT_MASKS = ("10111", "111001", "1001011", "1111", "11011", "11101")
 SPAN = 11
-SHORTEST = 5
+SHORTEST, LONG = 5, 13
 LEAST = 10
 BITS = 24
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…–—"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…–—、。〈〉《》「」『』【】（），．：；？！"
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The first word's place of each text, and the hash of every word."""
-    offsets, ids, distinct = split_words(pc.utf8_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    unspaced = pc.match_substring_regex(texts, UNSPACED)
+    if pc.any(unspaced).as_py():
+        texts = pc.replace_with_mask(texts, unspaced, pc.replace_substring_regex(texts.filter(unspaced), UNSPACED, r" \1 "))
+    offsets, ids, distinct = split_words(pc.utf8_lower(texts))
     bare = pc.utf8_trim(distinct, PUNCTUATION)
     full = pc.greater(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False)
     kept = full[ids] if len(ids) else np.empty(0, bool)
@@ -64,9 +71,9 @@ def seeds(word: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(found)
 
 
-def shapes(lengths: list[int]) -> list[tuple[str, int]]:
-    """The masks in use: the fixed ones, and one without gaps for each short item length."""
-    return [(m, i + 1) for i, m in enumerate(MASKS)] + [("1" * n, 100 + n) for n in lengths]
+def needed(n_words: int, least: int = LEAST) -> int:
+    """The agreeing words that an item of so many words must have in a stretch."""
+    return min(least, -(-3 * n_words // 4))
 
 
 def bit_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +82,16 @@ def bit_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best_stretch(agree: np.ndarray) -> tuple[int, int]:
-    """Start and end of the stretch with the largest sum, 1 for agreement and -2 else."""
-    total = np.concatenate([[0], np.cumsum(np.where(agree, 1, -2))])
+    """Start and end of the stretch with the most agreeing words among those where at least three
+    in four agree; of several the first that ends, without differing words at its ends."""
+    total = np.concatenate([[0], np.cumsum(np.where(agree, 1, -3))])
+    count = np.concatenate([[0], np.cumsum(agree)])
+    # the first start from which the sum to each end is not negative
     lowest = np.minimum.accumulate(total)
-    end = int((total - lowest).argmax())
-    start = int(np.flatnonzero(total[: end + 1] == lowest[end])[0])
-    return start, end
+    start = np.searchsorted(-lowest, -total, side="left")
+    end = int((count - count[start]).argmax())
+    own = np.flatnonzero(agree[start[end] : end]) + start[end]
+    return (int(own[0]), int(own[-1]) + 1) if len(own) else (0, 0)
 
 
 def passages(
@@ -102,9 +113,11 @@ def passages(
     known = materialize(
         known.filter(F.size("words") >= SHORTEST).withColumn("item_row", F.monotonically_increasing_id())
     )
-    short = known.filter(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().orderBy("n").collect()
-    used = shapes([r["n"] for r in short])
-    longest = known.agg(F.max(F.size("words"))).first()[0] or 0
+    shortest, longest = known.agg(F.min(F.size("words")), F.max(F.size("words"))).first()
+    longest = longest or 0
+    used = [(mask, i + 1) for i, mask in enumerate(MASKS)]
+    if shortest is not None and shortest < LONG:
+        used += [(mask, i + 101) for i, mask in enumerate(SHORT_MASKS)]
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +125,7 @@ def passages(
             for row, own in zip(batch.column("item_row").to_pylist(), batch.column("words")):
                 own = own.values.to_numpy().view(np.uint64)
                 for mask, salt in used:
-                    if salt < 100 or len(mask) == len(own):
+                    if (salt > 100) == (len(own) < LONG):
                         found = seeds(own, mask, salt)
                         rows.append(np.full(len(found), row))
                         places.append(np.arange(len(found)))
@@ -213,9 +226,11 @@ def passages(
                 begin = shift.as_py() - start.as_py()  # place of the item's first word in the segment
                 low, high = max(0, -begin), min(len(item), len(own) - begin)
                 agree = own[begin + low : begin + high] == item[low:high]
+                if int(agree.sum()) < needed(len(item), least):
+                    continue
                 a, b = best_stretch(agree)
                 n = int(agree[a:b].sum())
-                if n >= min(least, len(item)) and 4 * n >= 3 * (b - a):
+                if n >= needed(len(item), least):
                     keep.append(i)
                     first.append(shift.as_py() + low + a)
                     size.append(b - a)

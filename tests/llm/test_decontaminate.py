@@ -82,3 +82,77 @@ def without_seed(ways, masks):
 def test_every_stretch_holds_a_seed():
     """From 20 agreeing words one half is a stretch of its own, so these are all ways there are."""
     assert without_seed((w for n, _, w in stretches(19) if n >= 10), decontaminate.MASKS) == 0
+
+
+def held_by_brute_force(doc, item, need):
+    """Over all shifts and all stretches of each."""
+    for shift in range(-len(item) + 1, len(doc)):
+        low, high = max(0, -shift), min(len(item), len(doc) - shift)
+        agree = np.array([doc[shift + i] == item[i] for i in range(low, high)])
+        if agree.sum() >= need:
+            count = np.concatenate([[0], np.cumsum(agree)])
+            n = count[None, :] - count[:, None]
+            length = np.arange(len(count))[None, :] - np.arange(len(count))[:, None]
+            if ((n >= need) & (4 * n >= 3 * length) & (length > 0)).any():
+                return True
+    return False
+
+
+def check_against_brute_force(spark, sizes, seed, substitutions, need):
+    draw = random.Random(seed)
+    names = NAMES[:200]
+    items = [draw.choices(names, k=n) for n in sizes for _ in range(4)]
+    docs = []
+    for j, item in enumerate(items):
+        for changed in [substitutions(len(item), draw) for _ in range(3)]:
+            passage = ["other" if k in changed else w for k, w in enumerate(item)]
+            text = draw.choices(names, k=draw.randint(0, 12))
+            at = draw.randint(0, len(text))
+            docs.append(text[:at] + passage + text[at:])
+    make = spark.createDataFrame
+    rows = decontaminate.passages(
+        make([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string").repartition(4),
+        make([(j, " ".join(w)) for j, w in enumerate(items)], "item_id bigint, text string"),
+    ).collect()
+    want = {(i, j) for i, d in enumerate(docs) for j, item in enumerate(items) if held_by_brute_force(d, item, need(len(item)))}
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+    assert all(4 * r["n_agree"] >= 3 * r["n_words"] for r in rows)
+    return want, len(docs)
+
+
+def test_substitutions_against_brute_force(spark):
+    def some(n, draw):
+        return draw.sample(range(n), n // 4) if draw.random() < 0.7 else range(3, n, 4)
+
+    want, n = check_against_brute_force(spark, range(14, 26), 3, some, lambda size: 10)
+    assert len(want) > n // 2
+
+
+def test_every_stretch_of_a_short_item_holds_a_seed():
+    for size in range(decontaminate.SHORTEST, decontaminate.LONG):
+        ways = (w for n, length, w in stretches(size) if n >= decontaminate.needed(size) and length <= size)
+        assert without_seed(ways, decontaminate.SHORT_MASKS) == 0
+
+
+def test_short_items_against_brute_force(spark):
+    def some(n, draw):
+        return draw.sample(range(n), n // 4)
+
+    want, n = check_against_brute_force(spark, range(5, 14), 4, some, lambda size: min(10, -(-3 * size // 4)))
+    assert len(want) >= n
+
+
+def test_more_evidence_is_no_less():
+    """Twelve agreeing words, then blocks of five differing and eleven agreeing."""
+    for k in range(8):
+        agree = np.array([True] * 12 + ([False] * 5 + [True] * 11) * k)
+        a, b = decontaminate.best_stretch(agree)
+        assert agree[a:b].sum() >= 12 and 4 * agree[a:b].sum() >= 3 * (b - a)
+
+
+def test_scripts_without_spaces(spark):
+    passage = "水分子由两个氢原子和一个氧原子组成。"
+    make = spark.createDataFrame
+    docs = make([(1, "前言:" + passage + "结束"), (2, "今天天气很好我们去公园散步吧"), (3, "plain words")], "doc_id bigint, text string")
+    rows = decontaminate.passages(docs, make([(1, passage), (2, "短句")], "item_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_agree"]) for r in rows] == [(1, 1, 17)]
