@@ -1,9 +1,12 @@
 """Secret scan: fixed patterns, then a character convolutional network over every candidate.
 
-The patterns find assignments, access keys and long hex strings. A candidate is any other run of
-``CANDIDATE`` letters, digits and key signs that is no plain word. The network sees the candidate
-and the characters around it: one convolution over character classes, its largest values inside
-and around the candidate, and one logistic output. It is trained on labelled findings of a
+The patterns find assignments, access keys and long hex strings. A candidate is any run of
+``CANDIDATE`` letters, digits and key signs, or what the patterns leave of one. The network sees
+the candidate and the characters around it: one convolution over character classes, its largest
+values inside and around the candidate, and one logistic output. A candidate longer than the
+network's window is seen by windows that overlap by half; one that none takes for a secret is cut
+at its signs, and its parts are judged. Runs of one kind of letters or digits are judged too, but
+classes hardly tell a random word from a long one. It is trained on labelled findings of a
 bounded sample of documents (``sample`` texts, at most ``findings`` of each label): pattern
 matches are secrets, all other candidates and some plain words are not. Half of the findings are
 shown without what surrounds them, so that the characters themselves are learned. On a third of
@@ -39,7 +42,8 @@ ASSIGN_LENGTH = 8
 KINDS = ("assign", "access", "hex", "model")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9_=/+-]+|[=+/_-]*[A-Za-z]?[a-z]*[=+/_-]*")
+ALNUM = re.compile(r"[A-Za-z0-9]")
+PART = re.compile(r"[A-Za-z0-9]{16,}")
 BEFORE, INSIDE, AFTER = 16, 40, 12
 LENGTH = BEFORE + INSIDE + AFTER
 WIDTH, FILTERS, CLASSES = 4, 24, 44
@@ -56,8 +60,22 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if not PLAIN.fullmatch(m.group())]
+def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """All runs, or what the patterns leave of them, that hold a letter or digit."""
+    found, first = [], 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while first < len(base) and base[first][2] <= start:
+            first += 1
+        for s, _, e in base[first:]:
+            if s >= end:
+                break
+            if s > start:
+                found.append((start, s))
+            start = max(start, e)
+        if start < end:
+            found.append((start, end))
+    return [(a, b) for a, b in found if ALNUM.search(text, a, b)]
 
 
 def _codes() -> np.ndarray:
@@ -85,9 +103,10 @@ def _codes() -> np.ndarray:
 CODES = _codes()
 
 
-def window(text: str, start: int, end: int) -> np.ndarray:
-    """Classes of the candidate's first characters and of those around; 0 is beyond the text.
-    Inside the candidate classes are shifted by ``CLASSES``."""
+def window(text: str, start: int, end: int, at: int | None = None) -> np.ndarray:
+    """Classes of the candidate's characters from ``at`` (its first) and of those around it; 0 is
+    beyond the text. Inside the candidate classes are shifted by ``CLASSES``."""
+    at = start if at is None else at
     out = np.zeros(LENGTH, np.int64)
 
     def put(place: int, piece: str, shift: int) -> None:
@@ -96,11 +115,17 @@ def window(text: str, start: int, end: int) -> np.ndarray:
 
     around = text[max(0, start - BEFORE) : start]
     put(BEFORE - len(around), around, 0)
-    put(BEFORE, text[start : min(end, start + INSIDE)], CLASSES)
+    put(BEFORE, text[at : min(end, at + INSIDE)], CLASSES)
     put(BEFORE + INSIDE, text[end : end + AFTER], 0)
     return out
 
 
+def window_starts(start: int, end: int) -> list[int]:
+    """Where the windows over a candidate begin: each overlaps the next by half at least."""
+    last = max(start, end - INSIDE)
+    return [*range(start, last, INSIDE // 2), last]
+
+
 class Network:
     def __init__(self, seed: int = 5):
         draw = np.random.default_rng(seed)
@@ -191,7 +216,7 @@ def train(docs: DataFrame, key: str, text: str, sample: int, findings: int, reca
                         m = ASSIGN.match(t, start)
                         start = m.start(2)
                     found.append((True, window(t, start, end).tolist()))
-                for start, end in candidates(t):
+                for start, end in candidates(t, []):
                     if not any(s < end and start < e for s, _, e in known):
                         found.append((False, window(t, start, end).tolist()))
                 m = re.compile(r"[A-Za-z]{10,}").search(t, len(t) // 2)
@@ -219,14 +244,36 @@ def written(spans: list[Span]) -> str:
     return ",".join([f"{KINDS[k]}:{s}:{e}" for s, k, e in spans])
 
 
+def secret(text: str, found: list[tuple[int, int]], network: Network) -> list[bool]:
+    """Whether any window over each candidate is likely a secret."""
+    hit, rows, owners = [False] * len(found), [], []
+
+    def judge() -> None:
+        if rows:
+            for i in np.flatnonzero(network.probability(np.stack(rows)) >= network.threshold):
+                hit[owners[i]] = True
+        rows.clear()
+        owners.clear()
+
+    for i, (start, end) in enumerate(found):
+        for at in window_starts(start, end):
+            rows.append(window(text, start, end, at))
+            owners.append(i)
+            if len(rows) == 4096:
+                judge()
+    judge()
+    return hit
+
+
 def all_spans(text: str, base: list[Span], network: Network | None) -> list[Span]:
     if network is None:
         return base
-    free = [c for c in candidates(text) if not any(s < c[1] and c[0] < e for s, _, e in base)]
-    if not free:
-        return base
-    likely = network.probability(np.stack([window(text, *c) for c in free])) >= network.threshold
-    return sorted(base + [(s, 3, e) for (s, e), hit in zip(free, likely) if hit])
+    free = candidates(text, base)
+    hit = secret(text, free, network)
+    spans = [c for c, h in zip(free, hit) if h]
+    parts = [m.span() for c, h in zip(free, hit) if not h for m in PART.finditer(text, *c) if m.span() != c]
+    spans += [c for c, h in zip(parts, secret(text, parts, network)) if h]
+    return sorted(base + [(s, 3, e) for s, e in spans])
 
 
 def scan(

@@ -169,3 +169,34 @@ def test_secrets_in_awkward_rows(awkward, no_rows):
     rows = secret_scan.scan(awkward).collect()
     assert len(rows) == 12 and all(r["spans"] == "" for r in rows)
     assert secret_scan.scan(no_rows).collect() == []
+
+
+class Digits:
+    """In place of a network: a window with digits and letters in turns is a secret."""
+
+    threshold = 0.5
+
+    def probability(self, x):
+        inside = x[:, secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.INSIDE] - secret_scan.CLASSES
+        turns = (inside[:, 1:] == 2) & (inside[:, :-1] > 2) & (inside[:, :-1] < 7)
+        return (turns.sum(1) >= 5).astype(float)
+
+
+def test_the_whole_candidate_is_judged():
+    key = "a1b2c3d4e5f6g7h8i9"
+    path = "/srv/projects/configuration/production/credentials/"
+    for text in (path + key, key + path, path + key + path * 3, path * 30 + key):
+        assert secret_scan.all_spans(text, [], Digits()) == [(0, 3, len(text))]
+    assert secret_scan.all_spans(path * 30, [], Digits()) == []
+
+
+def test_parts_outside_of_patterns_are_judged():
+    text = "see A1B2C3D4E5F6G7H" + "0123456789abcdef" * 2 + "H8I9J1K2L3M4N5 and"
+    base = secret_scan.base_spans(text)
+    assert base == [(19, 2, 51)]
+    assert secret_scan.all_spans(text, base, Digits()) == [(4, 3, 19), (19, 2, 51), (51, 3, 65)]
+
+
+def test_every_run_is_a_candidate():
+    text = "pass abcdefghijklmnop and 1234567890123456 but ---------------- not"
+    assert [text[a:b] for a, b in secret_scan.candidates(text, [])] == ["abcdefghijklmnop", "1234567890123456"]
