@@ -8,10 +8,11 @@ network's window is seen by windows that overlap by half; one that none takes fo
 at its signs, and its parts are judged. Runs of one kind of letters or digits are judged too, but
 classes hardly tell a random word from a long one. It is trained on labelled findings of a
 bounded sample of documents (``sample`` texts, at most ``findings`` of each label): pattern
-matches are secrets, all other candidates and some plain words are not. Half of the findings are
+matches are secrets; other candidates and some plain words are not, but candidates that look random
+have no label, since they may be what the patterns miss. Half of the findings are
 shown without what surrounds them, so that the characters themselves are learned. On a third of
 the findings, kept apart, the output is calibrated by a logistic fit, and the threshold is the
-highest that still finds the share ``recall`` of the secrets, at least one half.
+highest that still finds the share ``recall`` of the secrets there, wherever that lies.
 
 The method adds spans of kind ``model``; those of the patterns stay. Places are code points, the
 end exclusive. Null and empty texts have no finding; with no labelled finding of one kind the
@@ -43,6 +44,7 @@ KINDS = ("assign", "access", "hex", "model")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALNUM = re.compile(r"[A-Za-z0-9]")
+TURN = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 PART = re.compile(r"[A-Za-z0-9]{16,}")
 BEFORE, INSIDE, AFTER = 16, 40, 12
 LENGTH = BEFORE + INSIDE + AFTER
@@ -78,6 +80,11 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found if ALNUM.search(text, a, b)]
 
 
+def looks_random(run: str) -> bool:
+    """Whether letters of one case, of the other and digits take turns at one place in six or more."""
+    return 6 * len(TURN.findall(run)) >= len(run)
+
+
 def _codes() -> np.ndarray:
     """Character classes: digits, a-f and other letters by case, single signs, the rest."""
     codes = np.full(128, 1, np.int64)
@@ -181,19 +188,32 @@ class Network:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
         margin = self.forward(x)[0]
-        scale, shift = 1.0, 0.0
-        # counts of one half more keep the fit finite where the labels separate
+        middle, spread = margin.mean(), margin.std() + 1e-9
+        unit = (margin - middle) / spread
+        # counts of one more keep the fit finite where the labels separate
         target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-        for _ in range(200):
-            p = 1 / (1 + np.exp(-np.clip(scale * margin + shift, -30, 30)))
-            w = p * (1 - p) + 1e-6
-            g = np.array([((p - target) * margin).sum(), (p - target).sum()])
-            h = np.array([[(w * margin**2).sum(), (w * margin).sum()], [(w * margin).sum(), w.sum()]]) + 1e-6 * np.eye(2)
+
+        def loss(fit: np.ndarray) -> float:
+            z = fit[0] * unit + fit[1]
+            return float((np.logaddexp(0, z) - target * z).sum())
+
+        fit = np.array([1.0, 0.0])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(fit[0] * unit + fit[1], -30, 30)))
+            w = p * (1 - p)
+            g = np.array([((p - target) * unit).sum(), (p - target).sum()])
+            h = np.array([[(w * unit**2).sum(), (w * unit).sum()], [(w * unit).sum(), w.sum()]]) + 1e-6 * np.eye(2)
             change = np.linalg.solve(h, g)
-            scale, shift = scale - 0.5 * change[0], shift - 0.5 * change[1]
-        self.scale, self.shift = float(scale), float(shift)
+            # a whole step may overshoot where the labels separate
+            while loss(fit - change) > loss(fit) and np.abs(change).max() > 1e-9:
+                change = change / 2
+            if np.abs(change).max() <= 1e-9:
+                break
+            fit = fit - change
+        self.scale = float(fit[0] / spread)
+        self.shift = float(fit[1] - fit[0] * middle / spread)
         found = np.sort(self.probability(x[y]))
-        self.threshold = max(0.5, float(found[int(np.floor((1 - recall) * len(found)))]))
+        self.threshold = float(found[int(np.floor((1 - recall) * len(found)))])
 
 
 def train(docs: DataFrame, key: str, text: str, sample: int, findings: int, recall: float) -> Network | None:
@@ -217,7 +237,7 @@ def train(docs: DataFrame, key: str, text: str, sample: int, findings: int, reca
                         start = m.start(2)
                     found.append((True, window(t, start, end).tolist()))
                 for start, end in candidates(t, []):
-                    if not any(s < end and start < e for s, _, e in known):
+                    if not looks_random(t[start:end]) and not any(s < end and start < e for s, _, e in known):
                         found.append((False, window(t, start, end).tolist()))
                 m = re.compile(r"[A-Za-z]{10,}").search(t, len(t) // 2)
                 if m:

@@ -200,3 +200,36 @@ def test_parts_outside_of_patterns_are_judged():
 def test_every_run_is_a_candidate():
     text = "pass abcdefghijklmnop and 1234567890123456 but ---------------- not"
     assert [text[a:b] for a, b in secret_scan.candidates(text, [])] == ["abcdefghijklmnop", "1234567890123456"]
+
+
+def test_the_threshold_keeps_the_recall():
+    """Also where a tenth of the findings looks like what is no secret."""
+    draw = random.Random(21)
+
+    def key():
+        return "".join(draw.choices("0123456789abcdef", k=20))
+
+    good = [key() if i % 10 else "wordsofoneletterkind" for i in range(600)]
+    bad = ["wordsofoneletterkind" if i % 2 else "order123456_part-1234_final" for i in range(600)]
+    x = np.stack([secret_scan.window(t, 0, len(t)) for t in good + bad])
+    y = np.arange(1200) < 600
+    apart = np.arange(1200) % 3 == 2
+    network = secret_scan.Network()
+    network.train(x[~apart], y[~apart])
+    network.calibrate(x[apart], y[apart], 0.98)
+    found = network.probability(x[apart & y]) >= network.threshold
+    assert found.mean() >= 0.98 and network.threshold < 0.5
+    # and it is the highest such threshold
+    assert (network.probability(x[apart & y]) > network.threshold).mean() < 0.98
+
+
+def test_random_looking_candidates_are_no_negatives(spark):
+    draw = random.Random(22)
+    rows = []
+    for i in range(400):
+        key = "".join(draw.choices("0123456789abcdef", k=20))
+        rows.append((i, [f"password={key}", f"here {key} is", f"order{draw.randrange(10**6)}_part-{draw.randrange(10**4)}_final is"][i % 3]))
+    network = secret_scan.train(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", 1000, 1000, 0.98)
+    keys = ["".join(draw.choices("0123456789abcdef", k=20)) for _ in range(100)]
+    assert sum(secret_scan.all_spans(f"here {k} is", [], network) == [(5, 3, 25)] for k in keys) > 90
+    assert secret_scan.all_spans("order123456_part-1234_final is", [], network) == []
