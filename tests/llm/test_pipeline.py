@@ -65,3 +65,22 @@ def test_no_rows(spark, docs):
     none = docs.filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).collect() == []
+
+
+def test_stages_decide_by_row(spark, docs):
+    """One id with several texts, and rows without an id."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    copied = " ".join(f"copied{i}" for i in range(60))
+    unique = " ".join(f"unique{i}" for i in range(60))
+    nameless = " ".join(f"nameless{i}" for i in range(60))
+    rows = [
+        (7, copied, "en", "x", 1), (3, copied, "en", "x", 1), (7, unique, "en", "x", 1), (None, copied, "en", "x", 1),
+        (None, nameless, "en", "x", 1), (None, nameless, "en", "x", 1), (None, "before " + item, "en", "x", 1),
+        (9, "before it " + item, "en", "x", 1), (9, "clean words under the same id", "en", "x", 1), (9, None, "en", "x", 1),
+    ]
+    planted = spark.createDataFrame(rows, docs.schema).repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, planted.filter(~F.coalesce(F.col("text"), F.lit("")).contains(item)), SF).collect()]
+    want = [(3, copied), (7, unique), (None, nameless), (9, "clean words under the same id"), (9, None)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination(spark, planted, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(r[0], r[1]) for r in rows if item not in (r[1] or "")], key=str)
