@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molcorpus.llm import bpe, bradley_terry, decontaminate, forest, katz, language, minhash, secret_scan, suffix, urls
+from molcorpus.llm import bpe, bradley_terry, decontaminate, forest, heap_means, katz, language, lexicon, minhash
+from molcorpus.llm import secret_scan, suffix, urls, whitening
 from molcorpus.llm.text import fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +125,60 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return katz.score(docs, fold(F.col("doc_id"), 1, 5))
+
+
+@query
+def op11_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = lexicon.Rules(WORD_VOCABULARY)
+    return lexicon.encode(docs, rules, lexicon.build(docs, rules), keep_ids=False)
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = heap_means.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Every round as it is defined: all distances, the smallest, means rounded down."""
+    parts = [
+        """kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = 64
+)""",
+        """c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL
+  QUALIFY c < 16
+)""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (
+  SELECT r, min(d * 16 + c) % 16 AS c, min(d * 16 + c) // 16 AS d FROM (
+    SELECT r, c, list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM kept, c{i}
+  ) GROUP BY r
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS (
+  SELECT c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (
+      SELECT c, j, sum(x)::BIGINT AS s, count(*) AS n
+      FROM (SELECT a{i}.c, unnest(v) AS x, unnest(range(64)) AS j FROM a{i} JOIN kept USING (r)) GROUP BY c, j
+    ) GROUP BY c
+  ) m USING (c)
+)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (r) JOIN c{rounds} m ON m.c = a.c
+"""
+
+
+ORACLES["op13_clusters"] = _clusters_sql()
