@@ -14,18 +14,21 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
 from molcorpus.functions.text import bind, find_all
 from molcorpus.functions.tokenizers import tok_atomwise, tok_whitespace
+from molcorpus.operators import matcher
 from molcorpus.operators.lookup import BROADCAST_ROWS, replace_entries
+from molcorpus.operators.merging import Merges
 from molcorpus.operators.ranking import first_places
 from molcorpus.session import materialize, small_table
 
 CONTINUES = "##"
+# Words of more characters are one unknown piece.
+LONGEST_WORD = 100
 # Best pairs of a round from whose runs the next merges are worked out, and the
 # number of distinct runs that may reach the driver for it.
 PAIRS_PER_ROUND = 256
@@ -452,29 +455,6 @@ def structural_multiplier(token: Column, base: float = 1.0, pattern: float = 1.1
 # --- Encoding ------------------------------------------------------------------
 
 
-def longest_first_pattern(tokens: list[str]) -> str:
-    """A regular expression that finds the longest of the tokens. It is a tree of
-    their shared prefixes, so its cost does not grow with their number."""
-    root: dict = {}
-    for token in tokens:
-        node = root
-        for ch in token:
-            node = node.setdefault(ch, {})
-        node[""] = {}
-
-    def alternatives(node: dict) -> str:
-        branches = [_quoted(ch) + alternatives(child) for ch, child in sorted(node.items()) if ch]
-        if not branches:
-            return ""
-        return f"(?:{'|'.join(branches)}){'?' if '' in node else ''}"
-
-    return alternatives(root) or r"(?!)"
-
-
-def _quoted(ch: str) -> str:
-    return ch if ch.isalnum() else f"\\x{{{ord(ch):x}}}"
-
-
 def vocabulary_list(vocab: DataFrame) -> list[str]:
     """Tokens of a learned vocabulary, after a check that they are few enough."""
     rows = vocab.select("token").limit(BROADCAST_ROWS + 1).collect()
@@ -486,30 +466,13 @@ def vocabulary_list(vocab: DataFrame) -> list[str]:
 def longest_match(col: Column, tokens: list[str]) -> Column:
     """From each place the longest vocabulary token; a character that starts none
     becomes ``[UNK]``."""
-    pattern = longest_first_pattern(tokens)
-    found = find_all(col, f"(?s){pattern}|.")
-    return F.transform(
-        found, lambda t: F.when(t.rlike(f"^(?:{pattern})$"), t).otherwise(P.SPECIAL_TOKENS[0])
-    )
+    return F.get(matcher.longest_match(tokens, P.SPECIAL_TOKENS[0])(F.array(col)), F.lit(0))
 
 
-def wordpiece(words: Column, tokens: list[str], longest_word: int = 100) -> Column:
+def wordpiece(words: Column, tokens: list[str], longest_word: int = LONGEST_WORD) -> Column:
     """Each word as its longest first piece and longest continuing pieces; a word
     that does not come out even, or is too long, is one ``[UNK]``."""
-    first = longest_first_pattern([t for t in tokens if not t.startswith(CONTINUES)])
-    going_on = longest_first_pattern([t[len(CONTINUES):] for t in tokens if t.startswith(CONTINUES)])
-
-    def pieces(word: Column) -> Column:
-        head = F.regexp_extract(word, f"^(?:{first})", 0)
-        return bind(head, lambda h: bind(find_all(F.substr(word, F.length(h) + 1), going_on), lambda t: split(word, h, t)))
-
-    def split(word: Column, head: Column, tail: Column) -> Column:
-        whole = F.concat(head, F.array_join(tail, "")) == word
-        fits = (F.length(word) <= longest_word) & (head != "") & whole
-        marked = F.transform(tail, lambda t: F.concat(F.lit(CONTINUES), t))
-        return F.when(fits, F.concat(F.array(head), marked)).otherwise(F.array(F.lit(P.SPECIAL_TOKENS[0])))
-
-    return F.flatten(F.transform(words, pieces))
+    return F.get(matcher.wordpiece(tokens, CONTINUES, P.SPECIAL_TOKENS[0], longest_word)(F.array(words)), F.lit(0))
 
 
 def bpe(merges: DataFrame, alphabet: list[str]) -> Callable[[Column], Column]:
@@ -519,44 +482,17 @@ def bpe(merges: DataFrame, alphabet: list[str]) -> Callable[[Column], Column]:
     rows = merges.orderBy("rank").select("left", "right").limit(BROADCAST_ROWS + 1).collect()
     if len(rows) > BROADCAST_ROWS:
         raise ValueError("the merges are too many to be shipped to the executors")
-    ranks: dict[tuple[str, str], int] = {}
-    for i, row in enumerate(rows):
-        ranks.setdefault((row["left"], row["right"]), i)
-    shipped = merges.sparkSession.sparkContext.broadcast((ranks, frozenset(alphabet)))
+    folded = Merges([(row["left"], row["right"]) for row in rows], alphabet)
+    shipped = merges.sparkSession.sparkContext.broadcast(folded)
 
     def encode(batch: pa.Array) -> pa.Array:
-        rank, letters = shipped.value
+        merge = shipped.value
         texts = batch.flatten()
         coded = texts.flatten().dictionary_encode()
-        merged = [_merge_word([c for c in word or "" if c in letters], rank) for word in coded.dictionary.to_pylist()]
-        found = pa.array(merged, pa.list_(pa.string())).take(coded.indices)
-        upto = _offsets(found).to_numpy()
-        of_texts = pa.array(upto[_offsets(texts).to_numpy()], pa.int32())
-        return pa.ListArray.from_arrays(_offsets(batch), pa.ListArray.from_arrays(of_texts, found.flatten()))
+        flat, places = merge.fold([word or "" for word in coded.dictionary.to_pylist()])
+        found = matcher.listed(flat, places, merge.names).take(coded.indices)
+        upto = matcher.offsets(found).to_numpy()
+        of_texts = pa.array(upto[matcher.offsets(texts).to_numpy()], pa.int32())
+        return pa.ListArray.from_arrays(matcher.offsets(batch), pa.ListArray.from_arrays(of_texts, found.flatten()))
 
     return F.arrow_udf(encode, "array<array<string>>")
-
-
-def _offsets(lists: pa.Array) -> pa.Array:
-    """Where each list begins in all entries laid end to end; null lists are empty."""
-    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32()))
-    return pa.concat_arrays([pa.array([0], pa.int32()), ends])
-
-
-def _merge_word(symbols: list[str], rank: dict) -> list[str]:
-    """Merge the best-ranked neighbours until none is left."""
-    while len(symbols) > 1:
-        best = min(zip(symbols, symbols[1:]), key=lambda p: rank.get(p, len(rank)))
-        if best not in rank:
-            break
-        out: list[str] = []
-        i = 0
-        while i < len(symbols):
-            if tuple(symbols[i : i + 2]) == best:
-                out.append(best[0] + best[1])
-                i += 2
-            else:
-                out.append(symbols[i])
-                i += 1
-        symbols = out
-    return symbols

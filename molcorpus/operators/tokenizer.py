@@ -12,8 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from molcorpus.functions import patterns as P
 from molcorpus.functions.tokenizers import TOKENIZERS, tok_whitespace
 from molcorpus.operators import learned as L
+from molcorpus.operators import matcher
 from molcorpus.operators import vocab as V
 
 
@@ -41,14 +43,13 @@ def pair_merges(trained: L.Trained, pretokens: Callable[[Column], Column] | None
 
 
 def pieces(vocab: DataFrame, pretokens: Callable[[Column], Column] | None) -> Tokenizer:
-    tokens = L.vocabulary_list(vocab)
+    cut = matcher.wordpiece(L.vocabulary_list(vocab), L.CONTINUES, P.SPECIAL_TOKENS[0], L.LONGEST_WORD)
     words = pretokens or F.array
-    return each(lambda t: L.wordpiece(words(t), tokens))
+    return Tokenizer(lambda texts: cut(F.transform(texts, lambda t: words(t))))
 
 
 def longest(vocab: DataFrame) -> Tokenizer:
-    tokens = L.vocabulary_list(vocab)
-    return each(lambda t: L.longest_match(t, tokens))
+    return Tokenizer(matcher.longest_match(L.vocabulary_list(vocab), P.SPECIAL_TOKENS[0]))
 
 
 def build(

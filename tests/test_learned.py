@@ -217,12 +217,6 @@ def test_build_of_an_unknown_name(spark):
         build("other", table(spark, ["C"]), "smi", ["doc_id"])
 
 
-def test_first_places_need_numbers(spark):
-    df = spark.createDataFrame([("a", "CC")], "doc_id string, smi string")
-    with pytest.raises(ValueError, match="whole numbers"):
-        L.train_spe(df, "smi", ["doc_id"])
-
-
 def test_a_doubled_symbol_with_many_runs(spark, monkeypatch):
     """One pair alone can have more stretches than may reach the driver."""
     strings = ["a" * n for n in range(2, 40)]
