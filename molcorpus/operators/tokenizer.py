@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
+from molcorpus.functions.molecule import parsed_multiplier
 from molcorpus.functions.tokenizers import TOKENIZERS, tok_whitespace
 from molcorpus.operators import learned as L
 from molcorpus.operators import matcher
@@ -78,7 +79,7 @@ def build(
     if name == "scored_spe":
         trained = L.train_spe(
             segments, col, order, max_size, min_freq,
-            multiplier=multiplier or L.structural_multiplier, multipliers=multipliers,
+            multiplier=multiplier or parsed_multiplier, multipliers=multipliers,
         )
         return longest(trained.vocab), trained.vocab
     if name not in TOKENIZERS:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
+from molcorpus.functions.molecule import parsed_multiplier
 from molcorpus.functions.text import entries
 from molcorpus.functions.tokenizers import tok_atomwise, tok_whitespace
 from molcorpus.operators import evaluate as E
@@ -237,6 +238,23 @@ def merge_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.withColumn("multiplier", _multiplier(F.col("token")))
 
 
+@query()
+def merge_multiplier_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tokens read as molecules, with valences and Kekulé forms."""
+    tokens = merge_multiplier(spark, sf_dir).select("token", "n")
+    return tokens.withColumn("multiplier", parsed_multiplier(F.col("token"), BASE, PATTERN, VALID))
+
+
+@query()
+def spe_parsed_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored pair encoding whose merged tokens are read as molecules."""
+    trained = L.train_spe(
+        segments(spark, sf_dir), "smi", ORDER, SCORED_SIZE, MIN_FREQ,
+        multiplier=lambda token: parsed_multiplier(token, BASE, PATTERN, VALID), multipliers=(BASE, VALID),
+    )
+    return trained.merges
+
+
 @query(
     f"""{_SMILES}, {_SPE}, {Q.merged_cte('spe')}, {BASE_CTE}, {PIECES_CTE},
     chem_ids AS (SELECT token, (SELECT max(id) FROM base) + row_number() OVER (ORDER BY id) AS id FROM spe_vocab),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molcorpus.functions import patterns as P
+from molcorpus.functions.molecule import kind, parsed_multiplier
 from molcorpus.functions.tokenizers import tok_whitespace
 from molcorpus.operators import learned as L
 from molcorpus.operators import vocab as V
@@ -99,6 +100,15 @@ def test_scored_pairs(spark, seed, pairs, monkeypatch):
     assert merges_of(got) == loop([atoms(s) for s in strings], 60, 2, "first", multiplier_of)[0]
 
 
+def test_pairs_scored_as_molecules(spark):
+    strings = corpus(2)
+    got = L.train_spe(
+        table(spark, strings), "smi", ["doc_id"], 60, 2, multiplier=parsed_multiplier, multipliers=(1.0, 1.2)
+    )
+    scores = {"molecule": 1.2, "part": 1.1, "neither": 1.0}
+    assert merges_of(got) == loop([atoms(s) for s in strings], 60, 2, "first", lambda t: scores[kind(t)])[0]
+
+
 @pytest.mark.parametrize("pairs,runs", [(64, 4_000), (3, 4_000), (64, 40), (1, 4_000)])
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
 def test_runs_and_ties(spark, letters, pairs, runs, monkeypatch):
