@@ -84,12 +84,15 @@ def learn(x: np.ndarray, y: np.ndarray, rivals: int = 8, rounds: int = 400, rate
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     draw = np.random.default_rng(7)
     n = rivals * max(len(good), len(bad))
-    difference = z[draw.choice(good, n)] - z[draw.choice(bad, n)]
+    better, worse = draw.choice(good, n), draw.choice(bad, n)
     w = np.zeros(x.shape[1])
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        lost = 1 / (1 + np.exp(np.clip(difference @ w, -30, 30)))
-        gradient = -(difference * lost[:, None]).mean(0) + decay * w
+        # a difference of features scores the difference of two scores, so pairs need no features
+        scores = z @ w
+        lost = 1 / (1 + np.exp(np.clip(scores[better] - scores[worse], -30, 30)))
+        pull = np.bincount(better, lost, len(z)) - np.bincount(worse, lost, len(z))
+        gradient = -(pull @ z) / n + decay * w
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
