@@ -7,26 +7,32 @@ values inside and around the candidate, and one logistic output. A candidate lon
 network's window is seen by windows that overlap by half; one that none takes for a secret is cut
 at its signs, and its parts are judged. Runs of one kind of letters or digits are judged too, but
 classes hardly tell a random word from a long one. It is trained on labelled findings of a
-bounded sample of documents (``sample`` texts, at most ``findings`` of each label): pattern
-matches are secrets; other candidates and some plain words are not, but candidates that look random
-have no label, since they may be what the patterns miss. Half of the findings are
-shown without what surrounds them, so that the characters themselves are learned. On a third of
-the findings, kept apart, the output is calibrated by a logistic fit, and the threshold is the
-highest that still finds the share ``recall`` of the secrets there, wherever that lies.
+bounded sample of documents (``sample`` texts, at most ``findings`` of each group). Secrets are the
+pattern matches, and keys of many forms planted between the words of the texts, which no pattern
+finds. No secrets are other candidates and plain words of the texts, and planted names, paths,
+times and numbers that look a little like keys; candidates that look random have no label, since
+they may be what the patterns miss. Half of the findings are shown without what surrounds them, so
+that the characters themselves are learned. On a third of the findings, kept apart, the output is
+calibrated by a logistic fit, and the threshold is the highest that still finds the share
+``recall`` of the pattern matches and of the planted keys there, wherever that lies; ``report``
+has the recalls and the precision there.
 
 The method adds spans of kind ``model``; those of the patterns stay. Places are code points, the
 end exclusive. Null and empty texts have no finding; with no labelled finding of one kind the
-network adds nothing. Every row keeps its row, other columns are ignored.
+network adds nothing. Every row keeps its row; columns named as the results are replaced, others
+stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +55,10 @@ PART = re.compile(r"[A-Za-z0-9]{16,}")
 BEFORE, INSIDE, AFTER = 16, 40, 12
 LENGTH = BEFORE + INSIDE + AFTER
 WIDTH, FILTERS, CLASSES = 4, 24, 44
+# Groups of findings: pattern matches, candidates and words of the texts, planted keys and names.
+GROUPS = MATCHED, SEEN, KEYS, NAMES = (0, 1, 2, 3)
+
+ADDED = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 Span = tuple[int, int, int]  # start, place of the kind, end
 
@@ -85,6 +95,55 @@ def looks_random(run: str) -> bool:
     return 6 * len(TURN.findall(run)) >= len(run)
 
 
+HEXADECIMAL, DIGITS = "0123456789abcdef", "0123456789"
+SMALL = "abcdefghijklmnopqrstuvwxyz"
+MIXED = SMALL + SMALL.upper() + DIGITS
+SYLLABLES = "ta ri mon der ver las in co ser pa lo ne stu ment ing gra fe bau".split()
+
+
+def planted_key(draw: random.Random) -> str:
+    """A key of one of many forms, none of which a pattern finds."""
+    letters, least, most = draw.choice([
+        (HEXADECIMAL, 16, 31), (HEXADECIMAL.upper(), 16, 31), (MIXED, 16, 40), (MIXED + "+/", 20, 40), (MIXED + "-_", 20, 40),
+        (SMALL + DIGITS, 16, 32), (SMALL.upper() + DIGITS, 16, 32),
+    ])
+    key = "".join(draw.choices(letters, k=draw.randint(least, most)))
+    if not ALNUM.search(key) or len(TURN.findall(key)) < 3:
+        return planted_key(draw)
+    return key + draw.choice(["", "", "", "=", "=="]) if "+/" in letters else key
+
+
+def planted_name(draw: random.Random) -> str:
+    """What looks a little like a key and is none: names with numbers, paths, times, numbers."""
+
+    def word(low: int = 2, high: int = 4) -> str:
+        return "".join(draw.choices(SYLLABLES, k=draw.randint(low, high)))
+
+    def number(low: int, high: int) -> str:
+        return "".join(draw.choices(DIGITS, k=draw.randint(low, high)))
+
+    found = draw.choice([
+        lambda: number(16, 19),
+        lambda: "-".join(number(4, 4) for _ in range(4)),
+        lambda: f"{word()}{number(2, 6)}_{word()}-{number(1, 5)}_{word()}",
+        lambda: f"{word()}_{word()}_{word()}_{number(1, 4)}",
+        lambda: f"/{word()}/{word()}/{word()}{number(0, 2)}/{word()}-{number(1, 3)}",
+        lambda: f"20{number(2, 2)}-{number(2, 2)}-{number(2, 2)}T{number(2, 2)}-{number(2, 2)}-{number(2, 2)}",
+        lambda: word(5, 9),
+        lambda: "".join(word(1, 3).capitalize() for _ in range(draw.randint(3, 5))) + number(0, 2),
+        lambda: f"{word().upper()}_{word().upper()}_{number(1, 3)}_{word().upper()}",
+    ])()
+    return found if len(found) >= 16 else f"{found}_{word(4, 6)}-{word()}"
+
+
+def planted(text: str, piece: str) -> np.ndarray:
+    """The window of a piece put between two words in the middle of a text."""
+    at = text.find(" ", len(text) // 2)
+    at = at if at >= 0 else len(text)
+    before = text[max(0, at - BEFORE) : at] + " "
+    return window(before + piece + " " + text[at + 1 : at + AFTER], len(before), len(before) + len(piece))
+
+
 def _codes() -> np.ndarray:
     """Character classes: digits, a-f and other letters by case, single signs, the rest."""
     codes = np.full(128, 1, np.int64)
@@ -140,6 +199,7 @@ class Network:
         self.bias = np.zeros(FILTERS)
         self.out = draw.normal(0, 0.3, 2 * FILTERS + 1)
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.report: dict[str, float] = {}
 
     def forward(self, x: np.ndarray):
         n = LENGTH - WIDTH + 1
@@ -160,7 +220,7 @@ class Network:
         margin = np.concatenate(parts) if parts else np.empty(0)
         return 1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -30, 30)))
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.01) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 800, rate: float = 0.01) -> None:
         draw = np.random.default_rng(11)
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.conv, self.bias, self.out)]
         good, bad = np.flatnonzero(y), np.flatnonzero(~y)
@@ -186,7 +246,8 @@ class Network:
                 v += 0.01 * (g * g - v)
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, groups: np.ndarray | None = None) -> None:
+        """``groups``: kinds of findings; the recall is kept within each kind of secrets."""
         margin = self.forward(x)[0]
         middle, spread = margin.mean(), margin.std() + 1e-9
         unit = (margin - middle) / spread
@@ -212,8 +273,10 @@ class Network:
             fit = fit - change
         self.scale = float(fit[0] / spread)
         self.shift = float(fit[1] - fit[0] * middle / spread)
-        found = np.sort(self.probability(x[y]))
-        self.threshold = float(found[int(np.floor((1 - recall) * len(found)))])
+        groups = np.zeros(len(y)) if groups is None else groups
+        found = self.probability(x)
+        kinds = [np.sort(found[y & (groups == g)]) for g in np.unique(groups[y])]
+        self.threshold = float(min(k[int(np.floor((1 - recall) * len(k)))] for k in kinds))
 
 
 def train(docs: DataFrame, key: str, text: str, sample: int, findings: int, recall: float) -> Network | None:
@@ -226,7 +289,7 @@ def train(docs: DataFrame, key: str, text: str, sample: int, findings: int, reca
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "t"):
-            found: list[tuple[bool, list[int]]] = []
+            found: list[tuple[int, list[int]]] = []
             for t in part.column("t").to_pylist():
                 if not t:
                     continue
@@ -235,28 +298,41 @@ def train(docs: DataFrame, key: str, text: str, sample: int, findings: int, reca
                     if kind == 0:
                         m = ASSIGN.match(t, start)
                         start = m.start(2)
-                    found.append((True, window(t, start, end).tolist()))
+                    found.append((MATCHED, window(t, start, end).tolist()))
                 for start, end in candidates(t, []):
                     if not looks_random(t[start:end]) and not any(s < end and start < e for s, _, e in known):
-                        found.append((False, window(t, start, end).tolist()))
+                        found.append((SEEN, window(t, start, end).tolist()))
                 m = re.compile(r"[A-Za-z]{10,}").search(t, len(t) // 2)
                 if m:
-                    found.append((False, window(t, *m.span()).tolist()))
+                    found.append((SEEN, window(t, *m.span()).tolist()))
+                draw = random.Random(xxhash.xxh64_intdigest(t))
+                found.append((KEYS, planted(t, planted_key(draw)).tolist()))
+                found.append((NAMES, planted(t, planted_name(draw)).tolist()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["y", "x"]
+                [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["y", "x"]
             )
 
-    seen = rows.mapInArrow(label, "y boolean, x array<bigint>").distinct()
+    seen = rows.mapInArrow(label, "y int, x array<bigint>").distinct()
     order = F.xxhash64("x")
-    parts = [seen.filter(F.col("y") == flag).orderBy(order, "x").limit(findings).toArrow() for flag in (True, False)]
+    parts = [seen.filter(F.col("y") == group).orderBy(order, "x").limit(findings).toArrow() for group in GROUPS]
     x = [np.array(p.column("x").to_pylist(), np.int64).reshape(-1, LENGTH) for p in parts]
-    if min(map(len, x)) < 3:
+    # without findings in the texts themselves there is nothing to hold the planted ones against
+    if min(len(x[MATCHED]), len(x[SEEN])) < 3:
         return None
-    both, y = np.concatenate(x), np.repeat([True, False], [len(x[0]), len(x[1])])
+    both, group = np.concatenate(x), np.repeat(GROUPS, [len(part) for part in x])
+    y = np.isin(group, (MATCHED, KEYS))
     apart = np.concatenate([np.arange(len(part)) % 3 == 2 for part in x])
     network = Network()
     network.train(both[~apart], y[~apart])
-    network.calibrate(both[apart], y[apart], recall)
+    network.calibrate(both[apart], y[apart], recall, group[apart])
+    hit = network.probability(both[apart]) >= network.threshold
+    rate = lambda mask: float(hit[mask].mean()) if mask.any() else 1.0
+    kept = group[apart]
+    network.report = {
+        "matched recall": rate(kept == MATCHED), "planted recall": rate(kept == KEYS),
+        "planted precision": float((kept[hit] == KEYS).sum() / max(1, np.isin(kept[hit], (KEYS, NAMES)).sum())),
+        "seen flagged": rate(kept == SEEN),
+    }
     return network
 
 
@@ -300,8 +376,13 @@ def scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 20_000, findings: int = 4_000,
     recall: float = 0.98, redact: str | None = None,
 ) -> DataFrame:
-    """All columns of ``docs``, with n_assign, n_access, n_hex, base_sha256 and spans; with
-    ``redact`` instead the same columns, each finding in the text replaced by that string."""
+    """All columns of ``docs``, with n_assign, n_access, n_hex, base_sha256 and spans, which replace
+    columns of those names; with ``redact`` instead the same columns, each finding in the text
+    replaced by that string."""
+    if redact is None:
+        if {key, text} & {*ADDED}:
+            raise ValueError("the key or text column has the name of a result")
+        docs = docs.drop(*ADDED)
     network = train(docs, key, text, sample, findings, recall)
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
@@ -330,7 +411,7 @@ def scan(
             digest = pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in base], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, *counts, digest, pa.array([written(s) for s in spans], pa.string())],
-                [*part.schema.names, "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                [*part.schema.names, *ADDED],
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
