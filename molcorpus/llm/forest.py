@@ -1,33 +1,44 @@
 """Nearest neighbours by largest inner product: a forest of random-projection trees.
 
-Vectors get one more component that makes all of them equally long, so that the largest inner
-product is the smallest angle. Each tree splits by random directions at the median of a bounded
-sample (``sample`` rows, the documented bound); every row of the table is then indexed: it goes
-to one leaf of each tree. A query searches all trees through one priority queue, ordered by the
-sum of squared margins on the wrong side on the way, until it has opened ``share`` times as many
-leaves as a tree has; what lies in them is reranked exactly, in double precision on the original
-vectors.
+Vectors get one more component that makes all of them equally long, and queries none, so that the
+largest inner product is the smallest angle. Each tree splits by the direction between two centres, which start
+at two random rows and move to the means of the rows nearer to them; what the top of a tree
+learns from is a bounded sample (``sample`` rows, the documented bound), and it is grown in a task
+of its own, to cells of ``capacity`` rows of the sample (0.7 times the root of its size, if that is
+not given). Every row of the table is then indexed: it goes to one cell of each tree. A cell is dealt out in blocks of at most ``BLOCK_ROWS`` rows, and every block goes on splitting its own rows
+to leaves of ``leaf`` rows, so that leaves do not grow with the table.
+
+A query searches all trees through one priority queue, ordered by the sum of squared margins on
+the wrong side on the way, until the cells opened sum up to ``share`` of one tree. The priority of
+the last one is its bound: inside the blocks of an opened cell it opens the leaves whose
+priority is within the bound, the nearest one always. What lies in them is reranked exactly, in
+double precision on the original vectors. Many queries of one cell are dealt out as well.
 
 Equal vectors are indexed once, with the ``k + 1`` smallest ids that have them: no other id can
-be among the nearest, since ties go to the smaller id. Large leaves are dealt out in blocks.
-Vectors that are null, zero, of another length than most, or hold null or non-finite components
-take no part, nor do rows without an id; a row that is there twice counts once. With fewer
-candidates than ``k`` all that were found are returned; an empty table gives an empty result.
+be among the nearest, since ties go to the smaller id. Vectors that are null, zero, of another
+length than most, or hold null or non-finite components take no part, nor do rows without an id; a
+row that is there twice counts once. Ids may be numbers or text, whose order is that of ties. With
+fewer candidates than ``k`` all that were found are returned; an empty table gives an empty
+result. Columns of other names are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from molcorpus.session import materialize
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS, BLOCK_ASKERS = 8_192, 4_096
+# Rows that a split looks at, and how often its centres move.
+SEEN, MOVES = 256, 5
 
 
 def usable(vector: Column) -> Column:
@@ -47,23 +58,45 @@ def lengthened(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(rest)[:, None]], 1)
 
 
+def asking(x: np.ndarray, longest: float) -> np.ndarray:
+    """Queries of the same length: the component that rows get is 0, so that angles to rows are
+    ordered as inner products are."""
+    scale = np.sqrt(longest / np.maximum((x * x).sum(1), 1e-300))
+    return np.concatenate([x * scale[:, None], np.zeros((len(x), 1))], 1)
+
+
+def direction(x: np.ndarray, draw: np.random.Generator) -> tuple[np.ndarray, float]:
+    """The unit direction from one centre to another, and the place half way."""
+    a, b = x[draw.choice(len(x), 2, replace=False)]
+    for _ in range(MOVES):
+        nearer = ((x - a) ** 2).sum(1) < ((x - b) ** 2).sum(1)
+        if nearer.all() or not nearer.any():
+            break
+        a, b = x[nearer].mean(0), x[~nearer].mean(0)
+    normal = b - a
+    if not np.abs(normal).max() > 0:
+        normal = draw.standard_normal(x.shape[1])
+    normal = normal / np.linalg.norm(normal)
+    return normal, float((a + b) @ normal / 2)
+
+
 def grow(x: np.ndarray, capacity: int, seed: int):
-    """One tree: directions, thresholds and children by node; a negative child is a leaf."""
+    """One tree: directions, thresholds and children by node; a negative child is a leaf. And the
+    leaf of each row."""
     draw = np.random.default_rng(seed)
     normals, cuts, children = [], [], []
+    leaf = np.zeros(len(x), np.int64)
     leaves = 0
     work = [(np.arange(len(x)), None, 0)]
     while work:
         rows, parent, side = work.pop()
         place = None
         if len(rows) > capacity:
-            a, b = x[draw.choice(rows, 2, replace=False)]
-            normal = a - b
-            if not np.abs(normal).max() > 0:
-                normal = draw.standard_normal(x.shape[1])
-            normal = normal / np.linalg.norm(normal)
+            seen = rows if len(rows) <= SEEN else draw.choice(rows, SEEN, replace=False)
+            normal, cut = direction(x[seen], draw)
             along = x[rows] @ normal
-            cut = float(np.median(along))
+            # neither side gets less than a fifth, so that trees stay shallow
+            cut = float(np.clip(cut, *np.quantile(along, [0.2, 0.8])))
             left = along < cut
             if left.any() and not left.all():
                 place = len(normals)
@@ -73,15 +106,17 @@ def grow(x: np.ndarray, capacity: int, seed: int):
                 work += [(rows[left], place, 0), (rows[~left], place, 1)]
         if place is None:
             place = -1 - leaves
+            leaf[rows] = leaves
             leaves += 1
         if parent is not None:
             children[parent][side] = place
     shape = (len(normals), x.shape[1])
-    return (
+    tree = (
         np.array(normals, np.float32).reshape(shape),
         np.array(cuts, np.float32),
         np.array(children, np.int32).reshape(len(normals), 2),
     )
+    return tree, leaf
 
 
 def route(tree, x: np.ndarray) -> np.ndarray:
@@ -95,21 +130,64 @@ def route(tree, x: np.ndarray) -> np.ndarray:
     return -1 - node
 
 
-def search(trees, x: np.ndarray, leaves: int) -> list[tuple[int, int]]:
-    """The (tree, leaf) pairs a query opens, best first, from one queue over all trees."""
+def search(trees, x: np.ndarray, cells: int) -> tuple[list[tuple[int, int, float]], float]:
+    """The (tree, cell, priority) a query opens, best first, from one queue over all trees; and
+    the last priority."""
     queue = [(0.0, t, 0 if len(tree[0]) else -1) for t, tree in enumerate(trees)]
     heapq.heapify(queue)
-    opened: list[tuple[int, int]] = []
-    while queue and len(opened) < leaves:
-        bound, t, node = heapq.heappop(queue)
-        normals, cuts, children = trees[t]
+    sides = [tree[0] @ x - tree[1] for tree in trees]
+    opened: list[tuple[int, int, float]] = []
+    while queue and len(opened) < cells:
+        first, t, node = heapq.heappop(queue)
+        children, margins = trees[t][2], sides[t]
         while node >= 0:
-            margin = float(normals[node] @ x - cuts[node])
+            margin = float(margins[node])
             near = int(margin >= 0)
-            heapq.heappush(queue, (bound + margin * margin, t, int(children[node, 1 - near])))
+            heapq.heappush(queue, (first + margin * margin, t, int(children[node, 1 - near])))
             node = int(children[node, near])
-        opened.append((t, -1 - node))
-    return opened
+        opened.append((t, -1 - node, first))
+    return opened, opened[-1][2] if opened else 0.0
+
+
+def open_leaves(tree, x: np.ndarray, first: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) for all rows of ``x`` and all leaves of one tree within the row's bound; the
+    nearest leaf of a row always."""
+    normals, cuts, children = tree
+    if not len(normals):
+        return np.arange(len(x)), np.zeros(len(x), np.int64)
+    margins = x @ normals.T - cuts
+    rows, nodes, priority = np.arange(len(x)), np.zeros(len(x), np.int64), first.copy()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(rows):
+        margin = margins[rows, nodes]
+        near = (margin >= 0).astype(np.int64)
+        far = priority + margin * margin
+        both = far <= bound[rows]
+        nodes, rows, priority = (
+            np.concatenate([children[nodes, near], children[nodes[both], 1 - near[both]]]),
+            np.concatenate([rows, rows[both]]),
+            np.concatenate([priority, far[both]]),
+        )
+        ends = nodes < 0
+        found.append((rows[ends], -1 - nodes[ends]))
+        rows, nodes, priority = rows[~ends], nodes[~ends], priority[~ends]
+    return tuple(np.concatenate(p) for p in zip(*found))
+
+
+def forest_of(points: DataFrame, dims: int, longest: float, trees: int, sample: int, capacity: int) -> list:
+    """The tops of the trees, each grown in a task from the same bounded sample."""
+    some = materialize(points.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v", "rep"))
+    spark = points.sparkSession
+    numbers = spark.range(trees).select(F.col("id").cast("int").alias("tree"))
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        x = lengthened(matrix(rows.sort_by("rep").column("v").combine_chunks(), dims), longest)
+        tree, _ = grow(x, capacity, key[0].as_py())
+        return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "raw": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    # the sample is bounded, and every tree gets all of it
+    dealt = some.crossJoin(F.broadcast(numbers)).groupBy("tree").applyInArrow(build, "tree int, raw binary")
+    return [pickle.loads(r["raw"]) for r in sorted(dealt.collect())]
 
 
 def nearest(
@@ -118,18 +196,24 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 20,
-    trees: int = 8,
+    trees: int = 16,
     sample: int = 32_768,
-    capacity: int = 512,
-    share: float = 1.5,
+    capacity: int | None = None,
+    leaf: int = 32,
+    share: float = 0.9,
+    counts: bool = False,
 ) -> DataFrame:
     """For each row that ``is_query`` marks its ``k`` nearest other rows: query_id, rank from 1,
-    the neighbour's id under the name of the key, score."""
+    the neighbour's id under the name of the key, score. With ``counts`` instead (asker, scored):
+    how many rows were scored in all, for measuring."""
     spark = vectors.sparkSession
     kind = vectors.schema[vector].dataType.simpleString()
+    of_ids = vectors.schema[key].dataType
+    id_type = "string" if isinstance(of_ids, StringType) else "bigint"
+    id_arrow = pa.string() if id_type == "string" else pa.int64()
     rows = (
         vectors.filter(F.col(key).isNotNull() & usable(F.col(vector)))
-        .select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+        .select(F.col(key).cast(id_type).alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     )
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dims = common["n"] if common else 1
@@ -140,11 +224,10 @@ def nearest(
         few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0])
     )
     longest = points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 0.0
-    some = points.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow()
-    x = lengthened(matrix(some.column("v").combine_chunks(), dims), longest)
-    forest = [grow(x, capacity, seed) for seed in range(trees)] if len(x) else []
-    # every tree's first leaf at least
-    leaves = max(trees, int(share * max((len(tree[0]) + 1 for tree in forest), default=1)))
+    known = min(points.count(), sample)
+    forest = forest_of(points, dims, longest, trees, sample, capacity or max(leaf // 2, int(0.7 * known**0.5)))
+    # every tree's first cell at least
+    cells = max(trees, int(share * max((len(tree[0]) + 1 for tree in forest), default=1)))
     shared = spark.sparkContext.broadcast(forest)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,71 +236,112 @@ def nearest(
                 continue
             x = lengthened(matrix(batch.column("v"), dims), longest)
             for t, tree in enumerate(shared.value):
-                leaf = pa.array(route(tree, x).astype(np.int32))
+                cell = pa.array(route(tree, x).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), t, np.int32)), leaf, batch.column("v"), batch.column("rep")],
-                    ["tree", "leaf", "v", "rep"],
+                    [pa.array(np.full(len(x), t, np.int32)), cell, batch.column("v"), batch.column("rep")],
+                    ["tree", "cell", "v", "rep"],
                 )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = lengthened(matrix(batch.column("v"), dims), longest)
+            x = asking(matrix(batch.column("v"), dims), longest)
             for start in range(0, len(x), 256):
-                found = [search(shared.value, y, leaves) for y in x[start : start + 256]]
-                at = np.repeat(np.arange(start, start + len(found)), [len(f) for f in found])
-                cells = np.array([c for f in found for c in f], np.int32).reshape(-1, 2)
+                found = [search(shared.value, y, cells) for y in x[start : start + 256]]
+                at = np.repeat(np.arange(start, start + len(found)), [len(f) for f, _ in found])
+                listed = [c for f, _ in found for c in f]
+                bounds = np.repeat([b for _, b in found], [len(f) for f, _ in found])
                 taken = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells[:, 0]), pa.array(cells[:, 1]), taken.column("v"), taken.column("asker")],
-                    ["tree", "leaf", "v", "asker"],
-                )
+                    [
+                        pa.array([c[0] for c in listed], pa.int32()), pa.array([c[1] for c in listed], pa.int32()),
+                        pa.array([c[2] for c in listed], pa.float64()), pa.array(bounds, pa.float64()),
+                        taken.column("v"), taken.column("asker"),
+                    ],
+                    ["tree", "cell", "first", "bound", "v", "asker"],
+                )
 
-    members = materialize(points.select("v", "rep").mapInArrow(index, f"tree int, leaf int, v {kind}, rep bigint"))
-    # at most one row per leaf: bounded by the sample
-    blocks = members.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    blocks = F.broadcast(materialize(blocks))
-    dealt = members.join(blocks, ["tree", "leaf"]).withColumn(
-        "cell", F.struct("tree", "leaf", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    )
+    members = materialize(points.select("v", "rep").mapInArrow(index, f"tree int, cell int, v {kind}, rep {id_type}"))
     # equal queries search once
     asked = rows.filter("q").groupBy("v").agg(F.min("id").alias("asker"))
-    opened = (
-        asked.repartition(spark.sparkContext.defaultParallelism, "asker").mapInArrow(ask, f"tree int, leaf int, v {kind}, asker bigint")
-        .join(blocks, ["tree", "leaf"])
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("cell", F.struct("tree", "leaf", "block"))
+    opened = materialize(
+        asked.repartition(spark.sparkContext.defaultParallelism, "asker")
+        .mapInArrow(ask, f"tree int, cell int, first double, bound double, v {kind}, asker {id_type}")
+    )
+    # at most one row per cell: bounded by the sample
+    parts = lambda n: F.ceil(F.count("*") / n).cast("int")
+    blocks = members.groupBy("tree", "cell").agg(parts(BLOCK_ROWS).alias("blocks"))
+    salts = opened.groupBy("tree", "cell").agg(parts(BLOCK_ASKERS).alias("salts"))
+    dealt_out = F.broadcast(materialize(blocks.join(salts, ["tree", "cell"])))
+    place = F.struct("tree", "cell", "block", "salt").alias("place")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = (
+        members.join(dealt_out, ["tree", "cell"])
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("salt", each("salts")).select(place, "v", "rep")
+    )
+    visits = (
+        opened.join(dealt_out, ["tree", "cell"])
+        .withColumn("salt", F.pmod(F.xxhash64("asker"), F.col("salts")).cast("int"))
+        .withColumn("block", each("blocks")).select(place, "v", "asker", "first", "bound")
     )
-    out_type = pa.schema([("asker", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
+    out_type = pa.schema([("asker", id_arrow), ("rep", id_arrow), ("score", pa.float64())])
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Of one cell's members, each query's best; enough that none of the nearest is lost."""
+        """Of the leaves that each query opens in one block its best; enough that none of the
+        nearest is lost."""
         if not left.num_rows or not right.num_rows:
             return out_type.empty_table()
-        base = matrix(left.column("v").combine_chunks(), dims)
-        asks = matrix(right.column("v").combine_chunks(), dims)
-        rep = left.column("rep").to_numpy()
-        parts = []
-        for start in range(0, len(asks), 128):
-            scores = asks[start : start + 128] @ base.T
-            for i, row in enumerate(scores):
+        left = left.sort_by("rep")  # the same leaves in every attempt
+        base, asks = (matrix(side.column("v").combine_chunks(), dims) for side in (left, right))
+        tree, where = grow(lengthened(base, longest), leaf, left.num_rows)
+        first, bound = (right.column(c).to_numpy() for c in ("first", "bound"))
+        who, leaves = open_leaves(tree, asking(asks, longest), first, bound)
+        order = np.argsort(where, kind="stable")
+        starts = np.searchsorted(where[order], np.arange(len(tree[0]) + 2))
+        turn = np.argsort(leaves, kind="stable")
+        who, leaves = who[turn], leaves[turn]
+        ends = np.searchsorted(leaves, np.arange(len(tree[0]) + 2))
+        out_who, out_row, out_score = [], [], []
+        for i in range(len(tree[0]) + 1):
+            askers, rows = who[ends[i] : ends[i + 1]], order[starts[i] : starts[i + 1]]
+            if not len(askers) or not len(rows):
+                continue
+            scores = np.einsum("ad,bd->ab", asks[askers], base[rows])
+            if counts:
+                out_who.append(askers)
+                out_row.append(np.full(len(askers), rows[0]))
+                out_score.append(np.full(len(askers), float(len(rows))))
+                continue
+            keep = np.ones(scores.shape, bool)
+            if len(rows) > k + 1:
+                least = np.partition(scores, -k - 1, 1)[:, -k - 1]
                 # a margin keeps what rounding could have put behind
-                least = np.partition(row, -k - 1)[-k - 1] - 1e-9 if len(row) > k + 1 else -np.inf
-                near = np.flatnonzero(row >= least)
-                exact = (base[near] * asks[start + i]).sum(1)
-                best = np.lexsort((rep[near], -exact))[: k + 1]
-                parts.append((np.full(len(best), start + i), near[best], exact[best]))
-        who, best, score = (np.concatenate(p) for p in zip(*parts))
-        asker = right.column("asker").to_numpy()[who]
-        return pa.Table.from_arrays([pa.array(asker), pa.array(rep[best]), pa.array(score)], schema=out_type)
+                keep = scores >= least[:, None] - 1e-9
+            a, b = np.nonzero(keep)
+            out_who.append(askers[a])
+            out_row.append(rows[b])
+            out_score.append((asks[askers[a]] * base[rows[b]]).sum(1))
+        found_who, found_row, score = (np.concatenate(p) for p in (out_who, out_row, out_score))
+        if not counts:
+            # over all leaves of the block
+            best = np.lexsort((found_row, -score, found_who))
+            begins = np.searchsorted(found_who[best], found_who[best])
+            best = best[np.arange(len(best)) - begins <= k]
+            found_who, found_row, score = found_who[best], found_row[best], score[best]
+        return pa.Table.from_arrays(
+            [right.column("asker").take(pa.array(found_who)), left.column("rep").take(pa.array(found_row)), pa.array(score)],
+            schema=out_type,
+        )
 
     found = (
-        dealt.select("cell", "v", "rep").groupBy("cell")
-        .cogroup(opened.select("cell", "v", "asker").groupBy("cell"))
-        .applyInArrow(rerank, "asker bigint, rep bigint, score double")
-        .dropDuplicates(["asker", "rep"])
+        dealt.groupBy("place").cogroup(visits.groupBy("place"))
+        .applyInArrow(rerank, f"asker {id_type}, rep {id_type}, score double")
     )
+    if counts:
+        return found.groupBy("asker").agg(F.sum("score").cast("bigint").alias("scored"))
+    found = found.dropDuplicates(["asker", "rep"])
     # vectors of one score can share places, so that their ids are merged before the cut
     per = Window.partitionBy("asker").orderBy(F.desc("score"), "rep")
     best = found.withColumn("n", F.row_number().over(per)).filter(F.col("n") <= k + 1)
