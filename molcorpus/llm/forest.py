@@ -224,11 +224,14 @@ def nearest(
         few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0])
     )
     longest = points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 0.0
-    known = min(points.count(), sample)
+    n_points = points.count()
+    known = min(n_points, sample)
     forest = forest_of(points, dims, longest, trees, sample, capacity or max(leaf // 2, int(0.7 * known**0.5)))
     # every tree's first cell at least
     cells = max(trees, int(share * max((len(tree[0]) + 1 for tree in forest), default=1)))
     shared = spark.sparkContext.broadcast(forest)
+    # neighbouring cells share a group, up to the rows of a block
+    together = max(1, BLOCK_ROWS * max((len(tree[0]) + 1 for tree in forest), default=1) // max(n_points, 1))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,43 +251,51 @@ def nearest(
                 continue
             x = asking(matrix(batch.column("v"), dims), longest)
             for start in range(0, len(x), 256):
-                found = [search(shared.value, y, cells) for y in x[start : start + 256]]
-                at = np.repeat(np.arange(start, start + len(found)), [len(f) for f, _ in found])
-                listed = [c for f, _ in found for c in f]
-                bounds = np.repeat([b for _, b in found], [len(f) for f, _ in found])
-                taken = batch.take(pa.array(at))
+                groups, firsts, bounds, at = [], [], [], []
+                for i, y in enumerate(x[start : start + 256]):
+                    opened, bound = search(shared.value, y, cells)
+                    own: dict[tuple[int, int], list[tuple[int, float]]] = {}
+                    for t, cell, first in opened:
+                        own.setdefault((t, cell // together), []).append((cell, first))
+                    groups += own.keys()
+                    firsts += own.values()
+                    bounds += [bound] * len(own)
+                    at += [start + i] * len(own)
+                taken = batch.take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([c[0] for c in listed], pa.int32()), pa.array([c[1] for c in listed], pa.int32()),
-                        pa.array([c[2] for c in listed], pa.float64()), pa.array(bounds, pa.float64()),
-                        taken.column("v"), taken.column("asker"),
+                        pa.array([g[0] for g in groups], pa.int32()), pa.array([g[1] for g in groups], pa.int32()),
+                        pa.array([[c for c, _ in f] for f in firsts], pa.list_(pa.int32())),
+                        pa.array([[p for _, p in f] for f in firsts], pa.list_(pa.float64())),
+                        pa.array(bounds, pa.float64()), taken.column("v"), taken.column("asker"),
                     ],
-                    ["tree", "cell", "first", "bound", "v", "asker"],
+                    ["tree", "part", "cells", "first", "bound", "v", "asker"],
                 )
 
-    members = materialize(points.select("v", "rep").mapInArrow(index, f"tree int, cell int, v {kind}, rep {id_type}"))
+    members = points.select("v", "rep").mapInArrow(index, f"tree int, cell int, v {kind}, rep {id_type}")
+    members = materialize(members.withColumn("part", F.floor(F.col("cell") / together).cast("int")))
     # equal queries search once
     asked = rows.filter("q").groupBy("v").agg(F.min("id").alias("asker"))
     opened = materialize(
         asked.repartition(spark.sparkContext.defaultParallelism, "asker")
-        .mapInArrow(ask, f"tree int, cell int, first double, bound double, v {kind}, asker {id_type}")
+        .mapInArrow(ask, f"tree int, part int, cells array<int>, first array<double>, bound double, v {kind}, asker {id_type}")
     )
-    # at most one row per cell: bounded by the sample
+    # at most one row per cell of the trees: bounded by the sample
     parts = lambda n: F.ceil(F.count("*") / n).cast("int")
-    blocks = members.groupBy("tree", "cell").agg(parts(BLOCK_ROWS).alias("blocks"))
-    salts = opened.groupBy("tree", "cell").agg(parts(BLOCK_ASKERS).alias("salts"))
-    dealt_out = F.broadcast(materialize(blocks.join(salts, ["tree", "cell"])))
-    place = F.struct("tree", "cell", "block", "salt").alias("place")
+    blocks = members.groupBy("tree", "part").agg(parts(BLOCK_ROWS).alias("blocks"))
+    salts = opened.groupBy("tree", "part").agg(parts(BLOCK_ASKERS).alias("salts"))
+    dealt_out = F.broadcast(materialize(blocks.join(salts, ["tree", "part"])))
+    place = F.struct("tree", "part", "block", "salt").alias("place")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = (
-        members.join(dealt_out, ["tree", "cell"])
+        members.join(dealt_out, ["tree", "part"])
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("salt", each("salts")).select(place, "v", "rep")
+        .withColumn("salt", each("salts")).select(place, "cell", "v", "rep")
     )
     visits = (
-        opened.join(dealt_out, ["tree", "cell"])
+        opened.join(dealt_out, ["tree", "part"])
         .withColumn("salt", F.pmod(F.xxhash64("asker"), F.col("salts")).cast("int"))
-        .withColumn("block", each("blocks")).select(place, "v", "asker", "first", "bound")
+        .withColumn("block", each("blocks")).select(place, "v", "asker", "cells", "first", "bound")
     )
     out_type = pa.schema([("asker", id_arrow), ("rep", id_arrow), ("score", pa.float64())])
 
@@ -295,37 +306,47 @@ def nearest(
             return out_type.empty_table()
         left = left.sort_by("rep")  # the same leaves in every attempt
         base, asks = (matrix(side.column("v").combine_chunks(), dims) for side in (left, right))
-        tree, where = grow(lengthened(base, longest), leaf, left.num_rows)
-        first, bound = (right.column(c).to_numpy() for c in ("first", "bound"))
-        who, leaves = open_leaves(tree, asking(asks, longest), first, bound)
-        order = np.argsort(where, kind="stable")
-        starts = np.searchsorted(where[order], np.arange(len(tree[0]) + 2))
-        turn = np.argsort(leaves, kind="stable")
-        who, leaves = who[turn], leaves[turn]
-        ends = np.searchsorted(leaves, np.arange(len(tree[0]) + 2))
-        out_who, out_row, out_score = [], [], []
-        for i in range(len(tree[0]) + 1):
-            askers, rows = who[ends[i] : ends[i + 1]], order[starts[i] : starts[i + 1]]
-            if not len(askers) or not len(rows):
+        lengths, bound = lengthened(base, longest), right.column("bound").to_numpy()
+        ways = asking(asks, longest)
+        # every query's cells, by cell
+        lists = right.column("cells").combine_chunks()
+        asker = np.repeat(np.arange(len(asks)), lists.value_lengths().to_numpy())
+        cell, first = lists.flatten().to_numpy(), right.column("first").combine_chunks().flatten().to_numpy()
+        turn = np.argsort(cell, kind="stable")
+        asker, cell, first = asker[turn], cell[turn], first[turn]
+        of_row = left.column("cell").to_numpy()
+        by_cell = np.argsort(of_row, kind="stable")
+        none = np.empty(0, np.int64)
+        out_who, out_row, out_score = [none], [none], [np.empty(0)]
+        for c in np.unique(cell):
+            rows = by_cell[np.searchsorted(of_row[by_cell], c) : np.searchsorted(of_row[by_cell], c, "right")]
+            here = slice(np.searchsorted(cell, c), np.searchsorted(cell, c, "right"))
+            if not len(rows):
                 continue
-            scores = np.einsum("ad,bd->ab", asks[askers], base[rows])
-            if counts:
-                out_who.append(askers)
-                out_row.append(np.full(len(askers), rows[0]))
-                out_score.append(np.full(len(askers), float(len(rows))))
-                continue
-            keep = np.ones(scores.shape, bool)
-            if len(rows) > k + 1:
-                least = np.partition(scores, -k - 1, 1)[:, -k - 1]
-                # a margin keeps what rounding could have put behind
-                keep = scores >= least[:, None] - 1e-9
-            a, b = np.nonzero(keep)
-            out_who.append(askers[a])
-            out_row.append(rows[b])
-            out_score.append((asks[askers[a]] * base[rows[b]]).sum(1))
+            tree, where = grow(lengths[rows], leaf, len(rows))
+            who, leaves = open_leaves(tree, ways[asker[here]], first[here], bound[asker[here]])
+            for i in np.unique(leaves):
+                own, askers = rows[where == i], asker[here][who[leaves == i]]
+                if not len(own):
+                    continue
+                if counts:
+                    out_who.append(askers)
+                    out_row.append(np.full(len(askers), own[0]))
+                    out_score.append(np.full(len(askers), float(len(own))))
+                    continue
+                scores = asks[askers] @ base[own].T
+                keep = np.ones(scores.shape, bool)
+                if len(own) > k + 1:
+                    least = np.partition(scores, -k - 1, 1)[:, -k - 1]
+                    # a margin keeps what rounding could have put behind
+                    keep = scores >= least[:, None] - 1e-9
+                a, b = np.nonzero(keep)
+                out_who.append(askers[a])
+                out_row.append(own[b])
+                out_score.append((asks[askers[a]] * base[own[b]]).sum(1))
         found_who, found_row, score = (np.concatenate(p) for p in (out_who, out_row, out_score))
         if not counts:
-            # over all leaves of the block
+            # over all leaves that were opened here
             best = np.lexsort((found_row, -score, found_who))
             begins = np.searchsorted(found_who[best], found_who[best])
             best = best[np.arange(len(best)) - begins <= k]

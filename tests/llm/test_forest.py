@@ -88,7 +88,7 @@ def test_few_rows_are_scored(spark):
 def test_text_ids(spark):
     x = np.random.default_rng(4).standard_normal((60, 4)).astype(np.float32)
     named = table(spark, range(60), x).withColumn("vec_id", F.format_string("v%03d", "vec_id")).withColumn("rep", F.lit(1))
-    got = found(forest.nearest(named, F.col("vec_id") < "v005").collect())
+    got = found(forest.nearest(named, F.col("vec_id") < "v005", share=50).collect())
     want = exact(range(60), x, range(5), 20)
     assert got == {f"v{q:03d}": [f"v{i:03d}" for i in near] for q, near in want.items()}
 
