@@ -23,6 +23,7 @@ from molcorpus.functions.tokenizers import tok_atomwise, tok_whitespace
 from molcorpus.operators import matcher
 from molcorpus.operators.lookup import BROADCAST_ROWS, replace_entries
 from molcorpus.operators.merging import Merges
+from molcorpus.operators.pair_index import PairIndex
 from molcorpus.operators.ranking import first_places
 from molcorpus.session import materialize, small_table
 
@@ -33,6 +34,8 @@ LONGEST_WORD = 100
 # number of distinct runs that may reach the driver for it.
 PAIRS_PER_ROUND = 256
 RUNS_PER_ROUND = 4_000
+# The same where an index finds the words of the pairs.
+INDEX_PAIRS, INDEX_RUNS = 2_048, 20_000
 # Pairs ranked per round where tokens have multipliers.
 SCORED_PAIRS = 1024
 # Merges replayed on the stored words before they are stored again.
@@ -341,9 +344,16 @@ def train_merges(
 
     scoring = Scoring(spark, tokens, multiplier, *multipliers) if multiplier else None
     done, used = False, PAIRS_PER_ROUND
+    # Places cannot be kept up to date by differences; scores need all pairs now and then.
+    index = None
+    if ties == "id" and not scoring and not full():
+        index = PairIndex(stored, _merged, _runs, INDEX_PAIRS, INDEX_RUNS)
     while not done:
-        words = _merged(stored, pending)
-        found, used = _best_pairs(words, ties, scoring, min(2 * used, PAIRS_PER_ROUND))
+        if index:
+            found = index.round()
+        else:
+            words = _merged(stored, pending)
+            found, used = _best_pairs(words, ties, scoring, min(2 * used, PAIRS_PER_ROUND))
         step, made = next(found, None), 0
         if step is None and scoring:  # counts too close for the bound
             found = _scored_pairs(words, ties, scoring)
@@ -366,7 +376,11 @@ def train_merges(
             # A token made before gains places from elsewhere: count again first.
             step = None if known else _following(found, pending[-1][1])
         done = done or not made
-        if len(pending) >= MERGES_PER_STORE:
+        if index:
+            if not done:
+                index.apply(pending)
+            pending = []
+        elif len(pending) >= MERGES_PER_STORE:
             stored, pending = materialize(_merged(stored, pending).filter(F.length("w") > 1)), []
 
     vocab = [(t, i) for i, t in enumerate([*specials, *(t for t in tokens if t not in specials)])]
@@ -383,9 +397,9 @@ def _place(ch: str) -> int:
 
 
 def _following(found: Iterator, fused: str):
-    """The next merge after the last one was made."""
+    """The next merge after the last one was made; a plain list of merges needs no answer."""
     try:
-        return found.send(fused)
+        return found.send(fused) if hasattr(found, "send") else next(found)
     except StopIteration:
         return None
 

@@ -13,6 +13,7 @@ from molcorpus.functions.molecule import kind, parsed_multiplier
 from molcorpus.functions.tokenizers import tok_whitespace
 from molcorpus.operators import learned as L
 from molcorpus.operators import vocab as V
+from molcorpus.operators.pair_index import PairIndex
 from molcorpus.operators.tokenizer import build, pair_merges
 
 
@@ -117,6 +118,9 @@ def test_runs_and_ties(spark, letters, pairs, runs, monkeypatch):
     monkeypatch.setattr(L, "MERGES_PER_STORE", 7)
     monkeypatch.setattr(L, "PAIRS_PER_ROUND", pairs)
     monkeypatch.setattr(L, "RUNS_PER_ROUND", runs)
+    monkeypatch.setattr(L, "INDEX_PAIRS", max(pairs, 8))
+    monkeypatch.setattr(L, "INDEX_RUNS", runs)
+    monkeypatch.setattr("molcorpus.operators.pair_index.CHANGED_SHARE", 0.9 if pairs == 64 else 0.25)
     rng = random.Random(len(letters))
     strings = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(120)]
     got = L.train_bpe(table(spark, strings), "smi", 60, 1, None)
@@ -124,6 +128,37 @@ def test_runs_and_ties(spark, letters, pairs, runs, monkeypatch):
     assert merges_of(got) == expected
 
 
+def test_the_index_reads_touched_words_only(spark):
+    """Counts stay those of counting again, and later rounds read a part of the words."""
+    rng = random.Random(12)
+    weights = [1 / (i + 1) for i in range(26)]
+    strings = ["".join(rng.choices("etaoinshrdlcumwfgypbvkjxqz", weights, k=rng.randint(3, 9))) for _ in range(1500)]
+    words = spark.createDataFrame([(w, n) for w, n in Counter(strings).items()], "w string, c bigint")
+    index = PairIndex(words, L._merged, L._runs, 8, 4_000)
+    current, made = [list(w) for w in strings], 0
+    before = index.size
+    for _ in range(12):
+        pending, found = [], index.round()
+        step = next(found, None)
+        while step is not None:
+            pair, n = step
+            counted = Counter(p for w in current for p in zip(w, w[1:]))
+            best = min(counted, key=lambda p: (-counted[p], p))
+            assert (tuple(pair), n) == (best, counted[best])
+            fused = chr(0x800 + made)
+            made += 1
+            pending.append((pair, fused))
+            for w in current:
+                i = 0
+                while i < len(w) - 1:
+                    if (w[i], w[i + 1]) == best:
+                        w[i : i + 2] = [fused]
+                    i += 1
+            step = L._following(found, fused)
+        index.apply(pending)
+    assert made > 12 and index.read < 12 * before
+
+
 def greedy(text, tokens):
     out, i = [], 0
     while i < len(text):
@@ -233,6 +268,7 @@ def test_a_doubled_symbol_with_many_runs(spark, monkeypatch):
     expected = loop([list(s) for s in strings], 60 - len(P.SPECIAL_TOKENS), 1, "id")[0]
     assert expected[0][3] == 741
     monkeypatch.setattr(L, "RUNS_PER_ROUND", 5)
+    monkeypatch.setattr(L, "INDEX_RUNS", 5)
     assert merges_of(L.train_bpe(table(spark, strings), "smi", 60, 1, None)) == expected
     first = L.train_spe(table(spark, [s.upper().replace("A", "C") for s in strings]), "smi", ["doc_id"], 60, 1)
     assert merges_of(first)[0][:2] == ("C", "C") and merges_of(first)[0][3] == 741
