@@ -117,13 +117,18 @@ def rank_quality(
     """Every row of ``docs`` with the column ``output`` (which replaces one of that name): the probability
     that it is better than a document at the threshold. Learns from the rows of ``docs`` that ``learn_from`` marks and that
     ``labelled`` (key, label) has one label for."""
+    if docs.schema[key].dataType != labelled.schema[key].dataType:
+        labelled = labelled.withColumn(key, F.col(key).cast("string"))
+        own = F.col(key).cast("string")
+    else:
+        own = F.col(key)
     marks = (
         labelled.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1))
         .groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"), F.max(label).alias("_high"))
         .filter("_label = _high")
         .orderBy(F.xxhash64("_key"), "_key").limit(sample).select("_key", "_label")
     )
-    wanted = docs.filter(learn_from).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    wanted = docs.filter(learn_from).select(own.alias("_key"), F.col(text).alias("_text"))
     wanted = wanted.join(F.broadcast(marks), "_key").select("_label", "_text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ latter are made of items with fewer than ``LONG`` words only.
 
 Characters of scripts that put no space between words are one word each. Items of fewer than
 ``SHORTEST`` words are no evidence and match nothing, nor do null and empty texts. Documents
-without an id cannot be named and are left out; rows of one id are one document, rows of one
+without an id cannot be named and are left out; ids may be numbers or text; rows of one id are one document, rows of one
 item id several items under one name. Empty tables give an empty result; other columns are
 ignored.
 """
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molcorpus.llm.text import M2, chunks, hash_strings, list_column, mix, split_words
+from molcorpus.llm.text import M2, chunks, hash_strings, list_column, mix, split_words, row_numbers, whole_numbers
 from molcorpus.session import materialize
 
 # Fixed masks of weight 6 (4 in items of fewer than LONG words), found greedily to cover all stretches.
@@ -99,6 +99,13 @@ def passages(
 ) -> DataFrame:
     """One row per document and item that it holds a passage of: key, item key, first_word and
     n_words of the longest stretch in the document, n_agree, item_words."""
+    best = F.max(F.struct("n_agree", -F.col("first_word"), "n_words", "item_words")).alias("b")
+    shown = (-F.col("b.col2")).alias("first_word"), "b.n_words", "b.n_agree", "b.item_words"
+    if not whole_numbers(docs, key):
+        rows = row_numbers(docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")), "row")
+        named = items.select(F.col(item_key).alias("item"), F.col(text).alias("t"))
+        found = passages(rows.select("row", "t"), named, "row", "item", "t", least).join(rows.select("row", "k"), "row")
+        return found.groupBy(F.col("k").alias(key), F.col("item").alias(item_key)).agg(best).select(key, item_key, *shown)
     spark = docs.sparkSession
     item_kind = items.schema[item_key].dataType.simpleString()
 
@@ -247,7 +254,4 @@ def passages(
 
     schema = f"id bigint, item {item_kind}, first_word bigint, n_words bigint, n_agree bigint, item_words bigint"
     found = laid.select("id", "item", "start", "words", "item_words", "shift").mapInArrow(verify, schema)
-    best = F.max(F.struct("n_agree", -F.col("first_word"), "n_words", "item_words")).alias("b")
-    return found.groupBy(F.col("id").alias(key), F.col("item").alias(item_key)).agg(best).select(
-        key, item_key, (-F.col("b.col2")).alias("first_word"), "b.n_words", "b.n_agree", "b.item_words"
-    )
+    return found.groupBy(F.col("id").alias(key), F.col("item").alias(item_key)).agg(best).select(key, item_key, *shown)

@@ -22,7 +22,8 @@ Work is done in chunks of texts, known by a digest of their contents:
    tokens, and the sums meet by chunk.
 
 Columns of numbers travel as compressed binaries. Null and empty texts have the end token only.
-Rows without an id are learned from and keep their row; repeated rows count each time. With no
+Rows without an id are learned from and keep their row; repeated rows count each time. Ids that
+are no whole numbers go by numbers of their rows. With no
 text to learn from every word is unknown, with probability one. Empty tables give empty results;
 other columns are ignored.
 """
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molcorpus.llm.text import M2, chunks, hash_strings, mix, split_words
+from molcorpus.llm.text import M2, chunks, hash_strings, mix, split_words, row_numbers, whole_numbers
 from molcorpus.session import materialize
 
 K = 5
@@ -362,6 +363,12 @@ def log_weight(count, large, lower, keeps, small, factor) -> np.ndarray:
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, held_out, n_tokens, n_known, train_tokens, base_score and
     score (log10). Learns from the rows that ``held_out`` does not mark."""
+    if not whole_numbers(docs, key):
+        rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), held_out.alias("h"))
+        rows = row_numbers(rows, "row")
+        found = score(rows.select("row", "t", "h"), F.col("h"), "row", "t")
+        others = [c for c in found.columns if c != "row"]
+        return rows.select("row", "k").join(found, "row").select(F.col("k").alias(key), *others)
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.coalesce(held_out, F.lit(False)).alias("held"))

@@ -17,7 +17,8 @@ chance of 6e-9.
 
 Null, empty and blank texts have an empty set and are linked with nothing. Rows of one id and
 one text are one document, and each gets its result; rows of one id and several texts are judged
-by their texts. Rows without an id have no component and link nothing. Empty tables give empty
+by their texts. Rows without an id have no component and link nothing. Ids may be numbers or
+text, and a component has the type of the ids. Empty tables give empty
 results; other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from molcorpus.llm.text import M1, M2, chunks, hash_strings, list_column, mix, split_words
+from molcorpus.llm.text import M1, M2, chunks, hash_strings, list_column, mix, split_words, row_numbers, whole_numbers
 from molcorpus.session import materialize
 
 BINS, ROWS = 240, 6
@@ -218,6 +219,17 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE
 ) -> DataFrame:
     """One row per document: key, n_shingles, component_id."""
+    if not whole_numbers(docs, key):
+        rows = row_numbers(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "row")
+        numbered = rows.select(F.when(F.col("k").isNotNull(), F.col("row")).alias("row"), "t")
+        found = near_duplicates(numbered.filter("row IS NOT NULL"), "row", "t", percent, shingle)
+        named = materialize(found.join(rows.select("row", "k"), "row"))
+        least = named.groupBy("component_id").agg(F.min("k").alias("least"))
+        shown = named.join(least, "component_id").select(F.col("k").alias(key), "n_shingles", F.col("least").alias("component_id"))
+        none = near_duplicates(numbered.filter("row IS NULL"), "row", "t", percent, shingle)
+        kind = docs.schema[key].dataType
+        lost = F.lit(None).cast(kind)
+        return shown.unionByName(none.select(lost.alias(key), "n_shingles", lost.alias("component_id")))
     sketched = materialize(sketch(docs, key, text, shingle))
     classes = materialize(
         sketched.filter("digest IS NOT NULL AND id IS NOT NULL")

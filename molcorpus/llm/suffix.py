@@ -15,7 +15,7 @@ is repeated if a neighbour shares ``length`` bytes, or if its region was there m
 Anchors with more than ``HOT`` different regions are dealt out by window instead.
 
 Texts are UTF-8 bytes, strings never cross texts. Null, empty and short texts lose nothing. Ids
-that are null or repeated are given a new one inside; every row keeps its row. Empty tables give
+that are no whole numbers, null or repeated are given a new one inside; every row keeps its row. Empty tables give
 an empty result; other columns are ignored.
 """
 
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molcorpus.llm.text import chunks, list_column, mix
+from molcorpus.llm.text import chunks, list_column, mix, fresh, row_numbers, whole_numbers
 from molcorpus.session import materialize
 
 GRAM = 32
@@ -330,13 +330,14 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     if not GRAM < length < 256:
         raise ValueError(f"strings of more than {GRAM} and fewer than 256 bytes")
     rows = docs.select(F.col(key), F.col(text))
-    doubtful = rows.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1))
-    if doubtful.isEmpty():
-        rows = rows.withColumn("_row", F.col(key).cast("bigint"))
+    number = fresh(rows, "_row")
+    doubtful = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNull() | (F.col("n") > 1))
+    if whole_numbers(docs, key) and doubtful.isEmpty():
+        rows = rows.withColumn(number, F.col(key).cast("bigint"))
     else:
-        rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
-    found = repeated(rows, "_row", text, length)
-    spans = found.groupBy(F.col("id").alias("_row")).agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
+        rows = row_numbers(rows, number)
+    found = repeated(rows, number, text, length)
+    spans = found.groupBy(F.col("id").alias(number)).agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
     kind = docs.schema[key].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,4 +375,4 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
         "starts array<bigint>, ends array<bigint>"
     )
-    return rows.join(spans, "_row", "left").select(key, text, "_spans").mapInArrow(remove, schema)
+    return rows.join(spans, number, "left").select(key, text, "_spans").mapInArrow(remove, schema)

@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
+
+from molcorpus.session import materialize
 
 # Bytes of text that a task holds at once (one longer text is held whole).
 CHUNK_BYTES = 8 << 20
@@ -33,6 +36,23 @@ def fold(column: Column, remainder: int, parts: int) -> Column:
     return F.coalesce(crc % parts == remainder, F.lit(False))
 
 
+def whole_numbers(df: DataFrame, key: str) -> bool:
+    """Whether a key is of a type that fits 64-bit integers; other keys go by row numbers."""
+    return isinstance(df.schema[key].dataType, (ByteType, ShortType, IntegerType, LongType))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def row_numbers(df: DataFrame, name: str) -> DataFrame:
+    """The table with a number of its own for every row, written once so that it stays."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
