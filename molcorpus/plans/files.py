@@ -17,11 +17,15 @@ from molcorpus.plans.tokenization import SIMPLE_SQL
 from molcorpus.plans.vocabulary import chem_vocab
 from molcorpus.session import scratch_folder
 from molcorpus.sources import files
-from molcorpus.sources.arrow_files import scan_arrow, write_arrow
+from molcorpus.sources.arrow_files import scan_arrow, stream_arrow, write_arrow
 from molcorpus.sources.samples import ANNOTATED_SQL, annotated, prose
 from molcorpus.streaming import corpus
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -34,6 +38,14 @@ def arrow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_arrow(spark, folder, columns=["doc_id", "text", "lang"])
 
 
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id >= 100 AND doc_id < 900 AND n_chars > 200")
+def arrow_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of documents: batches whose bounds lie outside are not decoded."""
+    folder = _folder(spark, "arrow")
+    write_arrow(documents(spark, sf_dir).select("doc_id", "n_chars").sortWithinPartitions("doc_id"), folder)
+    return scan_arrow(spark, folder).filter("doc_id >= 100 AND doc_id < 900 AND n_chars > 200")
+
+
 @query(f"WITH {LABELLED} SELECT concat('[START_SMILES]', smiles, '[END_SMILES]') AS smiles, label FROM labelled")
 def labelled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "labelled")
@@ -106,3 +118,15 @@ def stream_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = corpus.annotated_stream(stream, "text_raw").drop("text_raw")
     corpus.write_available(tagged, done, _folder(spark, "state")).awaitTermination()
     return spark.read.parquet(done)
+
+
+@query(ORACLES["stream_annotate"])
+def stream_annotate_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts tagged on a stream over arriving Arrow files; half of them arrive after a restart."""
+    arriving, done, state, log = (_folder(spark, name) for name in ("arriving", "tagged", "state", "log"))
+    texts = annotated(spark, sf_dir).select("doc_id", "text_raw")
+    for half in (0, 1):
+        write_arrow(texts.filter(F.pmod("doc_id", F.lit(2)) == half), arriving)
+        tagged = corpus.annotated_stream(stream_arrow(spark, arriving, log, texts.schema), "text_raw").drop("text_raw")
+        corpus.write_available(tagged, done, state).awaitTermination()
+    return spark.read.parquet(done)

@@ -1,5 +1,6 @@
 """Files in and out, and the projections on a stream."""
 
+import io
 import json
 import os
 
@@ -8,11 +9,14 @@ import pytest
 from pyarrow import ipc
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual
+from pyspark.sql.types import StructType
 
 from molcorpus.functions.tokenizers import tok_element
 from molcorpus.operators.annotate import annotate
 from molcorpus.sources import files, shards
-from molcorpus.sources.arrow_files import ArrowReader, scan_arrow, write_arrow
+from molcorpus.sources.arrow_files import ArrowFiles, ArrowReader, ArrowWriter, scan_arrow, stream_arrow, write_arrow
+from molcorpus.sources.arrow_messages import BATCH, SCHEMA, messages
 from molcorpus.streaming import corpus
 
 
@@ -60,6 +64,131 @@ def test_arrow_shares_cover_a_file(tmp_path, opener, parts):
     assert sorted(b["b"][0].as_py() for share in shares for b in share) == [str(i) for i in range(9)]
 
 
+@pytest.mark.parametrize("parts", [2, 3, 7, 40])
+def test_a_stream_is_split_with_its_dictionaries(tmp_path, parts):
+    """Every batch is read by one share, with dictionaries that change on the way."""
+    schema = pa.schema([("i", pa.int64()), ("word", pa.dictionary(pa.int32(), pa.string()))])
+    with ipc.new_stream(f"{tmp_path}/s.arrow", schema) as sink:
+        for i in range(20):
+            words = pa.array([f"w{i // 6}", "x", None]).dictionary_encode()
+            sink.write_batch(pa.record_batch([pa.array([3 * i, 3 * i + 1, 3 * i + 2]), words], schema=schema))
+    reader = ArrowReader([(f"{tmp_path}/s.arrow", parts)], ["i", "word"])
+    shares = [[row for b in reader.read(p) for row in b.to_pylist()] for p in reader.partitions()]
+    want = [{"i": 3 * i + j, "word": w} for i in range(20) for j, w in enumerate([f"w{i // 6}", "x", None])]
+    assert [row for share in shares for row in share] == want
+    if parts < 20:
+        assert sum(map(bool, shares)) > 1
+
+
+def test_the_heads_of_messages(tmp_path):
+    """Sizes and kinds against the library, which reads all of every message."""
+    batches = [pa.record_batch({"a": ["x" * (i * 100)], "b": [i]}) for i in range(5)]
+    write_file(f"{tmp_path}/s.arrow", ipc.new_stream, batches)
+    raw = open(f"{tmp_path}/s.arrow", "rb").read()
+    found = list(messages(io.BytesIO(raw), len(raw)))
+    assert [m.kind for m in found] == [SCHEMA] + [BATCH] * 5
+    source = pa.BufferReader(raw)
+    for m in found:
+        assert source.tell() == m.start
+        ipc.read_message(source)
+        assert source.tell() == m.start + m.size
+
+
+def test_a_stream_that_is_cut_off(spark, tmp_path):
+    batches = [pa.record_batch({"a": list(range(1000))}) for _ in range(4)]
+    write_file(f"{tmp_path}/s.arrow", ipc.new_stream, batches)
+    raw = open(f"{tmp_path}/s.arrow", "rb").read()
+    whole = list(messages(io.BytesIO(raw), len(raw)))
+    for size in (whole[-1].start + 30, whole[-1].start + 3, len(raw) - 400):
+        with open(f"{tmp_path}/s.arrow", "wb") as file:
+            file.write(raw[:size])
+        reader = ArrowReader([(f"{tmp_path}/s.arrow", 3)], ["a"])
+        with pytest.raises(ValueError, match="cut off"):
+            [list(reader.read(p)) for p in reader.partitions()]
+    # a stream may end without its end mark
+    with open(f"{tmp_path}/s.arrow", "wb") as file:
+        file.write(raw[: whole[-1].start])
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3000
+
+
+def test_filters_pass_over_batches(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, f"k{i:03d}", i / 7, "long" * 50) for i in range(100)], "i bigint, s string, x double, t string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    write_arrow(df.coalesce(1), f"{tmp_path}/f")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    (path,) = [f"{tmp_path}/f/{f}" for f in os.listdir(f"{tmp_path}/f") if f.endswith(".arrow")]
+
+    def batches(*filters):
+        reader = ArrowReader([(path, 1)], ["i", "s"])
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        return sum(1 for p in reader.partitions() for _ in reader.read(p))
+
+    total = batches()
+    assert total >= 5
+    assert batches(EqualTo(("i",), 42)) == 1 and batches(EqualTo(("i",), 1000)) == 0
+    assert batches(GreaterThan(("i",), 89), LessThan(("s",), "k000")) == 0
+    assert batches(In(("s",), ("k005", "k099"))) <= 2 and batches(LessThanOrEqual(("x",), 0.0)) == 1
+    assert batches(GreaterThanOrEqual(("t",), "zzz")) == total  # no bounds of long strings
+    assert batches(EqualTo(("i",), "42")) == total  # another type
+    got = scan_arrow(spark, f"{tmp_path}/f").filter("i BETWEEN 20 AND 31 AND s <> 'k025'")
+    assert sorted(r["i"] for r in got.select("i").collect()) == [i for i in range(20, 32) if i != 25]
+
+
+def test_bounds_are_of_files_that_have_them(spark, tmp_path):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan), (2, 5.0), (None, None)], "i bigint, x double").coalesce(1)
+    write_arrow(df, f"{tmp_path}/f")
+    write_file(f"{tmp_path}/f/plain.arrow", ipc.new_file, [pa.record_batch({"i": [7], "x": [1.0]})])
+    assert scan_arrow(spark, f"{tmp_path}/f").filter("x > 100").count() == 1  # Spark puts NaN last
+    assert sorted(r["i"] for r in scan_arrow(spark, f"{tmp_path}/f").filter("i >= 2").collect()) == [2, 7]
+
+
+def test_files_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("molcorpus.sources.arrow_files.FILE_BYTES", 50)
+    writer = ArrowWriter(f"{tmp_path}/f")
+    done = writer.write(iter([pa.record_batch({"a": list(range(10))}) for _ in range(3)]))
+    writer.commit([done, None])
+    assert len(done.paths) == 3 and scan_arrow(spark, f"{tmp_path}/f").count() == 30
+    writer.abort([writer.write(iter([pa.record_batch({"a": [1]})]))])
+    assert len(os.listdir(f"{tmp_path}/f")) == 3
+
+
+def test_arriving_arrow_files(spark, tmp_path):
+    """Older times and names that come first do not matter; a restart goes on where it stopped."""
+    folder, log = f"{tmp_path}/in", f"{tmp_path}/log"
+
+    def arrive(name, start):
+        write_file(f"{folder}/{name}.arrow", ipc.new_stream, [pa.record_batch({"i": [start, start + 1]})])
+        os.utime(f"{folder}/{name}.arrow", (start, start))
+
+    def work():
+        query = corpus.write_available(stream_arrow(spark, folder, log, "i bigint"), f"{tmp_path}/out", f"{tmp_path}/state")
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return sorted(r["i"] for r in spark.read.schema("i bigint").parquet(f"{tmp_path}/out").collect())
+
+    arrive("m", 500)
+    assert work() == [500, 501]
+    arrive("a", 100)
+    arrive("z", 900)
+    assert work() == [100, 101, 500, 501, 900, 901]
+    assert work() == [100, 101, 500, 501, 900, 901]
+
+
+def test_an_offset_means_the_same_files(tmp_path):
+    write_file(f"{tmp_path}/in/m.arrow", ipc.new_stream, [pa.record_batch({"i": [1]})])
+    options = {"path": f"{tmp_path}/in", "log": f"{tmp_path}/log"}
+    reader = ArrowFiles(options).streamReader(StructType.fromDDL("i bigint"))
+    assert reader.initialOffset() == {"entries": 0}
+    end = reader.latestOffset()
+    write_file(f"{tmp_path}/in/a.arrow", ipc.new_stream, [pa.record_batch({"i": [2]})])
+    again = ArrowFiles(options).streamReader(StructType.fromDDL("i bigint"))  # after a restart
+    assert [p.path.endswith("m.arrow") for p in again.partitions({"entries": 0}, end)] == [True]
+    later = again.latestOffset()
+    assert [p.path.endswith("a.arrow") for p in again.partitions(end, later)] == [True]
+    assert again.latestOffset() == later
+
+
 def test_arrow_is_added_to(spark, tmp_path):
     for _ in range(2):
         write_arrow(spark.range(5).repartition(2), f"{tmp_path}/f")
