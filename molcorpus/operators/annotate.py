@@ -67,6 +67,16 @@ def _tag_word(word: Column, prev: Column, element_names: bool) -> Column:
     )
 
 
+def annotated_text(text: Column, element_names: bool = True) -> Column:
+    """The text with SMILES tagged, as one expression."""
+
+    def tag(found: Column) -> Column:
+        tagged = F.transform(found, lambda w, i: _tag_word(w, F.get(found, i - 1), element_names))
+        return F.array_join(tagged, " ")
+
+    return bind(words(F.coalesce(text, F.lit(""))), tag)
+
+
 def annotate(
     df: DataFrame,
     col: str,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molcorpus.functions.tokenizers import tok_element
+from molcorpus.operators import sql_functions
 from molcorpus.operators.annotate import annotate
 from molcorpus.plans.detection import ANNOTATED_WORDS, SEGMENTS_CTE
 from molcorpus.plans.embedding import LABELLED, labelled
@@ -16,7 +17,7 @@ from molcorpus.plans.registry import ORACLES, QUERIES, query
 from molcorpus.plans.tokenization import SIMPLE_SQL
 from molcorpus.plans.vocabulary import chem_vocab
 from molcorpus.session import scratch_folder
-from molcorpus.sources import files
+from molcorpus.sources import files, resumable
 from molcorpus.sources.arrow_files import scan_arrow, stream_arrow, write_arrow
 from molcorpus.sources.samples import ANNOTATED_SQL, annotated, prose
 from molcorpus.streaming import corpus
@@ -130,3 +131,35 @@ def stream_annotate_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
         tagged = corpus.annotated_stream(stream_arrow(spark, arriving, log, texts.schema), "text_raw").drop("text_raw")
         corpus.write_available(tagged, done, state).awaitTermination()
     return spark.read.parquet(done)
+
+
+@query(f"{ANNOTATED_WORDS} SELECT doc_id, text_reannotated FROM reannotated")
+def sql_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagging of texts written as SQL text alone."""
+    sql_functions.register(spark)
+    annotated(spark, sf_dir).createOrReplaceTempView("molcorpus_texts")
+    return spark.sql("SELECT doc_id, annotate(text_raw) AS text_reannotated FROM molcorpus_texts")
+
+
+@query(
+    f"""WITH {ANNOTATED_SQL}, {SEGMENTS_CTE}
+    SELECT doc_id, seg, len({SIMPLE_SQL['element']}) AS n_tokens FROM segments"""
+)
+def sql_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of texts and their tokens written as SQL text alone."""
+    sql_functions.register(spark)
+    annotated(spark, sf_dir).createOrReplaceTempView("molcorpus_texts")
+    return spark.sql(
+        """SELECT doc_id, CAST(s.seg AS BIGINT) AS seg, CAST(size(tokens_element(s.smiles)) AS BIGINT) AS n_tokens
+        FROM molcorpus_texts, LATERAL segments(text_tags) AS s"""
+    )
+
+
+@query(f"{ANNOTATED_WORDS} SELECT doc_id, text_reannotated, reannotated_smiles_count FROM reannotated")
+def resumed_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards tagged by a job that stops after some of them and one that does the rest."""
+    shards, out = _folder(spark, "shards"), _folder(spark, "tagged")
+    annotated(spark, sf_dir).select("doc_id", "text_raw").repartition(6, "doc_id").write.parquet(shards)
+    for most in (1, None):
+        resumable.project_shards(spark, shards, out, lambda df: annotate(df, "text_raw").drop("text_raw"), 2, most)
+    return resumable.read_projected(spark, out)
