@@ -1,7 +1,8 @@
 """URL filter: fixed rules, then logistic regression on hashed character n-grams.
 
 ``judge_urls`` cuts every url into host and path, gives the longest rule that fits, and asks
-the model where none does. The model is fitted on a small table of labelled urls; every host
+the model where none does. The model is fitted on a small table of labelled urls, a parameter; the
+built-in one is made of ordinary words of unwanted and other sites. Every host
 and path n-gram is hashed into one vector of weights. Null urls and urls without ``://`` have
 an empty host and path and no n-gram: the model's intercept decides. Repeated rows keep their
 own row; an empty table gives an empty result; other columns are ignored.
@@ -29,47 +30,35 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 
-# A small labelled url table; 1 is an unwanted site.
-LABELLED = [
-    ("https://www.casino-win.example.org/en/14", 1),
-    ("https://casino-win.example.com/es/77.html", 1),
-    ("http://m.casino-win.example.com/en/901/", 1),
-    ("http://www.cheap-pills.example.com/en/450", 1),
-    ("https://cheap-pills.example.org/en/926/", 1),
-    ("http://blog.cheap-pills.example.org/fr/12", 1),
-    ("https://spam-farm.example.org/en/728", 1),
-    ("https://www.spam-farm.example.com/es/301.html", 1),
-    ("http://m.spam-farm.example.org/de/44", 1),
-    ("https://ads-track.example.org/en/584", 1),
-    ("http://blog.ads-track.example.com/en/9", 1),
-    ("https://www.ads-track.example.org/es/630", 1),
-    ("http://m.free-bets.example.com/en/27", 1),
-    ("https://free-bets.example.org/en/963", 1),
-    ("https://www.free-bets.example.com/es/5/", 1),
-    ("https://adult-x.example.com/en/110", 1),
-    ("http://www.adult-x.example.org/en/83.html", 1),
-    ("https://m.adult-x.example.com/es/700", 1),
-    ("https://therin.example.com/en/770", 0),
-    ("http://therha.example.org/en/676", 0),
-    ("https://blog.tiontion.example.com/en/853/", 0),
-    ("http://blog.ththan.example.org/en/960", 0),
-    ("https://m.therou.example.com/en/474.html", 0),
-    ("https://ththin.example.com/es/671", 0),
-    ("https://www.ththen.example.com/en/148.html", 0),
-    ("https://blog.thertion.example.org/es/978", 0),
-    ("http://ththed.example.org/en/453", 0),
-    ("https://blog.ththly.example.org/en/777", 0),
-    ("http://thther.example.org/de/414", 0),
-    ("https://www.ththwh.example.org/en/471", 0),
-    ("https://blog.thernd.example.com/en/612", 0),
-    ("http://thering.example.com/en/328/", 0),
-    ("https://www.therti.example.org/en/334/", 0),
-    ("https://blog.theren.example.com/fr/455", 0),
-    ("http://blog.ththon.example.org/es/65.html", 0),
-    ("http://www.university.example.org/en/1", 0),
-    ("https://news.example.com/en/2", 0),
-    ("https://library.example.org/de/3", 0),
-]
+# Words of the small labelled url table: of unwanted sites, of others, and of both.
+UNWANTED = """
+    casino poker slots bets betting jackpot pills pharmacy viagra meds spam malware phishing ads adserver
+    tracking tracker clickbait adult porn xxx escort warez crack
+""".split()
+WANTED = """
+    university library museum school college hospital science history garden cooking travel weather
+    sports music theatre nature forest river mountain bakery village council journal archive
+""".split()
+EITHER = "online best free win farm cheap world hub plus shop zone first".split()
+LETTERS = "aaabcddeeeefghhiiiklllmnnnnooopqrrrrssstttttuuvwwyz"
+
+
+def labelled_urls(unwanted: Sequence[str] = UNWANTED, wanted: Sequence[str] = WANTED) -> list[tuple[str, int]]:
+    """Urls of sites named with these words, 1 for unwanted ones; of invented names, which say
+    nothing and are wanted; with paths that say nothing either."""
+    found: list[tuple[str, int]] = []
+    for label, words in ((1, unwanted), (0, wanted)):
+        for i, word in enumerate(words):
+            other = EITHER[i % len(EITHER)]
+            for name in (word, f"{word}-{other}", f"{other}-{word}", f"{other}{word}"):
+                found.append((name, label))
+    draw = np.random.default_rng(5)
+    found += [("".join(draw.choice(list(LETTERS), draw.integers(4, 11))), 0) for _ in range(12 * len(wanted))]
+    places, ends = ["www.", "", "m.", "blog."], ["/en/{}", "/es/{}.html", "/{}/", "/fr/{}", "/de/{}", "/{}"]
+    return [
+        (f"https://{places[i % 4]}{name}.example.{'org' if i % 3 else 'com'}{ends[i % 6].format(7 * i % 997)}", label)
+        for i, (name, label) in enumerate(found)
+    ]
 
 
 def host(url: Column) -> Column:
@@ -124,7 +113,7 @@ def margins(weights: np.ndarray, bias: float, hosts: list[str], paths: list[str]
     return sums / np.sqrt(np.maximum(counts, 1)) + bias
 
 
-def fit(labelled: Sequence[tuple[str, int]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3):
+def fit(labelled: Sequence[tuple[str, int]], rounds: int = 1000, rate: float = 0.5, decay: float = 1e-3):
     """Weights and intercept by gradient descent over the whole small table."""
     from urllib.parse import urlsplit
 
@@ -147,11 +136,17 @@ def judge_urls(
     key: str = "page_id",
     url: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    labelled: Sequence[tuple[str, int]] = LABELLED,
+    labelled: Sequence[tuple[str, int]] | DataFrame | None = None,
+    most: int = 10_000,
 ) -> DataFrame:
     """One row per page: key, host, path, rule, verdict, and the model's probability that the
-    site is unwanted. Without a rule a page is blocked from a probability of one half on."""
-    weights, bias = fit(labelled)
+    site is unwanted. Without a rule a page is blocked from a probability of one half on.
+    ``labelled`` are urls with labels, as a list or a table (url, label) of which ``most`` are used;
+    without them the built-in ones."""
+    if isinstance(labelled, DataFrame):
+        known = labelled.select(F.col("url"), F.col("label").cast("int")).filter("url IS NOT NULL AND label IN (0, 1)")
+        labelled = [tuple(r) for r in known.orderBy(F.xxhash64("url"), "url", "label").limit(most).collect()]
+    weights, bias = fit(labelled_urls() if labelled is None else labelled)
     ruled = (
         pages.select(F.col(key), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
         .withColumn("ruled", longest_rule(F.col("host"), F.col("path"), rules))

@@ -125,12 +125,64 @@ def test_urls(spark):
 
 def test_unwanted_sites_the_model_was_not_shown(spark):
     unseen = [("https://blog.spam-farm.example.com/en/5", "block"), ("http://cheap-pills.example.org/es/9.html", "block"),
-              ("https://www.theror.example.org/en/9", "allow"), ("http://museum.example.com/en/77", "allow")]
+              ("https://www.theror.example.org/en/9", "allow"), ("http://bookshop.example.com/en/77", "allow"),
+              ("http://ads-track.example.com/fr/8", "block"), ("https://m.ththing.example.org/de/1#top", "allow")]
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(unseen)], "page_id bigint, url string")
     got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages).collect()}
     assert [got[i] for i in range(len(unseen))] == [v for _, v in unseen]
 
 
+def test_held_out_sites():
+    """Sites of the labelled table that the fit did not see, which are none of the pages' sites."""
+    known = urls.labelled_urls()
+    shown, apart = [u for i, u in enumerate(known) if i % 3], [u for i, u in enumerate(known) if i % 3 == 0]
+    weights, bias = urls.fit(shown)
+    parts = [u.split("://")[1].split("/", 1) for u, _ in apart]
+    found = urls.margins(weights, bias, [h for h, _ in parts], ["/" + p for _, p in parts]) >= 0
+    label = np.array([y for _, y in apart]) == 1
+    assert found[label].mean() > 0.95 and found[~label].mean() < 0.08
+    assert not any(stem in u for u, _ in known for stem in ("casino-win", "cheap-pills", "spam-farm", "ads-track", "free-bets", "adult-x"))
+
+
+def test_a_table_of_labelled_urls(spark):
+    labelled = spark.createDataFrame(
+        [("https://zzqzzq.com/a", 1), ("https://m.zzqzzq.org/b", 1), ("https://kitten.com/a", 0), ("https://kitten.org/", 0), (None, 1), ("https://x.y/", None)],
+        "url string, label int",
+    )
+    pages = spark.createDataFrame([(1, "https://zzqzzq.net.de/x"), (1, "https://zzqzzq.net.de/x"), (2, "https://kitten.de/x"), (None, None)], "page_id bigint, url string")
+    rows = urls.judge_urls(pages.withColumn("verdict", F.lit("x")).withColumn("ruled", F.lit(1)), labelled=labelled).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in rows if r["page_id"]) == [(1, "block"), (1, "block"), (2, "allow")]
+    assert len(rows) == 4
+
+
+def plain_logistic(texts, weights, bias, buckets):
+    """The score as it is defined: every n-gram of a marked url hashed by itself."""
+    out = []
+    for h, p in texts:
+        text, total, n = f"\x02{h}\x03{p}\x04".encode(), 0.0, 0
+        for size in urls.GRAMS:
+            for at in range(len(text) - size + 1):
+                key = size
+                for byte in text[at : at + size]:
+                    key = (key * 257 + byte) % 2**64
+                in_path = at > len(h.encode())
+                mixed = (key * 2 + in_path + 0x9E3779B97F4A7C15) % 2**64
+                mixed = (mixed ^ (mixed >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+                mixed = (mixed ^ (mixed >> 27)) * 0x94D049BB133111EB % 2**64
+                total += float(weights[(mixed ^ (mixed >> 31)) % buckets])
+                n += 1
+        out.append(total / max(n, 1) ** 0.5 + bias)
+    return out
+
+
+def test_margins_against_a_plain_version():
+    draw = np.random.default_rng(4)
+    weights = draw.standard_normal(urls.BUCKETS).astype(np.float32)
+    texts = [("", ""), ("a", "/"), ("www.éx.org", "/ü/1"), ("host.example.com", "/en/12.html"), ("", "/only")]
+    got = urls.margins(weights, 0.25, [h for h, _ in texts], [p for _, p in texts])
+    assert got == pytest.approx(plain_logistic(texts, weights, 0.25, urls.BUCKETS), rel=1e-6)
+
+
 def plain_spans(text):
     """The contract read literally."""
     found = []
