@@ -1,18 +1,20 @@
 """Nearest neighbours by largest inner product: a forest of random-projection trees.
 
 Vectors get one more component that makes all of them equally long, and queries none, so that the
-largest inner product is the smallest angle. Each tree splits by the direction between two centres, which start
-at two random rows and move to the means of the rows nearer to them; what the top of a tree
-learns from is a bounded sample (``sample`` rows, the documented bound), and it is grown in a task
-of its own, to cells of ``capacity`` rows of the sample (0.7 times the root of its size, if that is
-not given). Every row of the table is then indexed: it goes to one cell of each tree. A cell is dealt out in blocks of at most ``BLOCK_ROWS`` rows, and every block goes on splitting its own rows
-to leaves of ``leaf`` rows, so that leaves do not grow with the table.
+largest inner product is the smallest angle. Each tree splits by the direction between two centres,
+which start at two random rows and move to the means of the rows nearer to them; what the top of a
+tree learns from is a bounded sample (``sample`` rows, the documented bound), and it is grown in a
+task of its own, to cells of ``capacity`` rows of the sample (0.7 times the root of its size, if
+that is not given). Every row of the table is then indexed: it goes to one cell of each tree. A cell
+is dealt out in blocks of at most ``BLOCK_ROWS`` rows, and every block goes on splitting its own
+rows to leaves of ``leaf`` rows, so that leaves do not grow with the table.
 
 A query searches all trees through one priority queue, ordered by the sum of squared margins on
 the wrong side on the way, until the cells opened sum up to ``share`` of one tree. The priority of
-the last one is its bound: inside the blocks of an opened cell it opens the leaves whose
-priority is within the bound, the nearest one always. What lies in them is reranked exactly, in
-double precision on the original vectors. Many queries of one cell are dealt out as well.
+the last one, times ``reach`` (a quarter more for every doubling of the table beyond the sample,
+twice at most, if not given), is its bound: inside the blocks of an opened cell it opens the leaves
+whose priority is within the bound, the nearest one always. What lies in them is reranked exactly,
+in double precision on the original vectors. Many queries of one cell are dealt out as well.
 
 Equal vectors are indexed once, with the ``k + 1`` smallest ids that have them: no other id can
 be among the nearest, since ties go to the smaller id. Vectors that are null, zero, of another
@@ -25,6 +27,7 @@ result. Columns of other names are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -201,6 +204,7 @@ def nearest(
     capacity: int | None = None,
     leaf: int = 32,
     share: float = 0.9,
+    reach: float | None = None,
     counts: bool = False,
 ) -> DataFrame:
     """For each row that ``is_query`` marks its ``k`` nearest other rows: query_id, rank from 1,
@@ -227,6 +231,8 @@ def nearest(
     n_points = points.count()
     known = min(n_points, sample)
     forest = forest_of(points, dims, longest, trees, sample, capacity or max(leaf // 2, int(0.7 * known**0.5)))
+    # cells hold more rows the larger the table is beside the sample
+    reach = reach or min(2.0, 1 + 0.25 * math.log2(max(n_points, 1) / max(known, 1)))
     # every tree's first cell at least
     cells = max(trees, int(share * max((len(tree[0]) + 1 for tree in forest), default=1)))
     shared = spark.sparkContext.broadcast(forest)
@@ -259,7 +265,7 @@ def nearest(
                         own.setdefault((t, cell // together), []).append((cell, first))
                     groups += own.keys()
                     firsts += own.values()
-                    bounds += [bound] * len(own)
+                    bounds += [bound * reach] * len(own)
                     at += [start + i] * len(own)
                 taken = batch.take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
