@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +25,57 @@ def test_quality_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
+def plain_quality(text):
+    """The features of a text as they are described, one byte, word and line after another."""
+    raw = (text or "").encode()
+    out = [0.0] * bradley_terry.N_FEATURES
+
+    def kind(b):
+        ch = chr(b)
+        if b >= 128:
+            return bradley_terry.HIGH
+        if ch in " \t":
+            return bradley_terry.SPACE
+        if ch in "\n\r":
+            return bradley_terry.LINE
+        if ch.isalpha():
+            return bradley_terry.UPPER if ch.isupper() else bradley_terry.LOWER
+        return bradley_terry.DIGIT if ch.isdigit() else bradley_terry.MARK if 32 < b < 127 else bradley_terry.OTHER
+
+    kinds = [kind(b) for b in raw]
+    for a, b in zip(kinds, kinds[1:]):
+        out[8 * a + b] += 1 / len(raw)
+    for i, mark in enumerate(bradley_terry.MARKS):
+        out[64 + i] = raw.count(mark) / max(len(raw), 1)
+    out[:-5] = [v**0.5 for v in out[:-5]]
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw.lower())
+    if words:
+        sizes = [len(w) for w in words]
+        out[-5], out[-4], out[-3] = len(set(words)) / len(words), sum(sizes) / len(sizes) / 10, np.log1p(max(sizes)) / 10
+    if raw:
+        lines = text.split("\n")
+        out[-2] = len(set(lines)) / len(lines)
+    out[-1] = np.log1p(len(raw)) / 10
+    return out
+
+
+def test_quality_against_a_plain_version(spark):
+    draw = random.Random(6)
+    good = ["The " + " ".join(draw.choices("river stone bank quiet evening old house".split(), k=20)) + ".\nIt was so." for _ in range(30)]
+    bad = ["".join(draw.choices("$%!@ BUY NOW 0123 \n\n <>é\x7f", k=80)) for _ in range(30)]
+    texts = [*good, *bad, "", None, "one", "Tab\tand CR\r\nand \x0b form"]
+    assert bradley_terry.features(pa.array(texts)) == pytest.approx(np.array([plain_quality(t) for t in texts]), abs=1e-12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r["score"] for r in bradley_terry.rank_quality(docs, labels, F.lit(True)).collect()}
+    x, y = np.array([plain_quality(t) for t in texts[:60]]), (np.arange(60) < 30).astype(int)
+    order = np.lexsort((*x.T[::-1], y))
+    centre, scale, w, cut, spread = bradley_terry.learn(x[order], y[order])
+    for i, text in enumerate(texts):
+        margin = 2 * (((np.array(plain_quality(text)) - centre) / scale) @ w - cut) / spread
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -30, 30))), abs=1e-6)
+
+
 def test_pairs_pull_as_their_differences_do():
     """The same weights as from all differences of paired features, which are never laid out."""
     draw = np.random.default_rng(3)
