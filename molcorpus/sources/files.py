@@ -24,6 +24,7 @@ CORPUS_SCHEMA = T.StructType(
 )
 
 MESSAGES = "messages array<struct<role: string, content: string>>"
+# Entries of the largest vocabulary that is written as one value.
 LARGEST_VOCAB = 2_000_000
 
 
@@ -76,11 +77,10 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 
 def save_vocab(vocab: DataFrame, path: str) -> None:
-    """One JSON object ``{token: id}``, in id order. The vocabulary is one value
-    in the file, so its size is checked first."""
-    rows = vocab.count()
-    if rows > LARGEST_VOCAB:
-        raise ValueError(f"{rows} tokens do not fit one JSON object")
+    """One JSON object ``{token: id}``, in id order. A large vocabulary has one entry a line, and is
+    written in parts that follow each other."""
+    if vocab.count() > LARGEST_VOCAB:
+        return _save_parts(vocab, path)
     entries = F.transform(
         F.array_sort(F.collect_list(F.struct("id", "token"))),
         lambda e: F.struct(e["token"].alias("key"), e["id"].alias("value")),
@@ -88,8 +88,45 @@ def save_vocab(vocab: DataFrame, path: str) -> None:
     vocab.agg(F.to_json(F.map_from_entries(entries)).alias("value")).write.mode("overwrite").text(path)
 
 
+def _save_parts(vocab: DataFrame, path: str) -> None:
+    """Ranges of ids as parts, whose bytes are then strung together; no part is held in memory."""
+    spark = vocab.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(conf)
+    files.delete(folder, True)
+    entry = F.to_json(F.map_from_arrays(F.array("token"), F.array("id")))
+    ordered = vocab.repartitionByRange("id").sortWithinPartitions("id", "token")
+    lines = ordered.select(F.substr(entry, F.lit(2), F.length(entry) - 2).alias("value"))
+    lines.write.option("lineSep", ",\n").text(f"{path}/_parts")
+    found = [f for f in files.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/_parts")) if f.getLen()]
+    parts = sorted((f.getPath().getName(), f) for f in found if f.getPath().getName().startswith("part-"))
+    waiting = jvm.org.apache.hadoop.fs.Path(f"{path}/_vocab.writing")
+    out = files.create(waiting, True)
+    out.write(bytearray(b"{"))
+    for i, (_, part) in enumerate(parts):
+        piece = files.open(part.getPath())
+        size = part.getLen() - (2 if i + 1 == len(parts) else 0)  # no comma after the last entry
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.org.apache.commons.io.input.BoundedInputStream(piece, size), out, 1 << 20, False)
+        piece.close()
+    out.write(bytearray(b"}\n"))
+    out.close()
+    files.rename(waiting, jvm.org.apache.hadoop.fs.Path(f"{path}/part-00000.txt"))
+    files.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/_parts"), True)
+
+
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """``(token, id)`` of a JSON vocabulary file; a broken one is an error."""
-    whole = spark.read.option("wholetext", True).text(path)
+    """``(token, id)`` of a JSON vocabulary file; a broken one is an error. A file with entries on
+    lines of their own, as large ones are written, is read in splits."""
+    lines = spark.read.text(path)
+    head = [r["value"] for r in lines.limit(2).collect()]
+    if len(head) == 2 and head[0].startswith('{"') and head[0].endswith(",") and head[1].startswith('"'):
+        begins, ends = lines.agg(F.count_if(F.col("value").startswith("{")), F.count_if(F.col("value").endswith("}"))).first()
+        if (begins, ends) != (1, 1):
+            raise ValueError(f"the vocabulary {path} is cut off")
+        inner = F.regexp_replace("value", r"^\{|[,}]$", "")
+        whole = lines.select(F.concat(F.lit("{"), inner, F.lit("}")).alias("value"))
+    else:
+        whole = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "map<string,bigint>", {"mode": "FAILFAST"})
     return whole.select(F.explode(entries).alias("token", "id"))

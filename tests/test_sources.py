@@ -218,16 +218,35 @@ def test_jsonl(spark, tmp_path):
     assert files.read_jsonl(spark, f"{tmp_path}/chat").collect() == df.collect()
 
 
-def test_vocabulary_file(spark, tmp_path, monkeypatch):
+def test_vocabulary_file(spark, tmp_path):
     vocab = spark.createDataFrame([("é\"", 1), ("[UNK]", 0), ("C", 2)], "token string, id bigint")
     files.save_vocab(vocab, f"{tmp_path}/v")
     part = next(p for p in os.listdir(f"{tmp_path}/v") if p.startswith("part"))
     with open(f"{tmp_path}/v/{part}", encoding="utf-8") as f:
         assert list(json.load(f).items()) == [("[UNK]", 0), ("é\"", 1), ("C", 2)]
     assert sorted(files.load_vocab(spark, f"{tmp_path}/v").collect()) == sorted(vocab.collect())
+
+
+def test_vocabulary_file_of_any_size(spark, tmp_path, monkeypatch):
+    """Written in parts: one JSON object in id order, with brackets and commas in the tokens."""
     monkeypatch.setattr(files, "LARGEST_VOCAB", 2)
-    with pytest.raises(ValueError):
-        files.save_vocab(vocab, f"{tmp_path}/w")
+    tokens = ["[UNK]", 'é"', "{", "}", ",", '"}', "a,\n", "\\", ""] + [f"t{i}" for i in range(200)]
+    rows = [(t, 3 * i) for i, t in enumerate(tokens)]
+    vocab = spark.createDataFrame(rows, "token string, id bigint").repartition(3)
+    for _ in range(2):  # an older file is replaced
+        files.save_vocab(vocab, f"{tmp_path}/v")
+    with open(f"{tmp_path}/v/part-00000.txt", encoding="utf-8") as f:
+        assert list(json.load(f).items()) == rows
+    assert sorted(files.load_vocab(spark, f"{tmp_path}/v").collect()) == sorted(map(tuple, rows))
+    text = open(f"{tmp_path}/v/part-00000.txt", encoding="utf-8").read()
+    for broken in (text[:200].rsplit("\n", 1)[0], text[:-40], text.replace('"t7":', '"t7"')):
+        with open(f"{tmp_path}/w.json", "w", encoding="utf-8") as f:
+            f.write(broken)
+        with pytest.raises(Exception):
+            files.load_vocab(spark, f"{tmp_path}/w.json").collect()
+    with open(f"{tmp_path}/pretty.json", "w", encoding="utf-8") as f:
+        json.dump(dict(rows), f, indent=2)
+    assert sorted(files.load_vocab(spark, f"{tmp_path}/pretty.json").collect()) == sorted(map(tuple, rows))
 
 
 def test_corpus_schema_round_trip(spark, tmp_path):
