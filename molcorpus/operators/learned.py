@@ -8,10 +8,12 @@ of length two.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +34,11 @@ CONTINUES = "##"
 LONGEST_WORD = 100
 # Best pairs of a round from whose runs the next merges are worked out, and the
 # number of distinct runs that may reach the driver for it.
-PAIRS_PER_ROUND = 256
-RUNS_PER_ROUND = 4_000
+PAIRS_PER_ROUND = 2_048
+RUNS_PER_ROUND = 100_000
+# Leading pairs whose next tokens are weighed along with those needed now, and the
+# number of tokens weighed ahead at most.
+PAIRS_AHEAD, TOKENS_AHEAD = 32, 2_000
 # The same where an index finds the words of the pairs.
 INDEX_PAIRS, INDEX_RUNS = 2_048, 20_000
 # Pairs ranked per round where tokens have multipliers.
@@ -107,13 +112,21 @@ class Scoring:
 
     def __post_init__(self) -> None:
         self.weight = self.multiplier(F.col("token"))
+        self.known: dict[str, float] = {}
 
-    def weigh(self, pairs: list[str]) -> dict[str, float]:
-        """Multipliers of a few pairs."""
-        names = {p: "".join(self.tokens[_place(c)] for c in p) for p in pairs}
-        rows = small_table(self.spark, "token string", [(t,) for t in set(names.values())])
-        known = dict(rows.select("token", self.weight).collect())
-        return {p: known[t] for p, t in names.items()}
+    def name(self, symbols: str) -> str:
+        return "".join(self.tokens[_place(c)] for c in symbols)
+
+    def weigh(self, pairs: list[str], ahead: Iterable[str] = ()) -> dict[str, float]:
+        """Multipliers of a few pairs; where one is not known yet, also those of other
+        stretches of symbols that may be asked for next are found out."""
+        names = {p: self.name(p) for p in pairs}
+        asked = set(names.values()) - self.known.keys()
+        if asked:
+            asked.update(n for n in islice(map(self.name, ahead), TOKENS_AHEAD) if n not in self.known)
+            rows = small_table(self.spark, "token string", [(t,) for t in asked])
+            self.known |= dict(rows.select("token", self.weight).collect())
+        return {p: self.known[n] for p, n in names.items()}
 
 
 def _merged(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
@@ -169,34 +182,39 @@ def _greedy(runs: list, bound, ties: str, scoring: Scoring | None) -> Iterator[t
     largest multiplier makes of that count. The caller sends the symbol that takes
     the pair's place.
     """
-    texts, counts, where, width = [r["run"] for r in runs], Counter(), defaultdict(set), {}
+    texts, ns, width = [r["run"] for r in runs], [r["n"] for r in runs], {}
+    counts: Counter[str] = Counter()
+    where: defaultdict[str, set[int]] = defaultdict(set)
     weights: dict[str, float] = {}
-    neighbours = lambda text: [text[i : i + 2] for i in range(len(text) - 1)]
-
-    def count(i: int, sign: int) -> None:
-        for pair in neighbours(texts[i]):
-            counts[pair] += sign * runs[i]["n"]
+    places: dict = {}  # first places of pairs, as long as no place of theirs changes
+    for i, text in enumerate(texts):
+        for pair in map("".join, pairwise(text)):
+            counts[pair] += ns[i]
             where[pair].add(i)
 
     def met(pair: str):
-        inside = [i for i in where[pair] if pair in texts[i]]
-        before = lambda t: sum(width.get(c, 1) for c in t[: t.index(pair)])
-        return min(runs[i]["met"] + before(texts[i]) for i in inside)
-
-    for i in range(len(texts)):
-        count(i, 1)
-    while True:
-        counts = +counts  # without pairs that occur no more
-        if not counts:
-            return
+        if pair not in places:
+            inside = [i for i in where[pair] if pair in texts[i]]
+            before = lambda t: sum(width.get(c, 1) for c in t[: t.index(pair)])
+            places[pair] = min(runs[i]["met"] + before(texts[i]) for i in inside)
+        return places[pair]
+
+    def ahead() -> Iterator[str]:
+        """What merges of the leading pairs would make neighbours."""
+        scores = {p: n * weights.get(p, scoring.highest) for p, n in counts.items()}
+        for pair in heapq.nlargest(PAIRS_AHEAD, scores, scores.get):
+            beside = {t[max(at - 1, 0) : at + 3] for i in where[pair] if (at := (t := texts[i]).find(pair)) >= 0}
+            yield from {s[k : k + 3] for s in beside for k in range(len(s) - 2)}
+
+    place_of = met if ties == "first" else str
+    while counts:
         scores = counts
         if scoring:
             best = max((n * weights[p] for p, n in counts.items() if p in weights), default=0)
             if any(n * scoring.highest >= best for p, n in counts.items() if p not in weights):
-                weights |= scoring.weigh([p for p in counts if p not in weights])
+                weights |= scoring.weigh([p for p in counts if p not in weights], ahead())
             scores = {p: n * weights[p] for p, n in counts.items() if p in weights}
         most = max(scores.values())
-        place_of = met if ties == "first" else str
         pair = min((p for p, score in scores.items() if score == most), key=place_of)
         if bound and scoring and most <= bound["n"] * scoring.highest:
             return
@@ -205,9 +223,18 @@ def _greedy(runs: list, bound, ties: str, scoring: Scoring | None) -> Iterator[t
         fused = yield pair, counts[pair]
         width[fused] = sum(width.get(c, 1) for c in pair)
         for i in where.pop(pair):
-            count(i, -1)
-            texts[i] = texts[i].replace(pair, fused)
-            count(i, 1)
+            before = texts[i]
+            texts[i] = after = before.replace(pair, fused)
+            if after == before:
+                continue
+            for text, n in ((before, -ns[i]), (after, ns[i])):
+                for p in map("".join, pairwise(text)):
+                    counts[p] += n
+                    places.pop(p, None)
+                    if not counts[p]:
+                        del counts[p]  # occurs no more, or not yet again
+            for p in map("".join, pairwise(after)):
+                where[p].add(i)
 
 
 def _best_pairs(

@@ -101,6 +101,20 @@ def test_scored_pairs(spark, seed, pairs, monkeypatch):
     assert merges_of(got) == loop([atoms(s) for s in strings], 60, 2, "first", multiplier_of)[0]
 
 
+def test_few_rounds_for_many_scored_pairs(spark, monkeypatch):
+    """Thousands of distinct strings with close scores: few passes, and multipliers not asked for merge by merge."""
+    strings = [s.replace("N", f"[{13 + i % 40}N]") for i, s in enumerate(corpus(7, 6_000))]
+    rounds, asked = [], []
+    best_pairs, table_of = L._best_pairs, L.small_table
+    monkeypatch.setattr(L, "_best_pairs", lambda *a: rounds.append(1) or best_pairs(*a))
+    monkeypatch.setattr(L, "small_table", lambda s, schema, rows: asked.append(schema) or table_of(s, schema, rows))
+    column = lambda t: F.when(t.contains("="), 1.5).when(t.endswith("C"), 1.2).otherwise(1.0)
+    got = L.train_spe(table(spark, strings), "smi", ["doc_id"], 150, 2, multiplier=column, multipliers=(1.0, 1.5))
+    expected = loop([atoms(s) for s in strings], 150, 2, "first", multiplier_of)[0]
+    assert merges_of(got) == expected
+    assert len(rounds) <= 3 and asked.count("token string") <= len(expected) // 3
+
+
 def test_pairs_scored_as_molecules(spark):
     strings = corpus(2)
     got = L.train_spe(
