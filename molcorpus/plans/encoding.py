@@ -164,7 +164,8 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.pad_batch(encoded(spark, sf_dir), ["doc_id"], "ids", BATCH, PAD)
+    # Read for the bounds of the ranks, the ranks and the ids themselves.
+    return W.pad_batch(materialize(encoded(spark, sf_dir)), ["doc_id"], "ids", BATCH, PAD)
 
 
 @query(f"{_PADDED} SELECT doc_id, batch, {_joined()} AS ids FROM padded")

@@ -9,6 +9,7 @@ from molcorpus.functions import patterns as P
 from molcorpus.operators import hybrid as H
 from molcorpus.operators import vocab as V
 from molcorpus.operators import windows as W
+from molcorpus.plans import QUERIES
 
 S = F.col("s")
 
@@ -167,3 +168,10 @@ def test_packing_by_parts(spark, monkeypatch):
     placed = W.pack_blocks(df, ["doc_id"], "ids", 16)
     assert placed.count() == 40 and placed.select("block_part").distinct().count() > 3
     assert all(len(b["ids"]) <= 16 for b in W.assemble_blocks(df, placed, ["doc_id"], "ids").collect())
+
+
+@pytest.mark.parametrize("name", ["pad_batch", "attention_mask"])
+def test_batches_encode_texts_once(spark, sf_dir, name):
+    """Ranks, lengths and ids are read from what was encoded, not encoded again."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "documents.parquet" not in plan
