@@ -55,6 +55,13 @@ def commit(spark: SparkSession, out: str, folder: str, shards: list[str]) -> Non
         raise OSError(f"could not commit {folder}")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all cores. A file's row groups cannot be split, so a few shards would
+    otherwise be read by as many tasks as they have row groups, however many splits are planned."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, rows.rdd.getNumPartitions()))
+
+
 def project_shards(
     spark: SparkSession, folder: str, out: str, project: Callable[[DataFrame], DataFrame], together: int = 8, most: int | None = None
 ) -> int:
@@ -72,7 +79,7 @@ def project_shards(
     groups = [todo[i : i + together] for i in range(0, len(todo), together)][:most]
     for group in groups:
         name = f"part-{uuid.uuid4().hex}"
-        project(spark.read.parquet(*[path for path, _ in group])).write.parquet(f"{out}/{name}")
+        project(_dealt(spark.read.parquet(*[path for path, _ in group]))).write.parquet(f"{out}/{name}")
         commit(spark, out, name, [shard for _, shard in group])
     return sum(map(len, groups))
 

@@ -70,3 +70,11 @@ def test_fingerprints_see_nulls_and_order(spark, tmp_path):
         spark.createDataFrame(data, "i int, s string").coalesce(1).write.parquet(f"{tmp_path}/{name}")
     a, b, c = (list(resumable.fingerprints(spark.read.parquet(f"{tmp_path}/{n}")).values())[0] for n in "abc")
     assert a == b != c
+
+
+def test_one_large_shard_is_work_for_all_cores(spark, tmp_path):
+    spark.range(400).selectExpr("id AS doc_id", "concat('we saw CCO ', id) AS text").coalesce(1).write.parquet(f"{tmp_path}/in")
+    resumable.project_shards(spark, f"{tmp_path}/in", f"{tmp_path}/out", tagged)
+    done = resumable.read_projected(spark, f"{tmp_path}/out")
+    assert done.select(F.input_file_name()).distinct().count() >= spark.sparkContext.defaultParallelism
+    assert rows(done) == rows(tagged(spark.read.parquet(f"{tmp_path}/in")))
