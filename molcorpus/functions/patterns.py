@@ -97,6 +97,8 @@ def _longest_first(symbols: list[str]) -> str:
 
 
 ELEMENT = _longest_first(ELEMENTS)
+# The same for Java, which tries alternatives one by one: other characters fail at once.
+ELEMENT_JAVA = f"(?=[A-Z])(?:{ELEMENT})"
 _ONE_LETTER = "".join(s for s in ELEMENTS if len(s) == 1)
 BRACKET = r"\[[^\]]+\]"
 
@@ -125,14 +127,16 @@ TAGGED_SPLIT = rf"({_START_RE}[^\n]*?{_END_RE})"
 DETECTION_TOKEN = f"{BRACKET}|{ELEMENT}|[{AROMATICS}]|{DETECTION_SPECIAL}"
 DETECTION_WHOLE = f"^(?:{DETECTION_TOKEN})+$"
 # Possessive loops do not recurse, so a very long word cannot overflow the stack.
-DETECTION_WHOLE_JAVA = f"^(?:{DETECTION_TOKEN})++$"
-CANDIDATE_WORD_JAVA = f"^{_PEEL}*+(?:{DETECTION_TOKEN})++{_PEEL}*+$"
+DETECTION_TOKEN_JAVA = DETECTION_TOKEN.replace(ELEMENT, ELEMENT_JAVA)
+DETECTION_WHOLE_JAVA = f"^(?:{DETECTION_TOKEN_JAVA})++$"
+CANDIDATE_WORD_JAVA = f"^{_PEEL}*+(?:{DETECTION_TOKEN_JAVA})++{_PEEL}*+$"
 CAPITAL_OR_DIGIT = r"[A-Z\p{Nd}]"
 
 # Tokenizers.
 _SYMBOL_TAIL = f"{DOUBLE_BACKSLASH}|{RING_NUMBER}|[0-9]"
 ELEMENT_TOKEN = rf"{ELEMENT}|[{AROMATICS}\[\]{TOKEN_SYMBOLS}]|{_SYMBOL_TAIL}"
 BRACKET_ATOM_TOKEN = f"{BRACKET}|{ELEMENT}|[{AROMATICS}{TOKEN_SYMBOLS}]|{_SYMBOL_TAIL}"
+ELEMENT_TOKEN_JAVA, BRACKET_ATOM_TOKEN_JAVA = (t.replace(ELEMENT, ELEMENT_JAVA) for t in (ELEMENT_TOKEN, BRACKET_ATOM_TOKEN))
 ONE_CHARACTER_TOKEN = f"[{_ONE_LETTER}{AROMATICS}{TOKEN_SYMBOLS}0-9]"
 ATOM_TOKEN = f"{BRACKET}|Br?|Cl?|[NOSPFI{AROMATICS}{TOKEN_SYMBOLS}]|{_SYMBOL_TAIL}"
 CHARACTER_TOKEN = r"[^\n]"

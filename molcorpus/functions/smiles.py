@@ -56,7 +56,7 @@ def _element_without_name(c: Column, prev: Column) -> Column:
 
 
 def _aromatic_letters_only(c: Column) -> Column:
-    rest = F.regexp_replace(c, f"{P.BRACKET}|{P.ELEMENT}", "")
+    rest = F.regexp_replace(c, f"{P.BRACKET}|{P.ELEMENT_JAVA}", "")
     special = rest.rlike(P.DETECTION_SPECIAL) | c.rlike(P.BRACKET)
     return rest.rlike(f"[{P.AROMATICS}]") & ~special
 

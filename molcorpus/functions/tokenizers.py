@@ -21,7 +21,7 @@ def tok_character(smi: Column) -> Column:
 def tok_element(smi: Column) -> Column:
     """Brackets, elements (longest first), aromatics, bonds and digits; other
     characters vanish, a single backslash among them."""
-    return find_all(smi, P.ELEMENT_TOKEN)
+    return find_all(smi, P.ELEMENT_TOKEN_JAVA)
 
 
 def tok_element_plain(smi: Column) -> Column:
@@ -67,7 +67,7 @@ def tok_aromatic_runs(smi: Column) -> Column:
     lower_bracket = r"\[[^\]\p{Lu}\p{Lt}]*\p{Ll}[^\]\p{Lu}\p{Lt}]*\]"
     goes_on = f"[{P.AROMATICS}0-9]|{P.RING_NUMBER}|{lower_bracket}"
     run = f"{MARK}[{P.AROMATICS}](?:{MARK}(?:{goes_on}))*+"
-    marked = _marked(find_all(smi, P.BRACKET_ATOM_TOKEN))
+    marked = _marked(find_all(smi, P.BRACKET_ATOM_TOKEN_JAVA))
     pieces = find_all(marked, f"{run}|{MARK}[^{MARK}]+")
     return F.transform(
         pieces,
@@ -115,7 +115,7 @@ def tok_paren_groups(smi: Column) -> Column:
         F.transform(
             pieces,
             lambda p: F.when(p.startswith("(") & p.endswith(")"), F.array(p))
-            .when(p.startswith("("), find_all(p, P.BRACKET_ATOM_TOKEN))
+            .when(p.startswith("("), find_all(p, P.BRACKET_ATOM_TOKEN_JAVA))
             .otherwise(find_all(p, P.ONE_CHARACTER_TOKEN)),
         )
     )

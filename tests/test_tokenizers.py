@@ -94,3 +94,17 @@ def test_wrap_and_null_labels(spark):
     assert [r["k"] for r in X.drop_null_labels(df, "label").collect()] == [1]
     row = X.null_label_count(df, "label").first()
     assert (row["n_dropped"], row["n_kept"]) == (2, 1)
+
+
+def test_elements_for_java_fail_at_once_and_find_the_same(spark):
+    """Prose letters are not tried against every element."""
+    from molcorpus.functions import patterns as P
+
+    found = [P.ELEMENT_TOKEN_JAVA, P.BRACKET_ATOM_TOKEN_JAVA, P.DETECTION_WHOLE_JAVA, P.CANDIDATE_WORD_JAVA]
+    assert all(P.ELEMENT_JAVA in p for p in found) and P.ELEMENT_JAVA.startswith("(?=[A-Z])")
+    texts = ["CScCaXuUuoéÉ[Na+]C%12(=O)", "Sn1 Co Cof Ag AgQ q", "The ISBN of Brown", "", *P.ELEMENTS, *(e + "x" for e in P.ELEMENTS)]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    pairs = [(P.ELEMENT_TOKEN_JAVA, P.ELEMENT_TOKEN), (P.BRACKET_ATOM_TOKEN_JAVA, P.BRACKET_ATOM_TOKEN)]
+    for java, plain in pairs:
+        both = rows.select(F.regexp_extract_all("s", F.lit(java), F.lit(0)), F.regexp_extract_all("s", F.lit(plain), F.lit(0)))
+        assert all(a == b for a, b in both.collect())
