@@ -101,14 +101,9 @@ def hybrid_encode(
     )
     base_unk = V.unk_id(base)
     chem_unk = ids.filter(F.col("token") == V.UNK).first()
-    unknown = lambda t: F.when(
-        t.startswith("c"), F.lit(chem_unk["hybrid_id"] if chem_unk else base_unk)
-    ).otherwise(F.lit(base_unk))
+    unknown = {"c": chem_unk["hybrid_id"] if chem_unk else base_unk, "": base_unk}
     tokens = hybrid_tokens(df, col, chem_tokenizer or rule("element"), "_tokens", base_tokenizer, bos)
-    found = replace_entries(tokens, "_tokens", both, None, row_keys, "_ids")
-    return found.withColumn(
-        out, F.zip_with("_tokens", "_ids", lambda t, i: F.coalesce(i, unknown(t)))
-    ).drop("_tokens", "_ids")
+    return replace_entries(tokens, "_tokens", both, unknown, row_keys, out).drop("_tokens")
 
 
 def strip_leading_bos(tokens: Column, piece: Column, bos: int | str) -> Column:

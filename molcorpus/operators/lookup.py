@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -19,27 +20,55 @@ BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 << 20
 # A key is frequent from this share of the rows on, so there are no more than its inverse.
 FREQUENT_SHARE = 1e-3
+# Entries of a batch that are looked up together.
+TOGETHER = 1 << 18
 
 
 def _literal_map(rows: list, default) -> Callable[[Column], Column]:
     known = F.create_map(*[F.lit(x) for row in rows for x in row])
     if default is None:
         return lambda item: F.element_at(known, item)
-    return lambda item: F.coalesce(F.element_at(known, item), F.lit(default))
+    return lambda item: F.coalesce(F.element_at(known, item), _unknown(item, default))
+
+
+def _unknown(item: Column, default) -> Column:
+    """The value of an entry that is not in the table."""
+    if not isinstance(default, dict):
+        return F.lit(default)
+    value = F.lit(default[""])
+    for start, other in default.items():
+        value = F.when(item.startswith(start), F.lit(other)).otherwise(value) if start else value
+    return value
 
 
 def _arrow_lookup(spark, rows: list, value_type: pa.DataType, default):
-    """An Arrow function over whole batches of lists: the distinct entries of a batch
-    are looked up, in a map that each Python worker loads once."""
-    table = spark.sparkContext.broadcast({row[0]: row[1] for row in rows})
+    """An Arrow function over whole batches of lists, whose entries are looked up by Arrow
+    itself, some at a time. Entries that are not in the table are never made Python strings:
+    in prose most distinct words are of this kind."""
+    table = spark.sparkContext.broadcast((pa.array([row[0] for row in rows]), pa.array([row[1] for row in rows], value_type)))
+    starts = dict(default) if isinstance(default, dict) else {"": default}
+    plain = pa.scalar(starts.pop(""), value_type)
+
+    def some(entries: pa.Array, keys: pa.Array, values: pa.Array) -> pa.Array:
+        found, others = values.take(pc.index_in(entries, value_set=keys)), plain
+        if default is None or not found.null_count:
+            return found
+        for start, value in starts.items():
+            begins = pc.fill_null(pc.starts_with(entries, start), False)
+            others = pc.if_else(begins, pa.scalar(value, value_type), others)
+        return pc.coalesce(found, others)
 
     def replace(batch: pa.Array) -> pa.Array:
-        known = table.value
-        coded = batch.flatten().dictionary_encode()
-        values = pa.array([known.get(k) for k in coded.dictionary.to_pylist()], value_type)
-        found = values.take(coded.indices)
-        if default is not None:
-            found = pc.fill_null(found, pa.scalar(default, value_type))
+        (keys, values), flat = table.value, batch.flatten()
+        keys, step = keys.cast(flat.type), max(TOGETHER, len(keys))
+        parts = (some(flat.slice(at, step), keys, values) for at in range(0, len(flat), step))
+        if default is not None and not values.null_count and value_type == pa.int64():
+            numbers, at = np.empty(len(flat), np.int64), 0  # filled in place: no second copy
+            for part in parts:
+                numbers[at : at + len(part)], at = part.to_numpy(), at + len(part)
+            found = pa.array(numbers)
+        else:
+            found = pa.concat_arrays([pa.array([], value_type), *parts])
         lengths = pc.fill_null(pc.list_value_length(batch), 0)
         ends = pc.cumulative_sum(lengths.cast(pa.int32()))
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
@@ -60,7 +89,8 @@ def replace_entries(
     df: DataFrame, col: str, table: DataFrame, default, row_keys: list[str], out: str | None = None
 ) -> DataFrame:
     """Map every array entry through ``table`` (first column key, second value),
-    unknown and null entries to ``default`` (None gives null). Entries keep their
+    unknown and null entries to ``default`` (None gives null). A dict has the defaults of
+    entries by what they start with, that of all others under ``""``. Entries keep their
     order, null arrays stay null; of a key that is there twice the smallest value
     counts.
 
@@ -106,7 +136,7 @@ def _joined(df: DataFrame, col: str, table: DataFrame, default, row_keys: list[s
     key, value = table.columns
     single = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
     exploded = entries(df, row_keys, col, "_pos", key)
-    found = F.col(value) if default is None else F.coalesce(value, F.lit(default))
+    found = F.col(value) if default is None else F.coalesce(value, _unknown(F.col(key), default))
     valued = join_by_frequency(exploded, single, key).select(
         *row_keys, F.struct("_pos", found.alias("_value")).alias("_e")
     )

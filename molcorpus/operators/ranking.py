@@ -35,13 +35,45 @@ def _packed(numbers: list[Column]) -> Column:
     return digits.cast("decimal(38,0)")
 
 
+# Bits of up to three numbers that are packed into one of 63.
+BITS = {1: [63], 2: [33, 30], 3: [33, 10, 20]}
+
+
+def _short(numbers: list[Column]) -> tuple[Column, Column]:
+    """Whether numbers fit into one bigint that sorts as they do, and that bigint: decimals of
+    this size are slow when every token of a corpus has one."""
+    fits, short = F.lit(True), F.lit(0).cast("bigint")
+    for number, bits in zip(numbers, BITS[len(numbers)]):
+        fits &= number.cast("bigint").between(0, (1 << bits) - 1)
+        short = (F.shiftleft(short, bits) if bits < 63 else short).bitwiseOR(number.cast("bigint"))
+    return fits, short
+
+
+def _lengthened(short: Column, n: int) -> list[Column]:
+    numbers = []
+    for bits in reversed(BITS[n]):
+        numbers.insert(0, short.bitwiseAND(F.lit((1 << bits) - 1)))
+        short = F.shiftright(short, bits) if bits < 63 else short
+    return numbers
+
+
 def first_places(df: DataFrame, by: str, order: list[str], count: Column, name: str) -> DataFrame:
     """Per value of ``by`` the first place in ``order`` (as ``first``) and a sum or count
     (as ``name``), by hash aggregation throughout. A key that is no whole number, such as
     a text id, is replaced by its rank: entries are combined per key first, and then meet
     the ranks."""
     key, *rest = order
-    if dict(df.dtypes)[key] in WHOLE or len(order) > 3:
+    types = dict(df.dtypes)
+    if len(order) <= 3 and all(types[c] in WHOLE for c in order):
+        fits, short = _short([F.col(c) for c in order])
+        rows = df.groupBy(by).agg(
+            F.min(F.when(fits, short)).alias("_short"),
+            F.min(F.when(~fits, place(df, order))).alias("_long"),
+            count.alias(name),
+        )
+        first = F.least(_packed(_lengthened(F.col("_short"), len(order))), "_long").alias("first")
+        return rows.select(by, first, name)
+    if types[key] in WHOLE or len(order) > 3:
         return df.groupBy(by).agg(F.min(place(df, order)).alias("first"), count.alias(name))
     inner = _packed([F.lit(0), *map(F.col, rest)])
     per_key = df.groupBy(by, key).agg(F.min(inner).alias("_inner"), count.alias(name))

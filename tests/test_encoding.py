@@ -175,3 +175,11 @@ def test_batches_encode_texts_once(spark, sf_dir, name):
     """Ranks, lengths and ids are read from what was encoded, not encoded again."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "documents.parquet" not in plan
+
+
+def test_hybrid_ids_come_out_of_the_lookup(strings, vocabularies):
+    """No second pass over tokens and ids for those that are unknown."""
+    base, chem = vocabularies
+    coded = H.hybrid_encode(strings(["C is zz [START_SMILES]CN[END_SMILES]"]), "s", base, chem, ["doc_id"])
+    assert "zip_with" not in coded._jdf.queryExecution().optimizedPlan().toString()
+    assert coded.first()["ids"] == [5, 4, 0, 7, 13, 9, 8]

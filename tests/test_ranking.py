@@ -125,6 +125,29 @@ def test_lookup_ways_agree(spark, literal, broadcast, monkeypatch):
     assert {r["doc_id"]: r["ids"] for r in found} == {1: [4, 0, 2, 4], 2: [], 3: [6], 4: [0], 5: None, 6: [0, 4]}
 
 
+@pytest.mark.parametrize("literal,broadcast", [(256, 10_000), (1, 10_000), (1, 2)])
+def test_lookup_of_unknown_entries_by_their_start(spark, literal, broadcast, monkeypatch):
+    monkeypatch.setattr(lookup, "LITERAL_ROWS", literal)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(lookup, "TOGETHER", 2)  # lists lie across stretches
+    v = spark.createDataFrame([("bC", 4), ("cC", 5), ("cO", 6)], "token string, id bigint")
+    df = spark.createDataFrame([(1, ["bC", "cQ", "bQ", "cC", None]), (2, []), (3, None), (4, ["cO"])], "k int, tokens array<string>")
+    got = lookup.replace_entries(df, "tokens", v, {"c": 9, "": 0}, ["k"], "ids").collect()
+    assert {r["k"]: r["ids"] for r in got} == {1: [4, 9, 0, 5, 0], 2: [], 3: None, 4: [6]}
+
+
+def test_lookup_takes_a_batch_in_stretches(spark, monkeypatch):
+    """However many entries a batch has, only some are looked up at once."""
+    sizes = []
+    index_in = lookup.pc.index_in
+    monkeypatch.setattr(lookup.pc, "index_in", lambda entries, **k: sizes.append(len(entries)) or index_in(entries, **k))
+    monkeypatch.setattr(lookup, "TOGETHER", 4)
+    monkeypatch.setattr(lookup.F, "arrow_udf", lambda f, kind: f)
+    replace = lookup._arrow_lookup(spark, [("a", 1), ("b", 2)], lookup.pa.int64(), 0)
+    got = replace(lookup.pa.array([["a", "x", "b"], None, ["b"] * 7]))
+    assert got.to_pylist() == [[1, 0, 2], None, [2] * 7] and sizes == [4, 4, 2]
+
+
 def test_a_large_table_in_bytes_is_joined(spark, monkeypatch):
     monkeypatch.setattr(lookup, "BROADCAST_BYTES", 100)
     monkeypatch.setattr(lookup, "LITERAL_ROWS", 0)
@@ -181,3 +204,16 @@ def test_invert_refuses_shared_ids(spark):
     v = spark.createDataFrame([("C", 4), ("N", 4)], "token string, id bigint")
     with pytest.raises(Exception, match="several tokens"):
         vocab.invert_vocab(v).collect()
+
+
+def test_first_places_of_any_numbers(spark):
+    """Most places are compared as one bigint; those that do not fit come out right as well."""
+    keys = [-5, 0, 3, 2**33 - 1, 2**33, 2**62]
+    for some in (keys, keys[1:], keys[4:], keys[2:4]):
+        rows = [(t, k, s, p) for t in "ab" for k in some for s in (1, 1500) for p in (7, 2**21)]
+        df = spark.createDataFrame(rows, "t string, k bigint, s int, p int")
+        for order in (["k"], ["k", "p"], ["k", "s", "p"]):
+            found = ranking.first_places(df, "t", order, F.count(F.lit(1)), "n")
+            want = df.groupBy("t").agg(F.min(ranking.place(df, order)).alias("first"), F.count(F.lit(1)).alias("n"))
+            assert found.schema == want.schema and sorted(found.collect()) == sorted(want.collect())
+            assert "least(" in found._jdf.queryExecution().optimizedPlan().toString()
