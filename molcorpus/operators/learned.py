@@ -129,11 +129,36 @@ class Scoring:
         return {p: self.known[n] for p, n in names.items()}
 
 
+def _merge_words(merges: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    """The merges one after another, as ``str.replace`` makes them. The next one that changes a
+    word is the first, after the last one made, whose pair the word holds by then."""
+    turns: defaultdict[str, list[int]] = defaultdict(list)
+    for turn, (pair, _) in enumerate(merges):
+        turns[pair].append(turn)
+
+    def after(word: str) -> str:
+        if len(word) > LONGEST_WORD:
+            for pair, fused in merges:
+                word = word.replace(pair, fused)
+            return word
+        last = -1
+        while True:
+            held = (t for p in map("".join, pairwise(word)) if p in turns for t in turns[p] if t > last)
+            last = min(held, default=-1)
+            if last < 0:
+                return word
+            word = word.replace(*merges[last])
+
+    return F.arrow_udf(lambda batch: pa.array([after(w) for w in batch.to_pylist()], pa.string()), "string")
+
+
 def _merged(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """Words after some merges. The merges are one constant, so that every round
-    runs the same compiled code."""
+    """Words after some merges. A few merges are one constant, so that every round
+    runs the same compiled code; of many, a word is only asked for those it holds."""
     if not merges:
         return words
+    if len(merges) > MERGES_PER_STORE:
+        return words.withColumn("w", _merge_words(merges)(F.col("w")))
     steps = F.from_json(F.lit(json.dumps(merges)), "array<array<string>>")
     return words.withColumn(
         "w", F.aggregate(steps, F.col("w"), lambda w, m: F.replace(w, F.get(m, F.lit(0)), F.get(m, F.lit(1))))

@@ -301,3 +301,22 @@ def test_text_keys(spark):
     by_text = L.train_spe(texts, "smi", ["id"], 60, 2)
     assert merges_of(by_text) == merges_of(by_number)
     assert {tuple(r) for r in by_text.frequencies.collect()} == {tuple(r) for r in by_number.frequencies.collect()}
+
+
+@pytest.mark.parametrize("longest", [100, 5])
+def test_many_merges_are_made_in_turn(spark, longest, monkeypatch):
+    """Also where a pair is made again, comes from an earlier token, or overlaps itself."""
+    monkeypatch.setattr(L, "LONGEST_WORD", longest)
+    rng = random.Random(3)
+    letters = [L._private(i) for i in range(6)]
+    merges = [(rng.choice(letters) + rng.choice(letters), rng.choice([L._private(6 + i), *letters])) for i in range(200)]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(200)] + [letters[0] * 40]
+    want = []
+    for word in words:
+        for pair, fused in merges:
+            word = word.replace(pair, fused)
+        want.append(word)
+    df = spark.createDataFrame(list(enumerate(words)), "i int, w string")
+    done = L._merged(df, merges)
+    assert "aggregate(" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["w"] for r in done.orderBy("i").collect()] == want
