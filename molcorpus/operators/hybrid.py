@@ -103,7 +103,10 @@ def hybrid_encode(
     chem_unk = ids.filter(F.col("token") == V.UNK).first()
     unknown = {"c": chem_unk["hybrid_id"] if chem_unk else base_unk, "": base_unk}
     tokens = hybrid_tokens(df, col, chem_tokenizer or rule("element"), "_tokens", base_tokenizer, bos)
-    return replace_entries(tokens, "_tokens", both, unknown, row_keys, out).drop("_tokens")
+    found = replace_entries(tokens, "_tokens", both, unknown, row_keys, "_ids")
+    # The tokens are asked for twice, so that they stay a column: moved into the call of the
+    # lookup, Spark could not evaluate a variable bound within another lambda.
+    return found.withColumn(out, F.when(F.size("_tokens") >= 0, F.col("_ids"))).drop("_tokens", "_ids")
 
 
 def strip_leading_bos(tokens: Column, piece: Column, bos: int | str) -> Column:
